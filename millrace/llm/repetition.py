@@ -108,11 +108,15 @@ def learned_list(documents: DataFrame, doc_id: Column, text: Column, share: floa
     """The decision list for documents whose repeated share is at least ``share``.
 
     It is fitted on the ``sample`` documents with the smallest hashes of their ids (the bound on what is
-    fitted; everything else covers all documents), labelled word by word from the definition. Thresholds
-    are multiples of 0.05. A sample with one label only can teach nothing: then the list is the
-    definition's own threshold."""
-    picked = documents.select(doc_id.alias("doc_id"), text.alias("text"))
-    drawn = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    fitted; everything else covers all documents), labelled word by word from the definition. Only
+    hashes low enough for twice the sample are sorted, so that what a partition sends doesn't grow with
+    their number. Thresholds are multiples of 0.05. A sample with one label only can teach nothing: then
+    the list is the definition's own threshold."""
+    picked = documents.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id).alias("draw"))
+    count = documents.count()
+    if count > 2 * sample:
+        picked = picked.where(F.col("draw") < F.lit(int(-(2**63) + 2**64 * (2 * sample / count))))
+    drawn = picked.orderBy("draw", "doc_id").limit(sample).drop("draw")
     rows = []
     for r in _statistics(drawn, labelled=True).drop("doc_id").collect():
         row = {s: r[s] for s in STATISTICS}
