@@ -91,3 +91,15 @@ QUERIES = {
     "p2_envelope_changes": envelope_changes,
     "p3_found": p3_found,
 }
+
+_KEY = "CASE WHEN length(regexp_replace(organisation_number, '[^0-9]', '', 'g')) = 9 THEN regexp_replace(organisation_number, '[^0-9]', '', 'g') END"
+_FOLD = "lower(nfc_normalize(trim(regexp_replace(coalesce({}, ''), '[\\s\\p{{Z}}]+', ' ', 'g'))))"
+_CONTENT = " || chr(31) || ".join([_FOLD.format(c) for c in TRACKED_TEXTS] + [f"coalesce(CAST({c} AS VARCHAR), '')" for c in TRACKED_OTHERS])
+ORACLE = {
+    "p1_activity_items": """SELECT DISTINCT recovery_id, CAST(i - 1 AS INTEGER) AS item_ord, items[i].title AS title, items[i].date AS date, items[i].url AS url, items[i].claim_span AS claim_span, items[i].source_class AS source_class
+        FROM (SELECT recovery_id, activity.items AS items, unnest(range(1, len(activity.items) + 1)) AS i FROM recovery) WHERE items[i] IS NOT NULL""",
+    "p2_entry_changes": f"""WITH v AS (SELECT o, snapshot_date AS d, arg_max(content, loaded_at) AS content FROM (SELECT {_KEY} AS o, snapshot_date, loaded_at, {_CONTENT} AS content FROM entry_companies) WHERE o IS NOT NULL AND snapshot_date IS NOT NULL GROUP BY 1, 2),
+        s AS (SELECT d, lag(d) OVER (ORDER BY d) AS before FROM (SELECT DISTINCT d FROM v)), a AS (SELECT o, v.d, content FROM v JOIN s ON v.d = s.d WHERE before IS NOT NULL), b AS (SELECT o, s.d, content FROM v JOIN s ON v.d = s.before)
+        SELECT coalesce(a.o, b.o) AS organisation_number, strftime(coalesce(a.d, b.d), '%Y-%m-%d') AS snapshot_date, CASE WHEN b.o IS NULL THEN 'added' WHEN a.o IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+        FROM a FULL JOIN b ON a.o = b.o AND a.d = b.d WHERE a.content IS DISTINCT FROM b.content""",
+}
