@@ -36,16 +36,28 @@ def nearest_rank(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY `{value}`)")
 
 
-def value_at_place(df: DataFrame, keys: Sequence[str], value: str, places: dict[str, Column], n: str = "n") -> DataFrame:
+def value_at_place(df: DataFrame, keys: Sequence[str], value: str, places: dict[str, Column], n: str = "n", ranges: int = 64) -> DataFrame:
     """For each key the values at zero-based ``places`` (expressions over the count ``n``) of its sorted
-    non-null values.
+    non-null numeric values.
 
-    Equal values are counted together before anything is ranked, so that a group with a third of all
-    rows costs as many rows as it has distinct values; places are found by running counts."""
+    Equal values are counted together first. The counts are cut into ``ranges`` of values (at approximate
+    quantiles of all values, read by the driver as so many numbers), each range of each group is ranked by
+    itself and shifted by what lies below: a group with a third of all rows is ranked by many tasks."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__same"))
+    bounds = sorted(set(df.stat.approxQuantile(value, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    cut = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    counted = counted.withColumn("__range", F.size(F.filter(cut, lambda b: b < F.col(value))))
+    sums = counted.groupBy(*keys, "__range").agg(F.sum("__same").alias("__in"))
     by = Window.partitionBy(*keys)
-    upto = by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("__upto", F.sum("__same").over(upto)).withColumn(n, F.sum("__same").over(by))
+    below = F.sum("__in").over(by.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__in")
+    sums = sums.select(*keys, "__range", below.alias("__below"), F.sum("__in").over(by).alias(n))
+    tagged = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    sums = sums.select(*tagged, F.col("__range").alias("__r"), "__below", n)
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    within = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.join(sums, same).withColumn("__upto", F.col("__below") + F.sum("__same").over(within))
     hits = [F.min(F.when(F.col("__upto") > place, F.col(value))).alias(name) for name, place in places.items()]
     return placed.groupBy(*keys, n).agg(*hits)
 
@@ -73,13 +85,14 @@ def cohen_kappa(df: DataFrame, first: str, second: str) -> DataFrame:
     rows; rows with a null label are left out. One pass makes the confusion counts, the rest is over those."""
     pairs = df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
     cells = pairs.groupBy(F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b")).agg(F.count("*").alias("c"))
-    sides = cells.select(F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("c").alias("x"), F.lit(0).alias("y")), F.struct(F.col("b").alias("label"), F.lit(0).alias("x"), F.col("c").alias("y")))).alias("s"))
-    chance = sides.groupBy("s.label").agg(F.sum("s.x").alias("x"), F.sum("s.y").alias("y")).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("both"))
-    seen = cells.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0)).alias("same"))
-    total = F.col("n").cast("double")
+    none = F.lit(0).cast("bigint")
+    as_first = F.struct(F.col("a").alias("label"), F.col("c").alias("x"), none.alias("y"), F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(none).alias("same"))
+    as_second = F.struct(F.col("b").alias("label"), none.alias("x"), F.col("c").alias("y"), none.alias("same"))
+    labels = cells.select(F.explode(F.array(as_first, as_second)).alias("s")).groupBy("s.label").agg(F.sum("s.x").alias("x"), F.sum("s.y").alias("y"), F.sum("s.same").alias("same"))
+    sums = labels.agg(F.coalesce(F.sum("x"), none).alias("n"), F.sum("same").alias("same"), F.sum(F.col("x").cast("double") * F.col("y")).alias("both"))
+    total = F.nullif(F.col("n").cast("double"), F.lit(0.0))
     po, pe = F.col("same") / total, F.col("both") / (total * total)
-    kappa = F.when(F.col("n").isNotNull(), F.when(pe == 1, 1.0).otherwise(F.round(F.try_divide(po - pe, 1 - pe), 4)))
-    return seen.crossJoin(chance).select(F.coalesce("n", F.lit(0)).alias("n"), kappa.alias("kappa"))  # one row each
+    return sums.select("n", F.when(F.col("n") > 0, F.when(pe == 1, 1.0).otherwise(F.round(F.try_divide(po - pe, 1 - pe), 4))).alias("kappa"))
 
 
 def class_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
@@ -100,10 +113,12 @@ def class_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
 
 
 def weighted_confusion(df: DataFrame, stratum: str, population: str, kind: Column) -> DataFrame:
-    """Weights N/n of each stratum (its population over its rows) and sums of them by ``kind``."""
-    by = Window.partitionBy(stratum)
-    weighted = df.select(kind.alias("kind"), (F.col(population) / F.count("*").over(by)).alias("w"))
-    return weighted.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w").cast("decimal(20,6)")), 4).cast("double").alias("weight"))
+    """Weights N/n of each stratum (its population over its rows) and sums of them by ``kind``. Rows are
+    counted by stratum and kind before anything else."""
+    cells = df.groupBy(stratum, population, kind.alias("kind")).agg(F.count("*").alias("c"))
+    weight = (F.col(population) / F.sum("c").over(Window.partitionBy(stratum))).cast("decimal(20,6)")
+    weighted = cells.select("kind", "c", (weight * F.col("c")).alias("w"))
+    return weighted.groupBy("kind").agg(F.sum("c").alias("n"), F.round(F.sum("w"), 4).cast("double").alias("weight"))
 
 
 def recall_at(df: DataFrame, query: str, rank: str, hit: Column, ks: Sequence[int]) -> DataFrame:
@@ -123,10 +138,10 @@ def pool_recall(pool: DataFrame, found: DataFrame, kind: str, entity: str, fact:
     return per.groupBy(kind).agg(F.count("*").alias("entities"), F.sum("facts").alias("facts"), F.round(score, 6).alias("recall"))
 
 
-def digest(df: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
-    """One SHA-256 over all keys, independent of order and of how many rows one task can hold: a digest of
-    the sorted keys of each hash bucket, then one of the buckets' digests."""
-    bucket = F.pmod(F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
-    inner = df.where(F.col(key).isNotNull()).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("d"))
-    lines = F.array_sort(F.collect_list(F.struct("b", "d")))
-    return inner.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(lines, lambda x: x["d"]), "\n"), 256).alias("sha256"))
+def digest(df: DataFrame, key: str) -> DataFrame:
+    """``n`` and one SHA-256 over all non-null keys, whatever their order: it covers their number and the
+    sums of the four quarters of their hashes, so that every task sends a few numbers."""
+    sha = F.sha2(F.col(key).cast("string"), 256)
+    quarter = lambda i: F.conv(F.substring(sha, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+    sums = df.where(F.col(key).isNotNull()).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(quarter(i)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)])
+    return sums.select("n", F.sha2(F.concat_ws("|", "n", "s0", "s1", "s2", "s3"), 256).alias("sha256"))

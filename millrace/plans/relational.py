@@ -80,10 +80,9 @@ def list_companies_page(spark, folder):
     rows = read_table(spark, folder, "companies").withColumn("organisation_number", nine_digits(F.col("organisation_number"))).where("organisation_number IS NOT NULL")
     newest = rank.latest_per_key(rows, ["organisation_number"], [F.desc_nulls_last("updated_at"), F.col("row_id")])
     hit = newest.where(F.col("name").ilike("%energi%") | F.col("municipality").ilike("%energi%") | F.col("industry_label").ilike("%energi%"))
-    total = hit.agg(F.count("*").alias("n_matching"))
     page = hit.select("organisation_number", "name", "coverage_score").orderBy(F.lower("name"), "organisation_number").limit(27)
     placed = page.withColumn("place", F.row_number().over(Window.orderBy(F.lower("name"), "organisation_number")))
-    return placed.where("place > 2").crossJoin(total).withColumn("place", F.col("place") - 2)
+    return placed.where("place > 2").withColumn("place", F.col("place") - 2).withColumn("n_matching", F.lit(hit.count()).cast("bigint"))
 
 
 @query("""SELECT municipality, count(*) AS n, count(*) FILTER (coverage_score = 5) AS complete, count(*) FILTER (coverage_score < 3) AS thin, round(avg(coverage_score), 3) AS mean_score
@@ -209,15 +208,17 @@ def company_rollup(spark, folder):
     return out.select("organisation_number", "platforms", "exact", "reviewed", verdict.alias("verdict"))
 
 
-@query("""WITH k AS (SELECT CAST(o_orderkey AS VARCHAR) AS s, CAST(('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 4096 AS b FROM orders),
-    i AS (SELECT b, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS d FROM k GROUP BY b) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, chr(10) ORDER BY b)) AS sha256 FROM i""")
+_QUARTERS = ", ".join(f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)) AS s{i}" for i in range(4))
+
+
+@query(f"SELECT n, sha256(concat_ws('|', n, s0, s1, s2, s3)) AS sha256 FROM (SELECT count(*) AS n, {_QUARTERS} FROM (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders))")
 def dataset_digest(spark, folder):
     return aggregate.digest(read_table(spark, folder, "orders"), "o_orderkey")
 
 
 # ---------------------------------------------------------------- ranks, samples, quotas
-@query("""SELECT * FROM (SELECT c_custkey, c_mktsegment, count(*) OVER (PARTITION BY c_mktsegment) AS population_n, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('s1|' || c_custkey), c_custkey) - 1 AS INTEGER) AS rank FROM customer) x,
-    LATERAL (SELECT CASE WHEN rank < round_even(0.6 * population_n, 0) THEN 'development' WHEN rank < round_even(0.8 * population_n, 0) THEN 'held_out' ELSE 'validation' END AS split)""")
+@query("""SELECT * FROM (SELECT c_custkey, c_mktsegment, count(*) OVER (PARTITION BY c_mktsegment) AS population_n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('s1|' || c_custkey), c_custkey) - 1 AS place FROM customer) x,
+    LATERAL (SELECT CASE WHEN place < round_even(0.6 * population_n, 0) THEN 'development' WHEN place < round_even(0.8 * population_n, 0) THEN 'held_out' ELSE 'validation' END AS split)""")
 def split_assignment(spark, folder):
     rows = read_table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
     return rank.split_assignment(rows, "c_mktsegment", "c_custkey", "s1", {"development": 0.6, "held_out": 0.2, "validation": 0.2})

@@ -9,7 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from millrace.functions.orgid import digits_only, has_valid_check_digit
 
@@ -87,10 +86,11 @@ def read_inputs(lines: DataFrame, line: str, value: str) -> DataFrame:
     rows = lines.select(F.col(line).alias("line"), text.alias("t"), broken.alias("broken"), number.alias("organisation_number"), parsed["evaluation_split"].alias("evaluation_split"), parsed["sample_slice"].alias("sample_slice"))
     fault = F.when(F.col("t") == "", "empty_line").when(F.col("broken"), "malformed_json").when(~has_valid_check_digit(F.col("organisation_number")), "invalid_organisation_number")
     marked = rows.withColumn("error", fault)
-    # Only good numbers can repeat; the others are kept out of the window.
-    order = Window.partitionBy("organisation_number").orderBy("line")
-    good = marked.where("error IS NULL").withColumn("error", F.when(F.row_number().over(order) > 1, "duplicate_input"))
-    return good.unionByName(marked.where("error IS NOT NULL")).drop("t", "broken")
+    # A number's first line is a grouped minimum: however often it is repeated, no task holds its lines.
+    first = marked.where("error IS NULL").groupBy("organisation_number").agg(F.min("line").alias("first"))
+    joined = marked.join(first, "organisation_number", "left")
+    repeated = F.col("error").isNull() & (F.col("line") > F.col("first"))
+    return joined.withColumn("error", F.when(repeated, "duplicate_input").otherwise(F.col("error"))).select("line", "organisation_number", "evaluation_split", "sample_slice", "error")
 
 
 def read_json_shards(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:

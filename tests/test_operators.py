@@ -127,8 +127,10 @@ def test_quotas_add_up(spark):
 
 
 def test_splits_and_samples(spark):
-    df = spark.range(100).selectExpr("id", "id % 2 AS g", "id AS rank")
-    out = rank.split_assignment(df.drop("rank"), "g", "id", "s", {"a": 0.6, "b": 0.2, "c": 0.2})
+    df = spark.range(100).selectExpr("id", "id % 2 AS g")
+    out = rank.split_assignment(df, "g", "id", "s", {"a": 0.6, "b": 0.2, "c": 0.2})
+    places = rank.hash_places(spark.range(500).selectExpr("id", "IF(id % 3 = 0, NULL, 'hot') AS g"), ["g"], "id", "s", "|", slices=16)
+    assert {r.g: (r.n, r.top, r.p) for r in places.groupBy("g").agg(F.countDistinct("place").alias("n"), F.max("place").alias("top"), F.max("population_n").alias("p")).collect()} == {None: (167, 166, 167), "hot": (333, 332, 333)}
     assert values(out.groupBy("g", "split").count()) == [(0, "a", 30), (0, "b", 10), (0, "c", 10), (1, "a", 30), (1, "b", 10), (1, "c", 10)]
     sample = [r.id for r in rank.hash_sample(df, "id", 7, "s").collect()]
     assert len(sample) == 7 and sample == [r.id for r in rank.hash_sample(df.repartition(9), "id", 7, "s").collect()]
