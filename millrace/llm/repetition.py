@@ -27,24 +27,44 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 STATISTICS = ("repeated_share", "repeated_lines", "repeated_sentences", "top_phrase_share", "repeated_vocabulary")
 
 
-def repeated_words(words: list[str], passage: int = 5) -> int:
+def coded(words: list[str]) -> np.ndarray:
+    """64-bit codes of words."""
+    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+
+def _windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """64-bit codes of the runs of ``size`` words."""
+    n = len(codes) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(size if n > 0 else 0):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + codes[i : n + i]
+    return out
+
+
+def repeated_in(codes: np.ndarray, passage: int = 5) -> int:
     """Number of words that lie in passages of at least ``passage`` words that occurred before, starting
-    earlier, in the same document. Passages are told apart by 64-bit hashes."""
-    n = len(words)
+    earlier, in the same document; words as ``coded``."""
+    n = len(codes)
     if n <= passage:
         return 0
-    codes = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
-    windows = np.zeros(n - passage + 1, np.uint64)
-    for i in range(passage):
-        windows = (windows ^ (windows >> np.uint64(29))) * _MIX + codes[i : n - passage + 1 + i]
-    _, first, inverse = np.unique(windows, return_index=True, return_inverse=True)
-    again = first[inverse] < np.arange(windows.size)
+    windows = _windows(codes, passage)
+    order = np.argsort(windows, kind="stable")
+    ranked = windows[order]
+    again = np.zeros(windows.size, bool)
+    again[order[1:]] = ranked[1:] == ranked[:-1]
+    if not again.any():
+        return 0
     edges = np.zeros(n + 1, np.int64)
     edges[: windows.size] += again
     edges[passage : passage + windows.size] -= again
     return int((np.cumsum(edges)[:n] > 0).sum())
 
 
+def repeated_words(words: list[str], passage: int = 5) -> int:
+    """As ``repeated_in``, of words."""
+    return repeated_in(coded(words), passage)
+
+
 def repeated_words_plainly(words: list[str], passage: int = 5) -> int:
     """As ``repeated_words``, word by word from the definition: what samples are labelled by."""
     seen: set[tuple[str, ...]] = set()
@@ -72,11 +92,16 @@ def statistics_of(text: str | None) -> tuple[int, int, float, float, float, floa
     n = len(ws)
     if not n:
         return 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0
-    repeated = repeated_words(ws)
+    codes = coded(ws)
+    repeated = repeated_in(codes)
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     sentences = [x for x in map(str.strip, _SENTENCE_END.split(text)) if x]
-    top = Counter(zip(ws, ws[1:], ws[2:], strict=False)).most_common(1)
-    phrase = min(1.0, 3 * top[0][1] / n) if top and top[0][1] > 1 else 0.0
+    phrases = np.sort(_windows(codes, 3))
+    phrase = 0.0
+    if phrases.size > 1:
+        starts = np.flatnonzero(np.concatenate(([True], phrases[1:] != phrases[:-1])))
+        most = int(np.diff(np.append(starts, phrases.size)).max())
+        phrase = min(1.0, 3 * most / n) if most > 1 else 0.0
     return n, repeated, repeated / n, _repeated_part(lines), _repeated_part(sentences), phrase, 1 - len(set(ws)) / n
 
 

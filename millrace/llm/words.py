@@ -18,7 +18,6 @@ _UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 _PERCENT_ESCAPE = re.compile(r"(?:%[89A-Fa-f][0-9A-Fa-f])+")
 _BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 _WORD = re.compile(r"[^\W_]+")
-_WORD_NOT_NUMBER = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
 
 
 @lru_cache(maxsize=65536)
@@ -58,4 +57,4 @@ def words(text: str | None) -> list[str]:
 
 def words_but_numbers(text: str | None) -> list[str]:
     """As ``words``, all-digit words left out."""
-    return _WORD_NOT_NUMBER.findall(plain(text)) if text else []
+    return [w for w in _WORD.findall(plain(text)) if not w.isdigit()] if text else []
