@@ -126,3 +126,21 @@ def change_from_previous(df: DataFrame, key: str, order: str, value: str) -> Dat
     out = df.withColumn("previous", previous)
     delta = F.col(value) - F.col("previous")
     return out.withColumn("delta", F.round(delta, 2)).withColumn("percent", F.round(F.try_divide(100 * delta, F.abs(F.col("previous"))), 2))
+
+
+def priority_sample(df: DataFrame, priority: str, key: str, limit: int, seed: str) -> DataFrame:
+    """Rows by priority (higher first, null last), in seeded hash order within one; a top-k."""
+    hashed = df.withColumn("__hash", seeded_rank(seed, F.col(key), ":"))
+    return hashed.orderBy(F.desc_nulls_last(priority), "__hash", key).limit(limit).drop("__hash")
+
+
+def filled_sample(df: DataFrame, stratum: str, key: str, limit: int, seed: str) -> DataFrame:
+    """Floors of proportional quotas by stratum in seeded hash order, the rest filled from all others in
+    another hash order."""
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("__size"))
+    total = Window.partitionBy()
+    quotas = sizes.select(F.col(stratum).alias("__q"), F.floor(F.col("__size") * limit / F.sum("__size").over(total)).alias("__quota"))
+    placed = hash_places(df, [stratum], key, seed, ":").join(quotas, F.col(stratum).eqNullSafe(F.col("__q")))
+    chosen = placed.withColumn("__first", F.col("place") < F.col("__quota")).drop("__q", "__quota", "place", "population_n")
+    order = [F.desc("__first"), seeded_rank(seed + ":rest", F.col(key), ":"), F.col(key)]
+    return chosen.orderBy(*order).limit(limit).drop("__first")
