@@ -124,7 +124,7 @@ def pack(
     groups = max(1, -(-total // group_tokens), -(-items // group_items))
     capacities = dict(specs)
     kind = counts.schema["item_id"].dataType.simpleString()
-    member = F.pmod(F.xxhash64("item_id"), F.lit(groups))
+    member = F.pmod(F.xxhash64("item_id", "n_tokens"), F.lit(groups))  # lengths spread repeated ids
     rows = counts.select(F.explode(F.array(*[F.lit(s).cast("int") for s in capacities] or [F.lit(None).cast("int")])).alias("spec_id"), member.alias("grp"), "item_id", "n_tokens")
 
     def run(table: pa.Table) -> pa.Table:
