@@ -113,3 +113,13 @@ def capped(weight: float, value: Column) -> Column:
 def seeded_rank(seed: str, key: Column, separator: str = "|") -> Column:
     """Hexadecimal SHA-256 of seed and key: its order is a random order that never changes."""
     return F.sha2(F.concat(F.lit(seed + separator), key.cast("string")), 256)
+
+
+def search_queries(name: Column, place: Column, number: Column) -> Column:
+    """Search questions for an entity: its quoted name with its place, its number with its name, first
+    occurrences; parts that are null or blank are left out, and so are questions without a name."""
+    clean = lambda c: F.nullif(squeezed(c), F.lit(""))
+    quoted = F.concat(F.lit('"'), clean(name), F.lit('"'))
+    by_place = F.when(clean(name).isNotNull(), F.concat_ws(" ", quoted, clean(place)))
+    by_number = F.when(clean(name).isNotNull() & clean(number).isNotNull(), F.concat_ws(" ", clean(number), quoted))
+    return F.array_distinct(F.array_compact(F.array(by_place, by_number)))

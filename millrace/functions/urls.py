@@ -45,3 +45,15 @@ def under_any(name: Column, domains: list[str]) -> Column:
     for t in tests:
         out = out | F.coalesce(t, F.lit(False))
     return out
+
+
+def path_parts(value: Column) -> Column:
+    """Segments of a URL's path in lower case, no empty ones."""
+    path = F.regexp_extract(F.lower(homepage(value)), r"^[a-z][a-z0-9+.\-]*://[^/?#]+([^?#]*)", 1)
+    return F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda p: p != "")
+
+
+def term_weight(value: Column, weights: dict[str, int], otherwise: int) -> Column:
+    """The smallest weight of the terms that a URL holds; ``otherwise`` if it holds none."""
+    low = F.lower(F.coalesce(value, F.lit("")))
+    return F.least(F.lit(otherwise), *[F.when(F.contains(low, F.lit(t)), w).otherwise(otherwise) for t, w in weights.items()])

@@ -54,3 +54,42 @@ def completeness(rows: DataFrame, key: str, weights: dict[str, float]) -> DataFr
     """``key, score``: the sum of the weights of the fields that are filled, to three places."""
     filled = [F.when(F.coalesce(F.col(f).cast("string") != "", F.lit(False)), w).otherwise(0.0) for f, w in weights.items()]
     return rows.select(key, F.round(sum(filled[1:], filled[0]), 3).alias("score"))
+
+
+def merge_available(claims: Column, states: Column, available: str = "available") -> Column:
+    """The entries of a map of claims whose state (a map under the same keys) is ``available``."""
+    return F.map_filter(claims, lambda k, _: F.coalesce(F.try_element_at(states, k) == available, F.lit(False)))
+
+
+def complete_for(states: Column, modules: Sequence[str], done: Sequence[str]) -> Column:
+    """Whether every one of ``modules`` has a state in ``done``; a missing module or a null map is not complete."""
+    checks = F.array(*[F.coalesce(F.try_element_at(states, F.lit(m)).isin(*done), F.lit(False)) for m in modules])
+    return states.isNotNull() & F.forall(checks, lambda c: c)
+
+
+def sole_value(candidates: Column, priorities: Column) -> Column:
+    """The value among ``candidates`` (an array) of the best (lowest) priority, or null where candidates of
+    that priority disagree: better no value than a guess. Null candidates don't count."""
+    pairs = F.filter(F.arrays_zip(candidates.alias("v"), priorities.alias("p")), lambda x: x["v"].isNotNull() & x["p"].isNotNull())
+    best = F.array_min(F.transform(pairs, lambda x: x["p"]))
+    values = F.array_distinct(F.transform(F.filter(pairs, lambda x: x["p"] == best), lambda x: x["v"]))
+    return F.when(F.size(values) == 1, F.try_element_at(values, F.lit(1)))
+
+
+def label_spread(choice: Column, confidence: Column, labels: Sequence[str]) -> Column:
+    """Probabilities over closed labels: the confidence for the choice, the rest shared evenly by the others;
+    all alike where the choice is no label or the confidence is null."""
+    known = F.coalesce(choice.isin(*labels), F.lit(False)) & confidence.isNotNull()
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+    rest = (1 - held) / max(1, len(labels) - 1)
+    return F.create_map(*[x for label in labels for x in (F.lit(label), F.round(F.when(~known, 1 / len(labels)).when(choice == label, held).otherwise(rest), 6))])
+
+
+def promotion(candidate: DataFrame, baseline: DataFrame, kind: str, score: str, least_gain: float = 0.02, most_loss: float = 0.01) -> DataFrame:
+    """One row: kinds compared, the largest gain and loss, and whether the candidate is ``promoted``: some kind
+    gains at least ``least_gain`` and none loses more than ``most_loss``. A kind one side lacks scores 0 there."""
+    a = candidate.select(kind, F.col(score).alias("a"))
+    b = baseline.select(kind, F.col(score).alias("b"))
+    delta = F.round(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)), 6)
+    sums = a.join(b, kind, "full_outer").agg(F.count("*").alias("kinds"), F.max(delta).alias("gain"), F.min(delta).alias("loss"))
+    return sums.withColumn("promoted", F.coalesce((F.col("gain") >= least_gain) & (F.col("loss") >= -most_loss), F.lit(False)))

@@ -147,7 +147,7 @@ _TIME = (
     r"(?:(?P<J>A)\.? ?|,? (?:(?P<K>A)[.:]? )?)"
     r"(?:(?P<h>9{1,2})[:.](?P<m>99)(?:[:.](?P<s>99)(?:[.,](?P<f>9+))?)?|(?P<hm>9{4}(?:99)?))"
     r"(?: ?(?P<X>A))?(?: (?P<X2>A))?"
-    r"(?: ?(?P<sign>[-+])(?:(?P<ohm>9{4})|(?P<oh>99)(?::(?P<om>99))?))?"
+    r"(?: ?(?P<sign>[-+])(?:(?P<ohm>9{4})|(?P<oh>9{1,2})(?::(?P<om>99))?)(?: [(\[]?A[)\]]?)?)?"
     r"(?P<zone> ?[\[(]?A(?:[/_+-][A9]+)+[\])]?)?"
 )
 _MASKS = tuple(re.compile(r"(?:A[.:,]? )*?" + d + rf"(?P<time>{_TIME})?") for d in _DATES)

@@ -83,3 +83,16 @@ def fill_empty(left: DataFrame, right: DataFrame, key: str, columns: Sequence[st
     for c in columns:
         joined = joined.withColumn(c, F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}")))
     return joined.drop(*[f"__{c}" for c in columns])
+
+
+def replayed(requests: DataFrame, responses: DataFrame, url: str, status: str) -> DataFrame:
+    """Requests answered from frozen responses (one a URL); an unknown URL is an error row, ``status`` null
+    and ``error`` set, never a request that is lost."""
+    joined = requests.join(responses.withColumn("__known", F.lit(True)), url, "left")
+    return joined.withColumn("error", F.when(F.col("__known").isNull(), "unknown_url")).drop("__known")
+
+
+def chain_match(truth: Column, predicted: Column, chain: Column) -> Column:
+    """How a predicted domain meets the truth: ``same``, ``redirect`` (the truth lies on the chain of
+    redirects), or ``other``; ``none`` without a prediction."""
+    return F.when(predicted.isNull(), "none").when(predicted == truth, "same").when(F.coalesce(F.array_contains(chain, truth), F.lit(False)), "redirect").otherwise("other")

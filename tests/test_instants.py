@@ -30,6 +30,8 @@ OSLO = [
     ("2024-10-27T02:02:12+02:00[Europe/London]", "2024-10-27T00:02:12.000000Z"),
     ("2026-02-25 22:06 Europe/Helsinki", "2026-02-25T20:06:00.000000Z"),
     ("2025-04-30T23:00:00+12:45", "2025-04-30T10:15:00.000000Z"),
+    ("Tue, 02 Jul 2024 19:36:45 +0200 (CEST)", "2024-07-02T17:36:45.000000Z"),
+    ("2024-07-02 19:36 UTC+2", "2024-07-02T17:36:00.000000Z"),
     ("2025-04-30T23:00:00-0330", "2025-05-01T02:30:00.000000Z"),
     ("1700000000", "2023-11-14T22:13:20.000000Z"),
     ("1700000000123", "2023-11-14T22:13:20.123000Z"),

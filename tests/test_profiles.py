@@ -75,3 +75,41 @@ def test_priority_and_filled_samples(spark):
     assert set(range(5)) <= first and len(first) == 7
     out = rank.filled_sample(df, "g", "id", 10, "s").groupBy("g").count().collect()
     assert sum(r["count"] for r in out) == 10 and {r.g for r in out} == {"a", "b"}
+
+
+def test_evidence_rules(spark):
+    from millrace.operators import evidence
+
+    df = spark.createDataFrame([(1, {"a": "ok", "b": "no"}, {"a": "1", "b": "2", "c": "3"}, [5, 7, None], [1, 1, 1]), (2, None, None, [5, 7], [2, 1]), (3, {}, {}, [], [])], "k int, s map<string,string>, c map<string,string>, v array<int>, p array<int>")
+    got = {r.k: tuple(r)[1:] for r in df.select("k", evidence.complete_for(F.col("s"), ("a",), ("ok",)), evidence.merge_available(F.col("c"), F.col("s"), "ok"), evidence.sole_value(F.col("v"), F.col("p"))).collect()}
+    assert got == {1: (True, {"a": "1"}, None), 2: (False, None, 7), 3: (False, {}, None)}
+    labels = spark.createDataFrame([("x", 0.7), ("q", 0.7), ("x", None)], "c string, p double")
+    spreads = [r[0] for r in labels.select(evidence.label_spread(F.col("c"), F.col("p"), ["x", "y", "z"])).collect()]
+    assert spreads[0] == {"x": 0.7, "y": 0.15, "z": 0.15} and spreads[1] == spreads[2] == {"x": 0.333333, "y": 0.333333, "z": 0.333333}
+    a = spark.createDataFrame([("k", 0.5), ("l", 0.4)], "kind string, s double")
+    b = spark.createDataFrame([("k", 0.45), ("l", 0.45)], "kind string, s double")
+    assert [tuple(r) for r in evidence.promotion(a, b, "kind", "s").collect()] == [(2, 0.05, -0.05, False)]
+    assert evidence.promotion(a, b.where("kind = 'k'"), "kind", "s").first().promoted
+
+
+def test_urls_and_questions(spark):
+    from millrace.functions import text, urls
+    from millrace.operators import relate
+
+    df = spark.createDataFrame([("https://a.no//Jobb/x?q", " Firm  AS ", "Oslo", "1"), (None, None, "Oslo", "1"), ("a.no", "Firm", None, None)], "u string, n string, p string, o string")
+    got = [tuple(r) for r in df.select(urls.path_parts(F.col("u")), urls.term_weight(F.col("u"), {"jobb": 2}, 9), text.search_queries(F.col("n"), F.col("p"), F.col("o"))).collect()]
+    assert got == [(["jobb", "x"], 2, ['"Firm AS" Oslo', '1 "Firm AS"']), ([], 9, []), ([], 9, ['"Firm"'])]
+    requests = spark.createDataFrame([("u1",), ("u2",)], "url string")
+    responses = spark.createDataFrame([("u1", 200)], "url string, code int")
+    assert {tuple(r) for r in relate.replayed(requests, responses, "url", "code").collect()} == {("u1", 200, None), ("u2", None, "unknown_url")}
+    chain = spark.createDataFrame([("t", "t", []), ("t", "p", ["t"]), ("t", None, None), (None, "p", ["x"])], "t string, p string, c array<string>")
+    assert [r[0] for r in chain.select(relate.chain_match(F.col("t"), F.col("p"), F.col("c"))).collect()] == ["same", "redirect", "none", "other"]
+
+
+def test_scans_read_only_the_columns_they_need(spark, sf):
+    import __spark_entry__ as entry
+
+    for name, unwanted in {"p3_found": ("website_html", "content_sha256"), "dedupe_first_wins": ("url", "published_at"), "latency_nearest_rank": ("props", "user_id"), "counter_one_level": ("text",), "url_priority": ("html",), "shared_key_counts": ("rule_evidence",)}.items():
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        schemas = [line.split("ReadSchema:")[1] for line in plan.split("\n") if "ReadSchema:" in line]
+        assert schemas and not any(f"{u}:" in s for u in unwanted for s in schemas), name
