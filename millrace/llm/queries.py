@@ -34,6 +34,12 @@ def p4_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return residue.title_verdicts(audit, {"audit_id": F.col("audit_id")}, F.col("page_title")).groupBy("verdict").agg(F.count("*").alias("n_titles"))
 
 
+def p4_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates mined from the audit titles, each classified once, with how many titles it has."""
+    audit = read_table(spark, folder, "g4_registry_floor_audit").select("audit_id", "page_title").distinct()
+    return residue.mined_templates(audit, F.col("page_title"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of the own bodies of pages; pages that hold residue are passed over."""
     keys = {"source_table": F.lit("briefs"), "record_key": F.col("brief_id").cast("string"), "page_ord": F.col("page_ord")}
@@ -79,4 +85,4 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition_statistics(documents, F.col("doc_id"), F.col("text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_verdicts": p4_verdicts, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p4_found": p4_found, "p4_verdicts": p4_verdicts, "p4_templates": p4_templates, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_shares": p8_shares}

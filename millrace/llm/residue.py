@@ -129,10 +129,11 @@ def classify(template: tuple[str, ...]) -> str:
 
 
 class TemplateTree:
-    """Templates under a path of token count and first ``depth`` tokens, each with its verdict.
+    """Templates under a path of token count and first ``depth`` tokens, each with its verdict and the
+    number of messages that had it.
 
-    ``counts`` says how many messages had each template. A tree holds at most ``most`` templates and
-    starts anew beyond that; since verdicts depend on templates alone, this changes no verdict."""
+    A tree holds at most ``most`` templates and starts anew beyond that; since verdicts depend on
+    templates alone, this changes no verdict (``drain`` hands out the counts before)."""
 
     def __init__(self, depth: int = 3, most: int = 200_000):
         self.depth, self.most = depth, most
@@ -150,9 +151,22 @@ class TemplateTree:
             if self.size >= self.most:
                 self.root, self.size = {}, 0
                 return self.verdict(message)
-            known = leaf[template] = classify(template)
+            known = leaf[template] = [classify(template), 0]
             self.size += 1
-        return known
+        known[1] += 1
+        return known[0]
+
+    def drain(self) -> list[tuple[str, str, int]]:
+        """Template, verdict and count of all that the tree holds; the tree is empty then."""
+        out, stack = [], [self.root]
+        while stack:
+            for key, node in stack.pop().items():
+                if key == "":
+                    out += [(" ".join(t), verdict, n) for t, (verdict, n) in node.items()]
+                else:
+                    stack.append(node)
+        self.root, self.size = {}, 0
+        return out
 
 
 def holds_slot(message: str) -> bool:
@@ -273,3 +287,26 @@ def title_verdicts(df: DataFrame, keys: dict[str, Column], title: Column) -> Dat
 def page_verdicts(df: DataFrame, keys: dict[str, Column], html: Column) -> DataFrame:
     """As ``title_verdicts``, for pages of HTML."""
     return _verdicts(df, keys, html, lambda t: page_verdict(read_page(t), worker_tree()))
+
+
+def mined_templates(df: DataFrame, message: Column, depth: int = 3) -> DataFrame:
+    """``template, verdict, n_messages`` of all non-null messages. Every task mines its own tree and sends
+    the templates with their counts; equal templates of different tasks are added up."""
+    picked = df.select(message.alias("message")).where("message IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = TemplateTree(depth)
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*tree.drain(), strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["template", "verdict", "n"])
+
+        for b in batches:
+            for m in b.column(0).to_pylist():
+                if tree.size >= tree.most:
+                    yield batch()
+                tree.verdict(m)
+        yield batch()
+
+    partial = picked.mapInArrow(run, "template string, verdict string, n bigint")
+    return partial.groupBy("template", "verdict").sum("n").withColumnRenamed("sum(n)", "n_messages")

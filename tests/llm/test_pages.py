@@ -103,10 +103,18 @@ def test_templates_are_classified_once(monkeypatch):
     for i in range(100):
         tree.verdict(f"Ordren på {i} enheter Navn{i} leveres")
     assert len(calls) == len(set(calls)) == 1
+    assert tree.drain() == [("<*> <n> <*>", "ordinary", 100)] and tree.drain() == []
     small = residue.TemplateTree(most=3)
     assert {small.verdict(w) for w in ("page", "not", "found", "error", "page not")} == {"ordinary"}
 
 
+def test_mined_templates_count_every_message(spark):
+    rows = [("404 Not Found",), ("500 Not Found",), ("Access denied",), (None,), ("Firma 12 AS",), ("Firma 13 AS",), ("",)]
+    got = residue.mined_templates(spark.createDataFrame(rows * 3, "m string").repartition(5), F.col("m"))
+    assert {tuple(r) for r in got.collect()} == {("<n> not found", "error", 6), ("access denied", "error", 3), ("<*> <n> <*>", "ordinary", 6), ("", "ordinary", 3)}
+    assert residue.mined_templates(spark.createDataFrame([], "m string"), F.col("m")).count() == 0
+
+
 PAGES = {
     "error": "<title>Firm</title><article><h1>502 Bad Gateway</h1></article>",
     "script": "<title>App</title><div id='root'></div><noscript>You need to enable JavaScript to run this app.</noscript>",
