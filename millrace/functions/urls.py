@@ -22,20 +22,19 @@ def host(value: Column) -> Column:
     return F.nullif(F.regexp_replace(name, r"^www\.", ""), F.lit(""))
 
 
+_WHOLE = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)[^/?#]*([^?#]*?)/*(\?[^#]+)?\??(?:#.*)?$"
+
+
 def url_key(value: Column) -> Column:
     """What makes two URLs the same page: host, path without its last slash, and query, in lower case."""
-    path = F.regexp_extract(F.lower(homepage(value)), r"^[a-z][a-z0-9+.\-]*://[^/?#]+([^?#]*)", 1)
-    query = F.regexp_extract(F.lower(homepage(value)), r"\?([^#]*)", 1)
-    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
-    return F.when(host(value).isNotNull(), F.concat(host(value), F.regexp_replace(path, "/+$", ""), tail))
+    low = F.lower(homepage(value))
+    return F.when(low.rlike(_WHOLE), F.regexp_replace(low, _WHOLE, "$1$2$3"))
 
 
 def registered_domain(value: Column) -> Column:
     """The last two labels of the host, three under a longer public suffix."""
-    labels = F.split(host(value), r"\.")
-    n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
-    return F.when(host(value).isNotNull(), F.when(last(2).isin(*LONG_SUFFIXES), last(3)).otherwise(last(2)))
+    name = host(value)
+    return F.when(F.substring_index(name, ".", -2).isin(*LONG_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def under_any(name: Column, domains: list[str]) -> Column:

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import spread
+
 #: A pair of labels: that of the enclosing value ("" at the record, and the list's own label for an
 #: element of a list) and that of the list.
 Pair = tuple[str, str]
@@ -58,7 +60,7 @@ def list_pairs(df: DataFrame, text: Column, most: int = 100_000) -> frozenset[Pa
             seen |= new
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in new], pa.string()) for i in (0, 1)], names=["enclosing", "label"])
 
-    rows = df.select(text.alias("text")).mapInArrow(run, "enclosing string, label string").distinct().limit(most + 1).collect()
+    rows = spread(df.select(text.alias("text"))).mapInArrow(run, "enclosing string, label string").distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} pairs of labels hold lists; these documents are no records of one kind")
     return frozenset((r[0], r[1]) for r in rows)
@@ -132,7 +134,7 @@ def adjacency(df: DataFrame, key: Column, text: Column, pairs: Iterable[Pair] |
                 columns[5] = [_scalar_text(x) for x in columns[5]]
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(columns[0]), pa.string())] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["record_key", *names])
 
-    return df.select(key.cast("string").alias("record_key"), text.alias("text")).mapInArrow(run, "record_key string, " + _ADJACENCY)
+    return spread(df.select(key.cast("string").alias("record_key"), text.alias("text"))).mapInArrow(run, "record_key string, " + _ADJACENCY)
 
 
 def object_nodes(df: DataFrame, key: Column, text: Column, pairs: Iterable[Pair] | None = None, scalars: bool = True) -> DataFrame:
@@ -165,7 +167,7 @@ def object_nodes(df: DataFrame, key: Column, text: Column, pairs: Iterable[Pair]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["record_key", "node", "label", "ordinal", "child_path", "parent_path", "filled", "scalars"])
 
     schema = "record_key string, node int, label string, ordinal int, child_path string, parent_path string, filled int, scalars map<string,string>"
-    return df.select(key.cast("string").alias("record_key"), text.alias("text")).mapInArrow(run, schema)
+    return spread(df.select(key.cast("string").alias("record_key"), text.alias("text"))).mapInArrow(run, schema)
 
 
 def entity_table(objects: DataFrame, label: str, columns: dict[str, str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.canon import folded_text, json_digest
 from millrace.functions.orgid import nine_digits
 from millrace.operators import instants, shred, snapshots
+from millrace.session import spread
 from millrace.sources.tables import read_table
 
 #: Volatile keys of an envelope, left out when contents are compared.
@@ -54,7 +55,7 @@ def entry_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def envelope_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Changes of the envelopes' content between snapshots: as ``entry_changes``."""
-    rows = read_table(spark, folder, "companies")
+    rows = spread(read_table(spark, folder, "companies").select("organisation_number", "snapshot_date", "updated_at", "latest_envelope"))
     content = json_digest(VOLATILE)(F.col("latest_envelope"))
     latest = snapshots.latest_versions(rows, nine_digits(F.col("organisation_number")), F.col("snapshot_date"), F.col("updated_at"), content)
     return _named(snapshots.changes(latest))

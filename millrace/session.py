@@ -43,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     costs a read and no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that costs far more a row than
+    moving it. A table that comes in few unsplittable files is dealt out once; one with splits enough, as
+    any large table has, stays where it lies. For scans and what is done row by row to them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
