@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import words
+from millrace.session import spread
 
 
 class PhraseIndex:
@@ -91,7 +92,7 @@ def leaked_passages(
     for block in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         index = context.broadcast(PhraseIndex([(r[0], words(r[1])) for r in part.distinct().collect()], run))
-        found = picked.where("text IS NOT NULL").mapInArrow(_search(index), schema)
+        found = spread(picked.where("text IS NOT NULL")).mapInArrow(_search(index), schema)
         out = found if out is None else out.unionByName(found)
     return out
 

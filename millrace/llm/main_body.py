@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from millrace.llm.page_events import Page, read_page
+from millrace.session import spread
 
 #: Tags whose content never is a page's own body.
 ASIDE_TAGS = frozenset({"nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "iframe", "object", "canvas", "svg"})
@@ -221,4 +222,4 @@ def _per_page(pages: DataFrame, keys: dict[str, Column], html: Column, leave_out
             kept = [b.column(n).take(pa.array(at, pa.int32())) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(order, pa.int32()), pa.array(blocks, pa.string())], names=[*names, "block_ord", value])
 
-    return picked.mapInArrow(run, picked.select(*names).schema.add("block_ord", "integer").add(value, "string"))
+    return spread(picked).mapInArrow(run, picked.select(*names).schema.add("block_ord", "integer").add(value, "string"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, spread
 
 #: Rank file of a public byte-level BPE for many languages; a parameter, never part of the repository.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -49,7 +49,7 @@ def token_counts(df: DataFrame, key: Column, text: Column, tokenizer: str = TOKE
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["item_id", "n_tokens"])
 
     picked = df.select(key.alias("item_id"), text.alias("text")).where("text IS NOT NULL")
-    return picked.mapInArrow(run, picked.select("item_id").schema.add("n_tokens", "long"))
+    return spread(picked).mapInArrow(run, picked.select("item_id").schema.add("n_tokens", "long"))
 
 
 def best_two_fit(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decision_list import Condition, DecisionList, learn
 from millrace.llm.words import words_but_numbers
+from millrace.session import spread
 
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +109,7 @@ def statistics_of(text: str | None) -> tuple[int, int, float, float, float, floa
 def repetition_statistics(documents: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """``doc_id, n_words, repeated_words`` and STATISTICS of each document. Null and empty texts have
     no words and share 0; repeated ids give a row each."""
-    return _statistics(documents.select(doc_id.alias("doc_id"), text.alias("text")), labelled=False)
+    return _statistics(spread(documents.select(doc_id.alias("doc_id"), text.alias("text"))), labelled=False)
 
 
 def _statistics(picked: DataFrame, labelled: bool) -> DataFrame:

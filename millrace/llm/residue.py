@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 
 from millrace.llm.main_body import HEADINGS, _surroundings, own_blocks
 from millrace.llm.page_events import Page, read_page
+from millrace.session import spread
 
 # ---------------------------------------------------------------- fixed values
 #: Whole titles (or whole parts of one) that software sets by default, or that stand for no value.
@@ -275,7 +276,7 @@ def _verdicts(df: DataFrame, keys: dict[str, Column], value: Column, of) -> Data
             kinds = pa.array([of(v) for v in b.column("__value").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [kinds], names=[*names, "verdict"])
 
-    return picked.mapInArrow(run, picked.select(*names).schema.add("verdict", "string"))
+    return spread(picked).mapInArrow(run, picked.select(*names).schema.add("verdict", "string"))
 
 
 def title_verdicts(df: DataFrame, keys: dict[str, Column], title: Column) -> DataFrame:
