@@ -371,12 +371,13 @@ def rekey_to_parent(spark, folder):
     return out.groupBy("entity", "how").agg(F.count("*").alias("n"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
-@query("""SELECT host, count(DISTINCT organisation_number) AS owners FROM (SELECT organisation_number, regexp_replace(regexp_extract(lower(final_url), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', '') AS host FROM g4_registry_floor_audit)
+@query(r"""SELECT host, count(DISTINCT organisation_number) AS owners FROM (SELECT organisation_number, regexp_replace(regexp_extract(lower(source_url), '^[a-z]+://([^/?#:]+)', 1), '^www\.', '') AS host FROM sentiment_inference_smoke)
     WHERE host <> '' GROUP BY 1 HAVING count(DISTINCT organisation_number) >= 2""")
 def shared_key_counts(spark, folder):
+    """Hosts that several organisations are written about on."""
     from millrace.functions.urls import host
 
-    rows = read_table(spark, folder, "g4_registry_floor_audit").select("organisation_number", host(F.col("final_url")).alias("host"))
+    rows = read_table(spark, folder, "sentiment_inference_smoke").select("organisation_number", host(F.col("source_url")).alias("host"))
     return relate.shared_keys(rows, "host", "organisation_number")
 
 
