@@ -17,6 +17,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -48,8 +49,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that costs far more a row than
     moving it. A table that comes in few unsplittable files is dealt out once; one with splits enough, as
-    any large table has, stays where it lies. For scans and what is done row by row to them."""
+    any large table has, stays where it lies, and so does one that was shuffled before (an adaptive plan,
+    whose partitions are only known once it has run)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.rdd().getNumPartitions() >= cores:
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
         return df
-    return df.repartition(cores)
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
