@@ -71,8 +71,8 @@ def page_numbers_vs_own(spark, folder):
     return rows.select("brief_id", "page_ord", F.coalesce(F.arrays_overlap(found, own), F.lit(False)).alias("has_own"), F.size(F.array_except(found, own)).alias("others"))
 
 
-@query("""SELECT recovery_id, i - 1 AS item_ord, list_has_any(list_filter(string_split(regexp_extract(lower(u), '^[a-z][a-z0-9+.\\-]*://[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> ''), ['jobb', 'stilling', 'karriere']) OR regexp_matches(t, '^(les mer|hjem|meny)') AS noise FROM
-    (SELECT DISTINCT recovery_id, i, activity.items[i].url AS u, lower(trim(activity.items[i].title)) AS t FROM (SELECT recovery_id, activity, unnest(range(1, len(activity.items) + 1)) AS i FROM recovery)) WHERE u IS NOT NULL AND t IS NOT NULL""".replace("i - 1 AS item_ord", "CAST(i - 1 AS INTEGER) AS item_ord"))
+@query("""SELECT recovery_id, CAST(i - 1 AS INTEGER) AS item_ord, list_has_any(list_filter(string_split(regexp_extract(lower(u), '^[a-z][a-z0-9+.\\-]*://[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> ''), ['jobb', 'stilling', 'karriere']) OR regexp_matches(t, '^(les mer|hjem|meny)') AS noise FROM
+    (SELECT DISTINCT recovery_id, i, activity.items[i].url AS u, lower(trim(activity.items[i].title)) AS t FROM (SELECT recovery_id, activity, unnest(range(1, len(activity.items) + 1)) AS i FROM recovery)) WHERE u IS NOT NULL AND t IS NOT NULL""")
 def activity_noise(spark, folder):
     """Items that are navigation or job pages, by path segments and by how their titles begin."""
     items = read_table(spark, folder, "recovery").select("recovery_id", F.posexplode("activity.items").alias("item_ord", "x")).where("x.url IS NOT NULL AND x.title IS NOT NULL")

@@ -243,19 +243,22 @@ def gap_reasons(spark, folder):
     return rows.select("recovery_id", F.array_join(cascade.gap_reasons(tests), ",").alias("reasons"))
 
 
-@query("""SELECT recovery_id, count(*) AS kept, count(*) FILTER (n > 1) AS agreed FROM (SELECT recovery_id, t, count(*) AS n FROM (SELECT recovery_id, trim(regexp_replace(lower(x.title), '\\W+', ' ', 'g')) AS t FROM
-    (SELECT recovery_id, unnest(list_concat(coalesce(hiring.postings, []), coalesce(hiring.company_site_postings, []), coalesce(hiring.nav_ads, []))) AS x FROM (SELECT DISTINCT recovery_id, hiring FROM recovery)) WHERE x.title <> '') GROUP BY 1, 2) GROUP BY 1""".replace("\\\\W", "\\W"))
+@query(r"""SELECT recovery_id, count(*) AS kept, count(*) FILTER (n > 1) AS agreed FROM (SELECT recovery_id, t, count(*) AS n FROM (SELECT recovery_id, trim(regexp_replace(lower(x.title), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM
+    (SELECT recovery_id, unnest(list_concat(coalesce(hiring.postings, []), coalesce(hiring.company_site_postings, []), coalesce(hiring.nav_ads, []))) AS x FROM (SELECT DISTINCT recovery_id, hiring FROM recovery)) WHERE x.title <> '') GROUP BY 1, 2) GROUP BY 1""")
 def posting_merge(spark, folder):
     """Postings of three lists merged by normalised title; a title that several lists have is agreed."""
     rows = read_table(spark, folder, "recovery").select("recovery_id", "hiring").distinct()
     lists = F.concat(*[F.coalesce(F.col(f"hiring.{c}"), F.array()) for c in ("postings", "company_site_postings", "nav_ads")])
-    titles = rows.select("recovery_id", F.explode(lists).alias("x")).where("x.title != ''").select("recovery_id", F.trim(F.regexp_replace(F.lower("x.title"), r"[^a-z0-9_]+", " ")).alias("t"))
+    titles = rows.select("recovery_id", F.explode(lists).alias("x")).where("x.title != ''").select("recovery_id", F.trim(F.regexp_replace(F.lower("x.title"), r"[^\p{L}\p{N}]+", " ")).alias("t"))
     per = titles.groupBy("recovery_id", "t").agg(F.count("*").alias("n"))
     return per.groupBy("recovery_id").agg(F.count("*").alias("kept"), F.count_if(F.col("n") > 1).alias("agreed"))
 
 
-@query("""SELECT brief_id, i - 1 AS page_ord, nullif(trim(regexp_replace(replace(replace(replace(regexp_extract(h, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title, nullif(regexp_extract(h, '<meta name="description" content="([^"]*)"', 1), '') AS description, len(regexp_extract_all(h, '<a ')) AS n_links FROM
-    (SELECT DISTINCT brief_id, i, pages[i].html AS h FROM (SELECT brief_id, pages, unnest(range(1, len(pages) + 1)) AS i FROM briefs)) WHERE h IS NOT NULL""".replace("\\\\s", "\\s").replace("i - 1 AS page_ord", "CAST(i - 1 AS INTEGER) AS page_ord"))
+_TITLE = "replace(replace(replace(regexp_extract(h, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(rf"""SELECT brief_id, CAST(i - 1 AS INTEGER) AS page_ord, nullif(trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')), '') AS title, nullif(regexp_extract(h, '<meta name="description" content="([^"]*)"', 1), '') AS description, len(regexp_extract_all(h, '<a ')) AS n_links FROM
+    (SELECT DISTINCT brief_id, i, pages[i].html AS h FROM (SELECT brief_id, pages, unnest(range(1, len(pages) + 1)) AS i FROM briefs)) WHERE h IS NOT NULL""")
 def html_metadata(spark, folder):
     """Title, description and number of links of each page, from one pass of a streaming parser."""
     pages = read_table(spark, folder, "briefs").select("brief_id", F.posexplode("pages.html").alias("page_ord", "html")).where("html IS NOT NULL").distinct()
