@@ -137,7 +137,11 @@ def learned_list(documents: DataFrame, doc_id: Column, text: Column, share: floa
     fitted; everything else covers all documents), labelled word by word from the definition. Only
     hashes low enough for twice the sample are sorted, so that what a partition sends doesn't grow with
     their number. Thresholds are multiples of 0.05. A sample with one label only can teach nothing: then
-    the list is the definition's own threshold."""
+    the list is the definition's own threshold.
+
+    The list loses no document: ``share`` itself is on the grid and separates the labels, of conditions
+    that separate the sample alike the lowest threshold of the first statistic wins, so what is learned
+    lies at ``share`` or below. What it lets through beyond that, the exact comparison takes out."""
     picked = documents.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id).alias("draw"))
     count = documents.count()
     if count > 2 * sample:

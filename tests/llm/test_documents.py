@@ -175,6 +175,16 @@ def test_found_is_the_definition_over_all_documents(spark, sf):
     assert {r[0] for r in queries.p8_found(spark, sf).collect()} == expected and expected
 
 
+def test_learned_threshold_is_never_above_the_definition():
+    rng = random.Random(9)
+    for low, high in ((0.12, 0.4), (0.29, 0.3), (0.0, 0.9)):
+        shares = [rng.uniform(0, low) for _ in range(400)] + [rng.uniform(high, 1) for _ in range(40)]
+        rows = [{**dict.fromkeys(repetition.STATISTICS, 0.0), "repeated_share": v, "label": "yes" if v >= 0.3 else "no"} for v in shares]
+        rules = decision_list.learn(rows, "label", "yes", "no", {s: [round(0.05 * i, 2) for i in range(1, 20)] for s in repetition.STATISTICS})
+        assert all(rules.label(r) == "yes" for r in rows if r["label"] == "yes")
+        assert [(c.statistic, c.at_least, c.threshold <= 0.3) for c in rules.rules[0]] == [("repeated_share", True, True)]
+
+
 def test_decision_lists():
     rng = random.Random(3)
     rows = [{"a": rng.random(), "b": rng.random()} for _ in range(600)]
