@@ -130,6 +130,26 @@ def _statistics(picked: DataFrame, labelled: bool) -> DataFrame:
     return picked.mapInArrow(run, schema)
 
 
+def fitted_list(rows: list[dict], share: float) -> DecisionList:
+    """The list learned from labelled statistics, safe for every document.
+
+    Learning may end without a rule (positives all in one part of the grow/prune split, or too few to be
+    worth one), above ``share``, or on another statistic, which holds for the positives of the sample
+    only. Unless some rule asks for nothing but a repeated share of ``share`` or less, the definition's
+    own condition is therefore added as the last rule; then every document of the definition meets the
+    list, in the sample or not."""
+    definition = (Condition("repeated_share", True, share),)
+    if len({r["label"] for r in rows}) < 2:
+        return DecisionList("repetitive", "varied", [definition])
+    thresholds = [round(0.05 * i, 2) for i in range(1, 20)]
+    if share not in thresholds:
+        thresholds = sorted([*thresholds, share])
+    out = learn(rows, "label", "repetitive", "varied", {s: thresholds for s in STATISTICS})
+    if not any(all(c.statistic == "repeated_share" and c.at_least and c.threshold <= share for c in rule) for rule in out.rules):
+        out.rules.append(definition)
+    return out
+
+
 def learned_list(documents: DataFrame, doc_id: Column, text: Column, share: float = 0.3, sample: int = 4000) -> DecisionList:
     """The decision list for documents whose repeated share is at least ``share``.
 
@@ -139,9 +159,8 @@ def learned_list(documents: DataFrame, doc_id: Column, text: Column, share: floa
     their number. Thresholds are multiples of 0.05. A sample with one label only can teach nothing: then
     the list is the definition's own threshold.
 
-    The list loses no document: ``share`` itself is on the grid and separates the labels, of conditions
-    that separate the sample alike the lowest threshold of the first statistic wins, so what is learned
-    lies at ``share`` or below. What it lets through beyond that, the exact comparison takes out."""
+    The list loses no document (``fitted_list``). What it lets through beyond the definition, the exact
+    comparison takes out."""
     picked = documents.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id).alias("draw"))
     count = documents.count()
     if count > 2 * sample:
@@ -152,13 +171,7 @@ def learned_list(documents: DataFrame, doc_id: Column, text: Column, share: floa
         row = {s: r[s] for s in STATISTICS}
         row["label"] = "repetitive" if r["n_words"] and r["repeated_by_definition"] >= share * r["n_words"] else "varied"
         rows.append(row)
-    plain = DecisionList("repetitive", "varied", [(Condition("repeated_share", True, share),)])
-    if len({r["label"] for r in rows}) < 2:
-        return plain
-    thresholds = [round(0.05 * i, 2) for i in range(1, 20)]
-    if share not in thresholds:
-        thresholds = sorted([*thresholds, share])
-    return learn(rows, "label", "repetitive", "varied", {s: thresholds for s in STATISTICS})
+    return fitted_list(rows, share)
 
 
 def repetitive_documents(documents: DataFrame, doc_id: Column, text: Column, share: float = 0.3, sample: int = 4000) -> DataFrame:

@@ -185,6 +185,28 @@ def test_learned_threshold_is_never_above_the_definition():
         assert [(c.statistic, c.at_least, c.threshold <= 0.3) for c in rules.rules[0]] == [("repeated_share", True, True)]
 
 
+def test_no_document_is_lost_whatever_is_learned():
+    row = lambda v, **more: {**dict.fromkeys(repetition.STATISTICS, 0.0), "repeated_share": v, **more, "label": "repetitive" if v >= 0.3 else "varied"}
+    rng = random.Random(1)
+    low = [row(rng.uniform(0, 0.1)) for _ in range(200)]
+    positives = [row(0.3 + 0.02 * i) for i in range(30)]
+    samples = [low + [p] for p in positives]  # one positive
+    samples += [low + [p] * 50 for p in positives]  # all positives copies
+    samples += [low + [row(0.2)] * 100 + [row(0.3 + 0.05 * i + 0.001 * k) for i in range(12)] for k in range(4)]  # a third at share 0.2
+    samples += [low + [row(v, repeated_lines=0.9) for v in (0.31, 0.5, 0.7)] + [row(0.29)] * 100]  # another statistic separates better
+    for rows in samples:
+        rules = repetition.fitted_list(rows, 0.3)
+        assert all(rules.label(p) == "repetitive" for p in [*rows, *positives] if p["label"] == "repetitive"), str(rules)
+
+
+def test_single_positive_is_found_in_a_corpus(spark):
+    varied = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)]
+    texts = [" ".join(f"p{k}q" for k in range(5 + i)) + " one two three four five" * 9 for i in range(12)]
+    for text in texts:
+        df = spark.createDataFrame([*varied, (99, text)], "doc_id long, text string").coalesce(1)
+        assert [r.doc_id for r in repetition.repetitive_documents(df, F.col("doc_id"), F.col("text")).collect()] == [99]
+
+
 def test_decision_lists():
     rng = random.Random(3)
     rows = [{"a": rng.random(), "b": rng.random()} for _ in range(600)]
