@@ -1,10 +1,13 @@
 """Template residue and error-page text in place of content.
 
 Messages (titles, blocks of a page's own body) are mined for templates with a fixed-depth prefix tree:
-digits become ``<n>``, words without a part in any known notice ``<*>``, words of filler Latin
-``<lorem>``; the first tokens choose a path, a leaf holds the templates that share it. Each template is
-classified once and every message of it takes the verdict. The masks depend on the fixed vocabulary
-alone, so that a message's template, and its verdict, are the same in every task and for any data.
+digits become ``<n>``, words without a part in any notice ``<*>``, words of filler Latin ``<lorem>``; the
+first tokens choose a path, a leaf holds the templates that share it. Each template is classified once,
+by known phrases or by features (what a notice speaks of, what befell it, and no word besides that a
+notice has no use for), and every message of it takes the verdict. The masks depend on the fixed
+vocabulary alone, so that a message's template, and its verdict, are the same in every task and for any
+data. ``mined_templates`` adds up the partial trees and merges alike templates of one verdict; how often
+a template occurs decides no verdict, since sentences of content recur as well.
 
 Placeholders nobody filled in are looked for separately, inside ordinary messages too, unless the
 sentence speaks about placeholders.
@@ -17,10 +20,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from millrace.llm.main_body import HEADINGS, _surroundings, own_blocks
 from millrace.llm.page_events import Page, read_page
-from millrace.session import spread
+from millrace.session import cut_lineage, spread
 
 # ---------------------------------------------------------------- fixed values
 #: Whole titles (or whole parts of one) that software sets by default, or that stand for no value.
@@ -86,10 +90,74 @@ _SLOT_SIGN = re.compile(r"[{}%\[\]@_#«$]|XXX|xxx")
 #: Upper-case only forms of the pattern above, which ignores case for the sake of its word lists.
 _UPPER = re.compile(r"^(?:%[^%]|__|#|XXX_|«)")
 
+# Words of notices, by what they say. A message is a notice by its features if it has the features of a
+# kind and no word outside the sets that the kind may use (``_by_features``).
+_set = lambda words: frozenset(words.split())
+#: Words without content of their own ("as" is left out: in titles it mostly is the form of a company).
+FUNCTION = _set(
+    "en et ei den det de du vi jeg deg dere oss seg er var ble blir blitt har kan kunne må skal vil bør for til av på i inn ut om og eller som ikke ingen noe noen her der denne dette disse nå lenger ennå dessverre beklager ser at å fra hos ved når hvis "
+    "vennligst igjen senere litt snart bare men så din ditt dine dere deres vår vårt våre være vært kanskje enten mer med "
+    "a an the this that these there you we i it your our is are was were be been being has have had can could cannot t s don doesn couldn isn wasn re ve ll may might must will would should to of on in at for from by with and or but not no its if please again later "
+    "sorry unfortunately oops whoops hmm uh oh ooops here now longer anymore any some either currently because"
+)
+#: What notices of errors speak of.
+SUBJECTS = _set(
+    "side siden sida nettside nettsiden nettsida nettstedet nettsted adresse adressen url urlen lenke lenken lenka link linken fil filen fila dokument dokumentet innhold innholdet artikkel artikkelen ressurs ressursen tjeneste tjenesten server serveren tjener tjeneren "
+    "konto kontoen domene domenet forespørsel forespørselen database databasen forbindelse forbindelsen page pages site website webpage url link file document content article resource service server account domain request database connection address"
+)
+NEGATIONS = _set("ikke ingen not no cannot t couldn doesn isn unable umulig klarte klarer nothing")
+#: What doesn't hold any longer, if negated.
+PRESENT = _set(
+    "funnet finnes finne finner fant eksisterer eksistere tilgjengelig hentes hente lastes laste vises vise åpnes åpne svarer svarte fullføres fullføre behandles behandle gyldig found find exist exists existing available located reached reach respond responding retrieve retrieved load loaded "
+    "display displayed open opened complete completed process processed connect valid"
+)
+#: What befell a subject.
+GONE = _set(
+    "slettet fjernet flyttet borte utløpt sperret stengt suspendert utilgjengelig nede deaktivert blokkert avpublisert ugyldig ukjent overbelastet deleted removed moved gone expired suspended disabled unavailable down missing broken blocked unpublished invalid offline overloaded unreachable"
+)
+REFUSALS = _set("denied nektet avvist forbidden forbudt unauthorized unauthorised uautorisert refused rejected")
+ACCESS = _set("tilgang adgang tillatelse rettigheter access permission permissions")
+TROUBLE = _set("feil feilen feilmelding error errors exception failure unntak svikt problem")
+HAPPENED = _set("oppsto oppstod oppstått oppstår skjedde skjedd inntraff intern internt uventet teknisk kritisk occurred occured happened encountered internal unexpected unhandled fatal critical technical server serveren database databasen <n>")
+LOGIN = _set("logg logge logget innlogget pålogget login log logged sign signed")
+#: Verbs and helpers of such messages, without weight.
+ASIDES = _set(
+    "seem seems ser leter letter lette etter leser søker prøver prøvde forsøker forsøkte forsøk ønsker ønsket looking look trying tried try attempted want wanted request requested requesting etterspurte forespurte oppgitte se see view gikk gått galt wrong went go gå tilbake back return forsiden forside startsiden hjem home homepage "
+    "kontakt contact administrator administratoren webmaster support kundestøtte brukerstøtte midlertidig permanent temporarily permanently moment øyeblikk http status kode code feilkode code prøv vent wait stavet skrevet sjekk kontroller check typed spelled correctly riktig changed endret name navn under grunnet due "
+    "logget logged varslet notified we jobber working saken rette fix fikse løse last refresh reload oppdater søk search new ny nytt våre annet another while få bruke use nettleser nettleseren browser"
+)
+#: What a block that sends the reader on has one of.
+GO_ON = _set("gå tilbake forsiden forside startsiden hjem go back return home homepage prøv try igjen again kontakt contact refresh reload oppdater søk search")
+SCRIPTS = _set("javascript skript skripting script scripts scripting js")
+NEEDS = _set("enable enabled enabling activate activated turn allow requires require required requiring needs need needed disabled off without blocks blocked aktiver aktivere aktivert aktiveres slå slås slått skru skrus skrudd påskrudd avskrudd krever kreves trenger trengs må uten blokkerer blokkert tillat tillate avhengig")
+SUPPORTED = _set("support supports supported støtte støtter støttes")
+SCRIPT_ASIDES = _set("nettbutikk nettbutikken butikken shop store app appen application applikasjon applikasjonen program programmet cookies informasjonskapsler innstillinger innstillingene settings funksjoner functionality features experience fungere fungerer virke virker work works run kjøre kjører vis view show shown properly av på slått turned be full fullt using bruker using continue fortsette videre")
+TEXTS = _set("tekst teksten tekster text paragraph headline heading overskrift overskriften avsnitt avsnittet beskrivelse beskrivelsen description innhold innholdet content bilde bildet image picture logo tittel title copy setning setningen")
+SAMPLES = _set("dummytekst eksempeltekst fylltekst prøvetekst plassholdertekst plassholder placeholder dummy")
+SAMPLE_OF = _set("eksempel eksempler sample example prøve")
+EDITS = _set("rediger redigere redigér redigeres edit editing bytt byttes bytte erstatt erstatte erstattes replace replaced endre endres change skriv skrive sett settes legg legges insert enter write fyll add goes kommer coming")
+FILLER_ASIDES = _set("klikk klikke dobbeltklikk click double knappen button egen eget egne own words ord kort short bedriften firmaet business company publish publiserer siden side page ut inn body main about mellom tom blank")
+UNNAMED = _set("untitled unnamed navnløs navnløst")
+NEW = _set("ny nytt new copy kopi")
+#: Of these a new one is no news.
+EMPTY = _set("page side dokument document post innlegg")
+NOUNS = _set("page side document dokument post innlegg site nettsted nettside website artikkel article")
+DEFAULT_ASIDES = _set("uten without tittel title navn name of av <n>")
+#: After these a notice names a path or an address, in whatever words.
+NAMING = _set("url urlen fil filen fila file adresse adressen address ressurs ressursen resource page document")
+
+#: Addresses and paths: one variable, whatever words are in them.
+_ADDRESS = re.compile(r"(?<!\S)(?:https?://|www\.|/)[^\s/]\S*")
 _TOKEN = re.compile(r"[^\W_]+")
 _WHOLE = {**dict.fromkeys(DEFAULTS, "default"), **dict.fromkeys(ERRORS, "error"), **dict.fromkeys(SCRIPT_NOTICES, "script"), **dict.fromkeys(FILLERS, "filler")}
 _STARTS = [(s, "error") for s in ERROR_STARTS] + [(s, "script") for s in SCRIPT_STARTS]
-_VOCABULARY = frozenset(w for phrase in [*_WHOLE, *(s for s, _ in _STARTS)] for w in re.findall(r"[^\W\d_]+", phrase))
+_ERROR_WORDS = FUNCTION | SUBJECTS | NEGATIONS | PRESENT | GONE | REFUSALS | ACCESS | TROUBLE | HAPPENED | LOGIN | ASIDES
+_SCRIPT_WORDS = FUNCTION | SUBJECTS | NEGATIONS | PRESENT | ASIDES | SCRIPTS | NEEDS | SUPPORTED | SCRIPT_ASIDES
+_FILLER_WORDS = FUNCTION | TEXTS | SAMPLES | SAMPLE_OF | EDITS | FILLER_ASIDES
+_DEFAULT_WORDS = UNNAMED | NEW | NOUNS | DEFAULT_ASIDES
+_VOCABULARY = (
+    frozenset(w for phrase in [*_WHOLE, *(s for s, _ in _STARTS)] for w in re.findall(r"[^\W\d_]+", phrase)) | _ERROR_WORDS | _SCRIPT_WORDS | _FILLER_WORDS | _DEFAULT_WORDS
+) - {"<n>"}
 _PART = re.compile(r"\s*\|\s*|\s+[–—·»-]+\s+")
 
 
@@ -97,6 +165,8 @@ _PART = re.compile(r"\s*\|\s*|\s+[–—·»-]+\s+")
 def masked(message: str) -> tuple[str, ...]:
     """Tokens of a message's template."""
     out: list[str] = []
+    if "/" in message or "www." in message:
+        message = _ADDRESS.sub(" xaddress ", message)
     for w in _TOKEN.findall(message.lower()):
         if w in LOREM:
             t = "<lorem>"
@@ -126,9 +196,54 @@ def classify(template: tuple[str, ...]) -> str:
             return kind
     if template[0] == "<lorem>" and all(t in ("<lorem>", "<n>") or (t[0] != "<" and len(t) < 4) for t in template):
         return "filler"
+    return _by_features(template)
+
+
+def _by_features(template: tuple[str, ...]) -> str:
+    """The verdict on a template that is no known phrase: that of the first kind whose features it has,
+    if all of its words are ones that the kind may use. One variable may stand where a path is named."""
+    words = set(template)
+    if "<lorem>" in words:
+        return "ordinary"
+    if "<*>" in words:
+        at = template.index("<*>")
+        if template.count("<*>") > 1 or not at or template[at - 1] not in NAMING:
+            return "ordinary"
+        words.discard("<*>")
+        named = True
+    else:
+        named = False
+    if words <= _SCRIPT_WORDS and words & SCRIPTS and (words & NEEDS or words & SUPPORTED and words & NEGATIONS):
+        return "script"
+    if words <= _ERROR_WORDS:
+        subject, negated = words & SUBJECTS, words & NEGATIONS
+        if subject and ((negated and words & PRESENT) or words & GONE):
+            return "error"
+        if named:
+            return "ordinary"
+        if words & ACCESS and (negated or words & REFUSALS) or (subject and words & REFUSALS):
+            return "error"
+        if words & TROUBLE and words & HAPPENED and len(words) > 1:
+            return "error"
+        if ("galt" in words and words & {"gikk", "gått"}) or {"went", "wrong"} <= words:
+            return "error"
+        if subject and words & LOGIN and words & {"må", "must", "required", "need", "please", "vennligst"}:
+            return "error"
+    if named:
+        return "ordinary"
+    if words <= _FILLER_WORDS and (words & SAMPLES or words & TEXTS and (words & EDITS or words & SAMPLE_OF)):
+        return "filler"
+    if words <= _DEFAULT_WORDS and (words & UNNAMED or words & NEW and words & EMPTY or ("uten" in words and words & {"tittel", "navn"})):
+        return "default"
     return "ordinary"
 
 
+def sends_on(message: str) -> bool:
+    """Whether a block only sends the reader on (to the front page, to try again), as below a notice."""
+    words = set(masked(message))
+    return bool(words & GO_ON) and words <= _ERROR_WORDS
+
+
 class TemplateTree:
     """Templates under a path of token count and first ``depth`` tokens, each with its verdict and the
     number of messages that had it.
@@ -227,20 +342,23 @@ def page_verdict(page: Page, tree: TemplateTree) -> str:
         return "slot"
     levels = [page.tags[page.owners[i]] for i in own]
     body = [t for t, tag in zip(texts, levels, strict=True) if tag not in HEADINGS]
-    first = None
+    first, aids = None, 0
     for t in body:
         kind = block_verdict(t, tree)
+        if kind == "ordinary" and sends_on(t):
+            aids += 1
+            continue
         first = first or kind
         if kind == "ordinary":
             break
     else:
         if first:
             return first
-    if not body:
+    if aids == len(body):
         heads = [v for t in texts if (v := block_verdict(t, tree)) in ("error", "script", "filler")]
         if heads:
             return heads[0]
-        if (kind := block_verdict(page.hidden_notices, tree)) == "script":
+        if not body and (kind := block_verdict(page.hidden_notices, tree)) == "script":
             return kind
     if not any(tag in HEADINGS for tag in levels):
         # Without a heading the body is hard to tell from boxes: a block of its own that is a notice decides.
@@ -290,9 +408,33 @@ def page_verdicts(df: DataFrame, keys: dict[str, Column], html: Column) -> DataF
     return _verdicts(df, keys, html, lambda t: page_verdict(read_page(t), worker_tree()))
 
 
-def mined_templates(df: DataFrame, message: Column, depth: int = 3) -> DataFrame:
+def alike(a: list[str], b: list[str]) -> float:
+    """Share of the places of two templates of one length that hold the same token."""
+    return sum(x == y for x, y in zip(a, b, strict=True)) / len(a) if a else 1.0
+
+
+def merge_templates(counts: list[tuple[str, int]], least: float = 0.6) -> list[tuple[str, int]]:
+    """Templates of one length merged by similarity: the most frequent first, each joins the merged
+    template most like it, if at least ``least``, and places that differ become ``<*>``. The result
+    doesn't depend on the order of ``counts``."""
+    merged: list[list] = []
+    for template, n in sorted(counts, key=lambda c: (-c[1], c[0])):
+        tokens = template.split()
+        best = max(merged, key=lambda m: alike(m[0], tokens), default=None)
+        if best is not None and alike(best[0], tokens) >= least:
+            best[0] = [x if x == y else "<*>" for x, y in zip(best[0], tokens, strict=True)]
+            best[1] += n
+        else:
+            merged.append([tokens, n])
+    return [(" ".join(tokens), n) for tokens, n in merged]
+
+
+def mined_templates(df: DataFrame, message: Column, depth: int = 3, slice_size: int = 2000) -> DataFrame:
     """``template, verdict, n_messages`` of all non-null messages. Every task mines its own tree and sends
-    the templates with their counts; equal templates of different tasks are added up."""
+    the templates with their counts. Equal templates of different tasks are added up; those of one
+    verdict, length and beginning (the path of the tree) are merged by similarity. A path with more than
+    ``slice_size`` templates is merged in slices by hash, so that no task holds more than about that many;
+    templates that come out equal are added up again. The result doesn't depend on the partitions."""
     picked = df.select(message.alias("message")).where("message IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,5 +451,17 @@ def mined_templates(df: DataFrame, message: Column, depth: int = 3) -> DataFrame
                 tree.verdict(m)
         yield batch()
 
-    partial = picked.mapInArrow(run, "template string, verdict string, n bigint")
-    return partial.groupBy("template", "verdict").sum("n").withColumnRenamed("sum(n)", "n_messages")
+    def merge(table: pa.Table) -> pa.Table:
+        out = merge_templates(list(zip(table.column("template").to_pylist(), table.column("n").to_pylist(), strict=True)))
+        verdict = table.column("verdict")[0].as_py()
+        return pa.table({"template": pa.array([t for t, _ in out], pa.string()), "verdict": pa.array([verdict] * len(out), pa.string()), "n": pa.array([n for _, n in out], pa.int64())})
+
+    schema = "template string, verdict string, n bigint"
+    partial = picked.mapInArrow(run, schema).groupBy("template", "verdict").agg(F.sum("n").alias("n"))
+    tokens = F.split("template", " ")
+    paths = cut_lineage(partial.withColumn("length", F.size(tokens)).withColumn("path", F.concat_ws(" ", F.slice(tokens, 1, depth))))
+    path = ["verdict", "length", "path"]
+    sizes = paths.groupBy(*path).agg(F.ceil(F.count("*") / slice_size).alias("slices"))
+    sliced = paths.join(sizes, path).withColumn("slice", F.pmod(F.xxhash64("template"), F.col("slices")))
+    merged = sliced.groupBy(*path, "slice").applyInArrow(merge, schema)
+    return merged.groupBy("template", "verdict").agg(F.sum("n").alias("n_messages"))

@@ -115,6 +115,41 @@ def test_mined_templates_count_every_message(spark):
     assert residue.mined_templates(spark.createDataFrame([], "m string"), F.col("m")).count() == 0
 
 
+UNLISTED = {
+    "error": ["Siden er slettet", "Beklager, denne siden finnes ikke lenger hos oss", "We couldn't find that page", "The requested URL /old/page.html was not found on this server.", "Innholdet er dessverre ikke tilgjengelig", "Du må logge inn for å se denne siden", "Nettstedet er midlertidig nede", "Access to this page has been denied"],
+    "script": ["Siden krever JavaScript", "JavaScript må aktiveres for å bruke nettbutikken", "Your browser has scripts disabled"],
+    "filler": ["Skriv inn teksten din her", "Replace this text with your own words", "Klikk her for å endre overskriften"],
+    "default": ["Untitled site 3", "Nytt innlegg", "Kopi av side 2"],
+}
+ORDINARY_NOTICES = ["Klikk på bildet", "Vi har flyttet", "Kontakt oss", "Tekst og bilde", "Butikken er stengt", "Problemer med tilgang?", "Den gamle kvernsiden finnes ikke lenger", "Missing Link AS", "Siden 2019 har vi vært her", "Lost Page", "Ny nettside", "Fant du ikke det du lette etter?", "JavaScript-support", "Innhold", "Logg inn"]
+
+
+def test_notices_in_other_words():
+    tree = residue.TemplateTree()
+    for kind, messages in UNLISTED.items():
+        assert {m: residue.block_verdict(m, tree) for m in messages} == dict.fromkeys(messages, kind)
+        assert {residue.title_verdict(f"{m} | Firm", tree) for m in messages} == {kind}
+        assert {residue.page_verdict(page_events.read_page(f"<title>Firm</title><main><h1>Firm</h1><p>{m}</p></main>"), tree) for m in messages} == {kind}
+    assert {m: residue.title_verdict(m, tree) for m in ORDINARY_NOTICES} == dict.fromkeys(ORDINARY_NOTICES, "ordinary")
+    page = lambda *body: residue.page_verdict(page_events.read_page(f"<title>Firm</title><main>{''.join(body)}</main>"), tree)
+    assert page("<h1>Siden er slettet</h1>", "<p>Gå tilbake til forsiden</p>") == "error"
+    assert page("<h1>Firm</h1>", "<p>Siden er slettet</p>", "<p>Prøv igjen senere.</p>") == "error"
+    assert page("<h1>Siden er slettet</h1>", "<p>Slik sto det på den gamle plakaten.</p>") == "ordinary"
+    assert page("<h1>Firm</h1>", "<p>Kontakt oss</p>") == "ordinary"
+
+
+def test_alike_templates_are_merged(spark):
+    assert residue.merge_templates([("a b c d", 1), ("a b x d", 3), ("p q r s", 2)]) == [("a b <*> d", 4), ("p q r s", 2)]
+    rows = [("Fant ikke siden på denne serveren",), ("Fant ikke siden på denne adressen",), ("Siden om rør hos Firm",), (None,)]
+    results = []
+    for n in (1, 5):
+        got = residue.mined_templates(spark.createDataFrame(rows * 4, "m string").repartition(n), F.col("m"))
+        results.append({tuple(r) for r in got.collect()})
+    assert results[0] == results[1] and ("fant ikke siden på denne <*>", "error", 8) in results[0] and len(results[0]) == 2
+    sliced = residue.mined_templates(spark.createDataFrame(rows * 4, "m string"), F.col("m"), slice_size=1)
+    assert sum(r.n_messages for r in sliced.collect()) == 12
+
+
 PAGES = {
     "error": "<title>Firm</title><article><h1>502 Bad Gateway</h1></article>",
     "script": "<title>App</title><div id='root'></div><noscript>You need to enable JavaScript to run this app.</noscript>",
