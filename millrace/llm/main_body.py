@@ -3,7 +3,8 @@
 Each block of visible text is a line with a text-to-tag ratio (characters over tags). The ratios are
 smoothed with a Gaussian over neighbouring lines and split into two clusters by a threshold between
 their means; lines of the upper cluster mark content. The content region is the container of the
-page's main heading, or, where there is none, the container that holds most of the marked text.
+page's main heading (where that wraps headings only, what is around it, if marked text prevails there),
+or, where there is none, the container that holds most of the marked text.
 
 Density alone keeps a long footer sentence and loses a short paragraph, so the region decides what is
 content and is then cleaned: elements that declare themselves navigation, side column, footer, dialog or
@@ -109,15 +110,18 @@ def _surroundings(page: Page) -> list[bool]:
     return out
 
 
+def main_heading(page: Page, aside: list[bool]) -> int | None:
+    """The first h1, else the first h2, outside of declared surroundings."""
+    return next((e for level in ("h1", "h2") for e, tag in enumerate(page.tags) if tag == level and not aside[e]), None)
+
+
 def body_region(page: Page, aside: list[bool]) -> int | None:
     """The element that holds the page's own body; null for a page without one."""
-    for level in ("h1", "h2"):
-        for e, tag in enumerate(page.tags):
-            if tag == level and not aside[e]:
-                at = page.parents[e]
-                while page.tags[at] in ("header", "hgroup") and page.parents[at] > 0:
-                    at = page.parents[at]
-                return at
+    if (heading := main_heading(page, aside)) is not None:
+        at = page.parents[heading]
+        while page.tags[at] in ("header", "hgroup") and page.parents[at] > 0:
+            at = page.parents[at]
+        return _around_wrapper(page, aside, at)
     weight: dict[int, int] = {}
     boxes: set[int] = set()
     for text, owner, link, dense in zip(page.texts, page.owners, page.links, dense_lines(page), strict=True):
@@ -139,6 +143,34 @@ def body_region(page: Page, aside: list[bool]) -> int | None:
     return max(weight, key=lambda e: (weight[e], -e)) if weight else None
 
 
+def _around_wrapper(page: Page, aside: list[bool], at: int) -> int:
+    """The heading's container ``at``, or, where it wraps headings only, the nearest element around it in
+    which lines that the density marks, outside of boxes, hold most of the text besides headings."""
+    tags, parents, owners = page.tags, page.parents, page.owners
+    inside = [False] * len(tags)
+    inside[at] = True
+    for e in range(at + 1, len(tags)):
+        inside[e] = inside[parents[e]]
+    if tags[at] in ("main", "article") or any(inside[o] and tags[o] not in HEADINGS for o in owners):
+        return at
+    marked = [0] * len(tags)
+    other = [0] * len(tags)
+    for text, owner, link, dense in zip(page.texts, owners, page.links, dense_lines(page), strict=True):
+        if aside[owner] or tags[owner] in HEADINGS:
+            continue
+        content = dense and 2 * link <= len(text) and not ASIDE_PHRASES.search(text.lower()) and _SENTENCE.search(text) is not None
+        (marked if content else other)[owner] += len(text)
+    for e in range(len(tags) - 1, 0, -1):
+        marked[parents[e]] += marked[e]
+        other[parents[e]] += other[e]
+    up = at
+    while parents[up] > 0:
+        up = parents[up]
+        if marked[up] or other[up] or tags[up] in ("main", "article"):
+            return up if marked[up] > other[up] else at
+    return at
+
+
 def own_blocks(page: Page) -> list[int]:
     """Positions of the blocks of the page's own body, in order; found once for a page."""
     if page.own is None:
@@ -167,8 +199,10 @@ def _own_blocks(page: Page) -> list[int]:
         if top[owner] != -2:
             groups.setdefault(top[owner], []).append(i)
     kept = groups.pop(-1, [])
+    heading = main_heading(page, aside)
     for group, members in groups.items():
-        if _reads_as_body(page, group, members):
+        wraps = any(page.owners[i] == heading for i in members) and all(tags[page.owners[i]] in HEADINGS for i in members)
+        if wraps or _reads_as_body(page, group, members):
             kept += members
     return sorted(kept)
 

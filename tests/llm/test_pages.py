@@ -51,6 +51,15 @@ def test_own_body_in_many_frames(frame):
     assert own(frame.format(*BOXES, c=CONTENT)) == BODY
 
 
+def test_heading_in_a_wrapper_of_its_own():
+    body = "<div class='q3'><p>A rather long sentence about the work that we do here every day.</p><p>Short one here.</p></div>"
+    expected = ["Title", "A rather long sentence about the work that we do here every day.", "Short one here."]
+    assert own(f"<nav><a href='/'>Home</a></nav><div class='q1'><div class='q2'><h1>Title</h1></div>{body}</div>{BOXES[3]}") == expected
+    assert own(f"<body><div class='q2'><header><h1>Title</h1></header></div>{body}{BOXES[3]}</body>") == expected
+    assert own(f"<body><article><h1>Title</h1></article>{body}</body>") == ["Title"]  # an article is the body, however little it holds
+    assert own("<div class='q2'><h1>Title</h1></div><div class='q3'><div><a href='/a'>Home</a></div><div><a href='/b'>News</a></div></div>") == ["Title"]
+
+
 def test_density_finds_the_body_without_a_heading():
     text = "<div><a href='/a'>Home</a></div><div id='z'>" + "<p>A rather long sentence about the work that we do here every day.</p>" * 4 + "</div><div><p>© 2026 Firm</p><p>" + "Long footer sentence. " * 30 + "</p></div>"
     assert own(text) == ["A rather long sentence about the work that we do here every day."] * 4
