@@ -29,15 +29,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """How many audit titles each verdict holds for."""
-    audit = read_table(spark, folder, "g4_registry_floor_audit").distinct()
-    return residue.title_verdicts(audit, {"audit_id": F.col("audit_id")}, F.col("page_title")).groupBy("verdict").agg(F.count("*").alias("n_titles"))
+    """How many pages and audit titles each verdict holds for, by table."""
+    pages = _brief_pages(spark, folder).distinct()
+    of_pages = residue.page_verdicts(pages, {"source_table": F.lit("briefs")}, F.col("html"))
+    audit = read_table(spark, folder, "g4_registry_floor_audit").select("audit_id", "page_title").distinct()
+    of_titles = residue.title_verdicts(audit, {"source_table": F.lit("g4_registry_floor_audit")}, F.col("page_title"))
+    return of_pages.unionByName(of_titles).groupBy("source_table", "verdict").agg(F.count("*").alias("n_messages"))
 
 
 def p4_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """Templates mined from the audit titles, each classified once, with how many titles it has."""
+    """Templates mined from the titles and own blocks of pages and from the audit titles, each classified
+    once, with how many of these messages it has."""
+    pages = _brief_pages(spark, folder).distinct()
     audit = read_table(spark, folder, "g4_registry_floor_audit").select("audit_id", "page_title").distinct()
-    return residue.mined_templates(audit, F.col("page_title"))
+    messages = residue.page_messages(pages, F.col("html")).unionByName(audit.select(F.col("page_title").alias("message")))
+    return residue.mined_templates(messages, F.col("message"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

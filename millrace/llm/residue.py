@@ -408,6 +408,23 @@ def page_verdicts(df: DataFrame, keys: dict[str, Column], html: Column) -> DataF
     return _verdicts(df, keys, html, lambda t: page_verdict(read_page(t), worker_tree()))
 
 
+def page_messages(df: DataFrame, html: Column) -> DataFrame:
+    """``message``: the title and the own blocks of each page of HTML, a row each; null pages and pages
+    without a title give none for it."""
+    picked = df.select(html.alias("__value")).where("__value IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[str] = []
+            for text in b.column(0).to_pylist():
+                page = read_page(text)
+                out += [page.title] if page.title else []
+                out += [page.texts[i] for i in own_blocks(page)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["message"])
+
+    return spread(picked).mapInArrow(run, "message string")
+
+
 def alike(a: list[str], b: list[str]) -> float:
     """Share of the places of two templates of one length that hold the same token."""
     return sum(x == y for x, y in zip(a, b, strict=True)) / len(a) if a else 1.0

@@ -198,3 +198,14 @@ def test_residue_pages_have_no_body_rows(spark, sf):
     found = {tuple(r) for r in queries.p4_found(spark, sf).collect()}
     blocks = {tuple(r)[:3] for r in queries.p5_found(spark, sf).collect()}
     assert found and blocks and not found & blocks
+
+
+def test_verdicts_and_templates_count_pages_and_titles(spark, sf):
+    found = queries.p4_found(spark, sf).groupBy("source_table").count().collect()
+    verdicts = queries.p4_verdicts(spark, sf).collect()
+    for table, n in found:
+        assert sum(r.n_messages for r in verdicts if r.source_table == table and r.verdict != "ordinary") == n
+    pages = [page_events.read_page(r[0]) for r in queries._brief_pages(spark, sf).distinct().select("html").collect() if r[0] is not None]
+    titles = read_table(spark, sf, "g4_registry_floor_audit").select("audit_id", "page_title").distinct().where("page_title IS NOT NULL").count()
+    messages = sum(bool(p.title) + len(main_body.own_blocks(p)) for p in pages)
+    assert pages and sum(r.n_messages for r in queries.p4_templates(spark, sf).collect()) == messages + titles
