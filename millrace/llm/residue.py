@@ -75,20 +75,20 @@ LOREM = frozenset(
 )
 #: Words of sentences that speak about placeholders instead of holding one.
 ABOUT_SLOTS = re.compile(r"\b(mal(en|er|ene)?|template(s)?|redaktør(en|er)?|editor|placeholder(s)?|plassholder(en|e)?|settes inn|byttes? ut|bytter|erstattes?|replaced?|variab(el|elen|ler|le|les)|flettefelt|merge field|syntaks|syntax|koden?|snippet)\b", re.I)
-_SLOT_NAME = r"(?:[A-Za-zÆØÅæøå_][\w.\- |æøåÆØÅ]{0,60})"
+_SLOT_NAME = r"(?:[A-Za-zÆØÅæøå_][\w.\- |æøåÆØÅ]*)"
 #: Unresolved slots of template languages, mail merges and site builders.
 SLOT = re.compile(
-    r"\{\{[{%#]?[^{}<>]{0,80}\}?\}\}|\{%[^{}<>]{0,80}%\}|<%[=\-]?[^<>]{0,80}%>|\$\{[^{}<>]{0,80}\}|#\{[^{}<>]{1,80}\}"
-    r"|%%" + _SLOT_NAME + r"%%|%[A-ZÆØÅ][A-ZÆØÅ0-9_]{2,60}%|\[\[" + _SLOT_NAME + r"\]\]|@@[\w.]{2,60}@@|__[A-ZÆØÅ][A-ZÆØÅ0-9_]*?__(?!\w)|#[A-ZÆØÅ][A-ZÆØÅ0-9_]{2,60}#"
-    r"|\bXXX_[A-ZÆØÅ0-9_]{2,60}\b|«[A-ZÆØÅ][A-ZÆØÅ0-9_]{2,60}»"
-    r"|\[(?:your|insert|enter|add|sett inn|skriv|fyll|legg|din|ditt|company|firma|navn|name|title|tittel|city|by|sted|adresse|address|telefon|phone|e-?post|e-?mail|dato|date|beskrivelse|description|tekst|text)\b[^\[\]<>]{0,60}\]"
+    r"\{\{[{%#]?[^{}<>]*\}?\}\}|\{%[^{}<>]*%\}|<%[=\-]?[^<>]*%>|\$\{[^{}<>]*\}|#\{[^{}<>]+\}"
+    r"|%%" + _SLOT_NAME + r"%%|%[A-ZÆØÅ][A-ZÆØÅ0-9_]{2,}%|\[\[" + _SLOT_NAME + r"\]\]|@@[\w.]{2,}@@|__[A-ZÆØÅ][A-ZÆØÅ0-9_]*?__(?!\w)|#[A-ZÆØÅ][A-ZÆØÅ0-9_]{2,}#"
+    r"|\bXXX_[A-ZÆØÅ0-9_]{2,}\b|«[A-ZÆØÅ][A-ZÆØÅ0-9_]{2,}»"
+    r"|\[(?:your|insert|enter|add|sett inn|skriv|fyll|legg|din|ditt|company|firma|navn|name|title|tittel|city|by|sted|adresse|address|telefon|phone|e-?post|e-?mail|dato|date|beskrivelse|description|tekst|text)\b[^\[\]<>]*\]"
     r"|\[(?:firmanavn|bedriftsnavn|selskapsnavn|kundenavn|stedsnavn|sidetittel)\]|\[object Object\]",
     re.I,
 )
 #: What every slot has a character of; most messages have none.
 _SLOT_SIGN = re.compile(r"[{}%\[\]@_#«$]|XXX|xxx")
 #: Upper-case only forms of the pattern above, which ignores case for the sake of its word lists.
-_UPPER = re.compile(r"^(?:%[^%]|__|#|XXX_|«)")
+_UPPER = re.compile(r"^(?:%[^%]|__|#(?!\{)|XXX_|«)")
 
 # Words of notices, by what they say. A message is a notice by its features if it has the features of a
 # kind and no word outside the sets that the kind may use (``_by_features``).

@@ -1,6 +1,7 @@
 """Page reading, main bodies and residue, by cases and over the smallest tables."""
 
 import hashlib
+import time
 
 import pyspark.sql.functions as F
 import pytest
@@ -105,6 +106,21 @@ def test_titles():
     assert residue.title_verdict(None, tree) == "ordinary"
 
 
+@pytest.mark.parametrize("slot", ["{{ title | default('%s') }}", "${title:-%s}", "<%%= title or '%s' %%>", "#{title || '%s'}", "{%% if title == '%s' %%}", "[Your city, %s]", "%%%%city %s%%%%", "[[city %s]]", "@@%s@@", "__%s__", "#%s#", "«%s»", "%%%s%%", "XXX_%s"])
+def test_slots_of_any_length(slot):
+    long = "welcome to our lovely town " * 8 if " " in slot else "WELCOME_TO_TOWN_" * 8 + "X"
+    message = "Firm: " + slot % long.strip()
+    assert len(message) > 120 and residue.holds_slot(message)
+    assert residue.title_verdict(message, residue.TemplateTree()) == "slot"
+
+
+@pytest.mark.parametrize("text", ["{{" * 50_000, "[[a " * 20_000, "%%a " * 20_000, "[your " * 20_000, "<%" * 50_000, "#A" * 40_000, "@@a" * 20_000, "XXX_" * 20_000, "{%" * 50_000, "${" * 50_000, "%AB" * 20_000, "«AB" * 20_000, "__" + "A" * 60_000, "[[" + "a" * 60_000, "{{ }" * 20_000, "%A" + "_A" * 30_000])
+def test_open_slots_cost_no_more_than_their_length(text):
+    start = time.process_time()
+    residue.holds_slot(text)
+    assert time.process_time() - start < 2
+
+
 def test_templates_are_classified_once(monkeypatch):
     calls = []
     monkeypatch.setattr(residue, "classify", lambda t: calls.append(t) or "ordinary")
