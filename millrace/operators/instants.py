@@ -52,8 +52,12 @@ JOINERS = {"t", "kl", "klokka", "klokken", "at"}
 
 #: Latest second and earliest second that the normal form can hold (years 1 to 9999).
 _FIRST, _LAST = -62135596800, 253402300799
-#: Years whose transitions a zone table lists; outside them the nearest offset holds.
-TABLE_YEARS = (1900, 2100)
+#: Years whose transitions a zone table lists: from before any zone had one (earlier, the first offset
+#: holds) to the end of a whole Gregorian cycle of 400 years in which zones follow their standing rules.
+TABLE_YEARS = (1800, 2500)
+#: Seconds of a cycle. After the table's end a time has the offset of its like one or more cycles earlier.
+_CYCLE = 146_097 * 86_400
+_TABLE_END = 16_725_225_600
 
 
 # ---------------------------------------------------------------- zone tables
@@ -69,11 +73,13 @@ class ZoneTable:
     def to_utc(self, local: np.ndarray) -> np.ndarray:
         """UTC seconds of local seconds. A local time that occurs twice is the earlier one; one that
         is skipped is read with the offset before the change."""
+        past = np.maximum(local - _TABLE_END, -1) // _CYCLE + 1
+        like = local - past * _CYCLE
         before = self.offsets[:-1]
         # Change i makes local times from (instant + larger offset) on follow the new offset: in a gap
         # the old offset holds up to the end of the gap, in an overlap up to the end of the overlap.
         switch = self.instants[1:] + np.maximum(before, self.offsets[1:])
-        return local - self.offsets[np.searchsorted(switch, local, side="right")]
+        return local - self.offsets[np.searchsorted(switch, like, side="right")]
 
 
 @lru_cache(maxsize=1)

@@ -4,8 +4,9 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pytest
+import numpy as np
 import pyspark.sql.functions as F
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from millrace.operators import instants
@@ -69,6 +70,19 @@ def test_local_times_agree_with_the_zone_database(local, name):
     assert got == expected.strftime("%Y-%m-%dT%H:%M:%S.000000Z")
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.datetimes(min_value=datetime(2, 1, 1), max_value=datetime(9998, 12, 31)), st.sampled_from(["Europe/Oslo", "America/New_York", "Australia/Lord_Howe", "Africa/Casablanca"]))
+@example(datetime(2150, 7, 1, 12), "Europe/Oslo")
+@example(datetime(1890, 7, 1, 12), "Europe/Oslo")
+@example(datetime(2499, 12, 31, 23, 59, 59), "Australia/Lord_Howe")
+@example(datetime(2500, 1, 1), "Australia/Lord_Howe")
+@example(datetime(9998, 7, 1), "Europe/Oslo")
+def test_zone_rules_hold_in_every_year(local, name):
+    local = local.replace(microsecond=0)
+    got = instants.zone_table(name).to_utc(np.array([(local - datetime(1970, 1, 1)) // timedelta(seconds=1)]))[0]
+    assert got == (local.replace(tzinfo=ZoneInfo(name), fold=0) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(seconds=1)
+
+
 def test_each_mask_is_compiled_once():
     instants.mask_parser.cache_clear()
     instants._convert_batch(["2024-01-01"] * 50, ["9999-99-99"] * 50, "UTC")
