@@ -66,22 +66,21 @@ def list_pairs(df: DataFrame, text: Column, most: int = 100_000) -> frozenset[Pa
     return frozenset((r[0], r[1]) for r in rows)
 
 
-def as_list(value: object) -> list | None:
-    """The list that a value under a list's label stands for; null if it stands for none."""
+def as_list(value: object) -> dict[int, object] | None:
+    """The list that a value under a list's label stands for, as values by position in order; null if it
+    stands for none. An object whose keys are all positions is that list, however sparse; positions that
+    no array can have (beyond 32 bits) make it a single object."""
     if isinstance(value, str):
         if not value.lstrip()[:1] in ("[", "{"):
             return None
         value = _parsed(value)
     if isinstance(value, dict):
-        if value and all(k.isdecimal() and k.isascii() for k in value):
-            size = max(map(int, value)) + 1
-            if size <= 10 * len(value) + 1000:
-                out: list = [None] * size
-                for k, x in value.items():
-                    out[int(k)] = x
-                return out
-        return [value]
-    return value if isinstance(value, list) else None
+        if value and all(k.isdecimal() and k.isascii() and len(k) <= 10 for k in value):
+            placed = {int(k): x for k, x in value.items()}
+            if max(placed) < 2**31 - 1:
+                return dict(sorted(placed.items()))
+        return {0: value}
+    return dict(enumerate(value)) if isinstance(value, list) else None
 
 
 def walk(record: object, pairs: frozenset[Pair]) -> Iterator[tuple[int, int | None, str, int | None, str, object, str, str]]:
@@ -92,18 +91,19 @@ def walk(record: object, pairs: frozenset[Pair]) -> Iterator[tuple[int, int | No
     while stack:
         value, parent, label, ordinal, path, enclosing, element = stack.pop()
         node, count = count, count + 1
-        if ordinal is None and label and (enclosing, label) in pairs and (listed := as_list(value)) is not None:
-            value = listed
-        if isinstance(value, dict):
+        placed = as_list(value) if ordinal is None and label and (enclosing, label) in pairs else None
+        if placed is None and isinstance(value, list):
+            placed = dict(enumerate(value))
+        if placed is not None:
+            yield node, parent, label, ordinal, "list", None, path, element
+            inner = path if ordinal is not None else element
+            for i, x in reversed(placed.items()):
+                stack.append((x, node, label, i, f"{path}[{i}]", label, inner))
+        elif isinstance(value, dict):
             yield node, parent, label, ordinal, "object", None, path, element
             inner = path if ordinal is not None else element
             for k, x in reversed(value.items()):
                 stack.append((x, node, k, None, f"{path}.{k}" if path else k, label, inner))
-        elif isinstance(value, list):
-            yield node, parent, label, ordinal, "list", None, path, element
-            inner = path if ordinal is not None else element
-            for i in range(len(value) - 1, -1, -1):
-                stack.append((value[i], node, label, i, f"{path}[{i}]", label, inner))
         else:
             yield node, parent, label, ordinal, "scalar", value, path, element
 

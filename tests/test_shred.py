@@ -104,3 +104,13 @@ def test_typed_structs_with_nulls_and_extra_columns(spark):
 def test_plan_of_typed_items_reads_only_what_it_needs(spark, sf):
     plan = p1_activity_items(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "website_html" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_positions_as_keys_may_be_sparse():
+    pairs = frozenset({("", "xs")})
+    paths = lambda xs: [(r[6], r[3]) for r in shred.walk({"xs": xs}, pairs) if r[4] == "object" and r[6]]
+    assert paths({"1500": {"a": 1}}) == [("xs[1500]", 1500)]
+    assert paths({"2000000": {"a": 1}, "3": {"a": 2}}) == [("xs[3]", 3), ("xs[2000000]", 2000000)]
+    assert paths('{"1500": {"a": 1}}') == [("xs[1500]", 1500)]
+    assert paths([None, {"a": 1}]) == [("xs[1]", 1)] and paths({"a": 1}) == [("xs[0]", 0)]
+    assert paths({"9" * 5000: {"a": 1}})[0] == ("xs[0]", 0) and paths({"4000000000": {"a": 1}})[0] == ("xs[0]", 0)
