@@ -13,6 +13,7 @@ import math
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,34 +70,61 @@ def _gain(before: tuple[int, int], after: tuple[int, int]) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else -1.0
 
 
+def _order(row: dict) -> tuple[int, str]:
+    text = repr(sorted((k, repr(v)) for k, v in row.items()))
+    return zlib.crc32(text.encode()), text
+
+
+def grow_and_prune(rows: list[dict], label: str) -> tuple[list[dict], list[dict]]:
+    """Two thirds and one third of the rows of each label. Rows are dealt in the order of a hash of their
+    content, so the split depends on no order of arrival, and a label with one row only has it in the first
+    part, where rules grow."""
+    grow: list[dict] = []
+    prune: list[dict] = []
+    dealt: dict[str, int] = {}
+    for r in sorted(rows, key=_order):
+        n = dealt[r[label]] = dealt.get(r[label], 0) + 1
+        (grow if n % 3 else prune).append(r)
+    return grow, prune
+
+
 def learn(rows: list[dict], label: str, positive: str, negative: str, grid: dict[str, list[float]], most_rules: int = 16) -> DecisionList:
     """Learn a list from labelled ``rows`` over the statistics and thresholds of ``grid``; earlier
-    statistics win ties. The grow/prune split is by a hash of the row, so it never depends on order."""
+    statistics win ties. Rows of one label only give a list without rules."""
     out = DecisionList(positive, negative)
-    split = lambda r: zlib.crc32(repr(sorted((k, repr(v)) for k, v in r.items())).encode()) % 3
-    rows = sorted(rows, key=lambda r: repr(sorted((k, repr(v)) for k, v in r.items())))
-    grow, prune = [r for r in rows if split(r)], [r for r in rows if not split(r)]
     candidates = [Condition(s, up, t) for s, ts in grid.items() for t in ts for up in (True, False)]
-    count = lambda rs: (sum(r[label] == positive for r in rs), sum(r[label] != positive for r in rs))
-    while len(out.rules) < most_rules and any(r[label] == positive for r in grow):
-        rule: list[Condition] = []
-        covered = grow
-        while (now := count(covered))[1]:
-            best = max(candidates, key=lambda c: _gain(now, count([r for r in covered if c.holds(r)])))  # noqa: B023
-            left = [r for r in covered if best.holds(r)]
-            if _gain(now, count(left)) <= 1e-9:
+
+    def table(part: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        held = np.array([[c.holds(r) for c in candidates] for r in part], bool).reshape(len(part), len(candidates))
+        return held, np.array([r[label] == positive for r in part], bool)
+
+    (grow, is_grown), (prune, is_pruned) = map(table, grow_and_prune(rows, label))
+    left, kept = np.ones(len(grow), bool), np.ones(len(prune), bool)
+    while len(out.rules) < most_rules and is_grown[left].any():
+        rule: list[int] = []
+        covered = left.copy()
+        while (now := (int(is_grown[covered].sum()), int((~is_grown[covered]).sum())))[1]:
+            inside = grow[covered]
+            ps, ns = inside[is_grown[covered]].sum(axis=0), inside[~is_grown[covered]].sum(axis=0)
+            gains = [_gain(now, (int(p), int(n))) for p, n in zip(ps, ns, strict=True)]
+            best = int(np.argmax(gains))
+            if gains[best] <= 1e-9:
                 break
             rule.append(best)
-            covered = left
-        worth = lambda k: (lambda p, n: (p - n) / (p + n) if p + n else -1.0)(*count([r for r in prune if all(c.holds(r) for c in rule[:k])]))  # noqa: B023, E731
+            covered &= grow[:, best]
         if not rule:
             break
-        if any(r[label] == positive for r in prune):
-            keep = max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))
-            if worth(keep) <= 0:
+        if is_pruned[kept].any():
+            worth = []
+            for k in range(1, len(rule) + 1):
+                at = kept & prune[:, rule[:k]].all(axis=1)
+                p, n = int(is_pruned[at].sum()), int((~is_pruned[at]).sum())
+                worth.append((p - n) / (p + n) if p + n else -1.0)
+            keep = worth.index(max(worth)) + 1
+            if worth[keep - 1] <= 0:
                 break
             rule = rule[:keep]
-        out.rules.append(tuple(rule))
-        grow = [r for r in grow if not all(c.holds(r) for c in rule)]
-        prune = [r for r in prune if not all(c.holds(r) for c in rule)]
+        out.rules.append(tuple(candidates[c] for c in rule))
+        left &= ~grow[:, rule].all(axis=1)
+        kept &= ~prune[:, rule].all(axis=1)
     return out

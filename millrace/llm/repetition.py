@@ -1,16 +1,17 @@
 """Repetition inside single documents.
 
-Statistics of each document are counted once, over its whole text: the share of words in passages that
-occurred before in the document, and shares of repeated lines, sentences and phrases. A decision list
-learned from labelled statistics of a bounded sample sorts all documents; an exact comparison of counts
-confirms what it finds. Nothing of the corpus is shuffled.
+A decision list, learned from labelled statistics of a bounded sample, sorts all documents: its rules say
+which are *varied*, what no rule covers is *repetitive*. The statistics it reads are cheap shares of
+repeated phrases, words, lines and sentences; the quantity the labels are made from, the share of words in
+passages that occurred before, is none of them. What the list calls repetitive is then counted exactly.
+Nothing of the corpus is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ from millrace.session import spread
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+#: Words of a phrase, whose repetition is a statistic, and of a passage, whose repetition counts.
+PHRASE, PASSAGE = 3, 5
 #: Statistics in the order in which the learner prefers them; all are shares from 0 to 1.
-STATISTICS = ("repeated_share", "repeated_lines", "repeated_sentences", "top_phrase_share", "repeated_vocabulary")
+STATISTICS = ("repeated_phrases", "repeated_vocabulary", "repeated_lines", "repeated_sentences", "top_phrase_share")
 
 
 def coded(words: list[str]) -> np.ndarray:
@@ -42,7 +45,7 @@ def _windows(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def repeated_in(codes: np.ndarray, passage: int = 5) -> int:
+def repeated_in(codes: np.ndarray, passage: int = PASSAGE) -> int:
     """Number of words that lie in passages of at least ``passage`` words that occurred before, starting
     earlier, in the same document; words as ``coded``."""
     n = len(codes)
@@ -61,12 +64,12 @@ def repeated_in(codes: np.ndarray, passage: int = 5) -> int:
     return int((np.cumsum(edges)[:n] > 0).sum())
 
 
-def repeated_words(words: list[str], passage: int = 5) -> int:
+def repeated_words(words: list[str], passage: int = PASSAGE) -> int:
     """As ``repeated_in``, of words."""
     return repeated_in(coded(words), passage)
 
 
-def repeated_words_plainly(words: list[str], passage: int = 5) -> int:
+def repeated_words_plainly(words: list[str], passage: int = PASSAGE) -> int:
     """As ``repeated_words``, word by word from the definition: what samples are labelled by."""
     seen: set[tuple[str, ...]] = set()
     inside = [False] * len(words)
@@ -87,95 +90,129 @@ def _repeated_part(units: list[str]) -> float:
     return sum((c - 1) * len(u) for u, c in counts.items() if c > 1) / total
 
 
-def statistics_of(text: str | None) -> tuple[int, int, float, float, float, float, float]:
-    """Words, repeated words, and STATISTICS of a text; all zero for null, blank and wordless texts."""
-    ws = words_but_numbers(text)
+def statistics_of(text: str | None) -> tuple[int, float, float, float, float, float]:
+    """Words, and STATISTICS, of a text; all zero for null, blank and wordless texts."""
+    return _statistics_of(text, words_but_numbers(text))
+
+
+def _statistics_of(text: str | None, ws: list[str]) -> tuple[int, float, float, float, float, float]:
     n = len(ws)
     if not n:
-        return 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0
-    codes = coded(ws)
-    repeated = repeated_in(codes)
-    lines = [x for x in map(str.strip, text.split("\n")) if x]
-    sentences = [x for x in map(str.strip, _SENTENCE_END.split(text)) if x]
-    phrases = np.sort(_windows(codes, 3))
-    phrase = 0.0
+        return 0, 0.0, 0.0, 0.0, 0.0, 0.0
+    phrases = np.sort(_windows(coded(ws), PHRASE))
+    again, top = 0.0, 0.0
     if phrases.size > 1:
         starts = np.flatnonzero(np.concatenate(([True], phrases[1:] != phrases[:-1])))
+        again = (phrases.size - starts.size) / n
         most = int(np.diff(np.append(starts, phrases.size)).max())
-        phrase = min(1.0, 3 * most / n) if most > 1 else 0.0
-    return n, repeated, repeated / n, _repeated_part(lines), _repeated_part(sentences), phrase, 1 - len(set(ws)) / n
+        top = min(1.0, PHRASE * most / n) if most > 1 else 0.0
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    sentences = [x for x in map(str.strip, _SENTENCE_END.split(text)) if x]
+    return n, again, 1 - len(set(ws)) / n, _repeated_part(lines), _repeated_part(sentences), top
+
+
+def bounds_of(share: float) -> dict[str, float]:
+    """What a document with the ``share`` of words in repeated passages has of some statistics at least.
+
+    Every word of a repeated passage occurred before, so the share of repeated words is no less. Of the
+    words of a repeated passage all but the last two start a repeated phrase, and so do, where passages
+    overlap, no fewer than three fifths: the share of repeated phrases is no less than that of ``share``."""
+    return {"repeated_phrases": share * (PASSAGE - PHRASE + 1) / PASSAGE - 1e-9, "repeated_vocabulary": share - 1e-9}
 
 
 def repetition_statistics(documents: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """``doc_id, n_words, repeated_words`` and STATISTICS of each document. Null and empty texts have
-    no words and share 0; repeated ids give a row each."""
-    return _statistics(spread(documents.select(doc_id.alias("doc_id"), text.alias("text"))), labelled=False)
+    """``doc_id, n_words, repeated_words, repeated_share`` and STATISTICS of each document. Null and empty
+    texts have no words and share 0; repeated ids give a row each."""
+
+    def of(t: str | None) -> tuple:
+        ws = words_but_numbers(t)
+        n, *rest = _statistics_of(t, ws)
+        repeated = repeated_words(ws)
+        return n, repeated, repeated / n if n else 0.0, *rest
+
+    picked = spread(documents.select(doc_id.alias("doc_id"), text.alias("text")))
+    return _counted(picked, of, {"n_words": "long", "repeated_words": "long", "repeated_share": "double", **dict.fromkeys(STATISTICS, "double")})
+
 
+_ARROW = {"long": pa.int64(), "double": pa.float64()}
 
-def _statistics(picked: DataFrame, labelled: bool) -> DataFrame:
-    types = [pa.int64(), pa.int64()] + [pa.float64()] * len(STATISTICS)
-    names = ["n_words", "repeated_words", *STATISTICS]
-    if labelled:
-        types, names = [*types, pa.int64()], [*names, "repeated_by_definition"]
+
+def _counted(picked: DataFrame, of: Callable[[str | None], tuple], columns: dict[str, str], keep_text: bool = False) -> DataFrame:
+    """``doc_id`` (and ``text``) of ``picked`` and what ``of`` says of each text."""
+    kept = ["doc_id", "text"] if keep_text else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [statistics_of(t) + ((repeated_words_plainly(words_but_numbers(t)),) if labelled else ()) for t in b.column(1).to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", *names])
+            found = list(zip(*map(of, b.column("text").to_pylist()), strict=True)) or [()] * len(columns)
+            made = [pa.array(c, _ARROW[kind]) for c, kind in zip(found, columns.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + made, names=[*kept, *columns])
 
-    schema = picked.select("doc_id").schema
-    for name, kind in zip(names, types, strict=True):
-        schema = schema.add(name, "long" if kind == pa.int64() else "double")
+    schema = picked.select(*kept).schema
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
     return picked.mapInArrow(run, schema)
 
 
+def guarded(rules: DecisionList, share: float) -> DecisionList:
+    """``rules`` for varied documents, made safe for every document: a rule that asks for no statistic below
+    what a repetitive document has at least (``bounds_of``) is given that condition too. So whatever the
+    sample taught, no repetitive document meets a rule."""
+    bounds = bounds_of(share)
+    name = next(iter(bounds))
+    safe = lambda c: not c.at_least and c.threshold <= bounds.get(c.statistic, -1.0)
+    wider = lambda c: c.statistic == name and not c.at_least
+    kept = [r if any(map(safe, r)) else (*(c for c in r if not wider(c)), Condition(name, False, bounds[name])) for r in rules.rules]
+    return DecisionList(rules.positive, rules.negative, kept)
+
+
 def fitted_list(rows: list[dict], share: float) -> DecisionList:
-    """The list learned from labelled statistics, safe for every document.
-
-    Learning may end without a rule (positives all in one part of the grow/prune split, or too few to be
-    worth one), above ``share``, or on another statistic, which holds for the positives of the sample
-    only. Unless some rule asks for nothing but a repeated share of ``share`` or less, the definition's
-    own condition is therefore added as the last rule; then every document of the definition meets the
-    list, in the sample or not."""
-    definition = (Condition("repeated_share", True, share),)
-    if len({r["label"] for r in rows}) < 2:
-        return DecisionList("repetitive", "varied", [definition])
-    thresholds = [round(0.05 * i, 2) for i in range(1, 20)]
-    if share not in thresholds:
-        thresholds = sorted([*thresholds, share])
-    out = learn(rows, "label", "repetitive", "varied", {s: thresholds for s in STATISTICS})
-    if not any(all(c.statistic == "repeated_share" and c.at_least and c.threshold <= share for c in rule) for rule in out.rules):
-        out.rules.append(definition)
-    return out
+    """The guarded list learned from labelled statistics. A sample that teaches nothing (one label only, or
+    rules worth nothing on the part they are pruned on) gives the list without rules: then every document
+    counts as repetitive until its count says otherwise, and none is lost."""
+    thresholds = {s: sorted({*(round(0.05 * i, 2) for i in range(1, 20)), *([bounds_of(share)[s]] if s in bounds_of(share) else [])}) for s in STATISTICS}
+    return guarded(learn(rows, "label", "varied", "repetitive", thresholds), share)
 
 
 def learned_list(documents: DataFrame, doc_id: Column, text: Column, share: float = 0.3, sample: int = 4000) -> DecisionList:
-    """The decision list for documents whose repeated share is at least ``share``.
-
-    It is fitted on the ``sample`` documents with the smallest hashes of their ids (the bound on what is
-    fitted; everything else covers all documents), labelled word by word from the definition. Only
-    hashes low enough for twice the sample are sorted, so that what a partition sends doesn't grow with
-    their number. Thresholds are multiples of 0.05. A sample with one label only can teach nothing: then
-    the list is the definition's own threshold.
+    """The decision list that tells varied documents from those whose repeated share may be ``share``.
 
-    The list loses no document (``fitted_list``). What it lets through beyond the definition, the exact
-    comparison takes out."""
+    It is fitted on at most ``sample`` documents, those with the smallest hashes of their ids (the bound on
+    what is fitted; everything else covers all documents), labelled word by word from the definition.
+    Their statistics, not their texts, are sorted. Thresholds are multiples of 0.05 and the bounds."""
     picked = documents.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id).alias("draw"))
     count = documents.count()
     if count > 2 * sample:
         picked = picked.where(F.col("draw") < F.lit(int(-(2**63) + 2**64 * (2 * sample / count))))
-    drawn = picked.orderBy("draw", "doc_id").limit(sample).drop("draw")
+    picked = picked.select(F.struct("draw", "doc_id").alias("doc_id"), "text")
+
+    def of(t: str | None) -> tuple:
+        ws = words_but_numbers(t)
+        return *_statistics_of(t, ws), repeated_words_plainly(ws)
+
+    drawn = _counted(spread(picked), of, {"n_words": "long", **dict.fromkeys(STATISTICS, "double"), "by_definition": "long"})
     rows = []
-    for r in _statistics(drawn, labelled=True).drop("doc_id").collect():
+    for r in drawn.orderBy(*drawn.columns).limit(sample).drop("doc_id").collect():
         row = {s: r[s] for s in STATISTICS}
-        row["label"] = "repetitive" if r["n_words"] and r["repeated_by_definition"] >= share * r["n_words"] else "varied"
+        row["label"] = "repetitive" if r["n_words"] and r["by_definition"] >= share * r["n_words"] else "varied"
         rows.append(row)
     return fitted_list(rows, share)
 
 
+def suspected_documents(documents: DataFrame, doc_id: Column, text: Column, rules: DecisionList) -> DataFrame:
+    """``doc_id, text`` and statistics of the documents that ``rules`` calls repetitive."""
+    picked = spread(documents.select(doc_id.alias("doc_id"), text.alias("text")).where("text IS NOT NULL"))
+    rows = _counted(picked, statistics_of, {"n_words": "long", **dict.fromkeys(STATISTICS, "double")}, keep_text=True)
+    return rows.where((F.col("n_words") > 0) & (rules.column() == "repetitive"))
+
+
 def repetitive_documents(documents: DataFrame, doc_id: Column, text: Column, share: float = 0.3, sample: int = 4000) -> DataFrame:
-    """Statistics of the documents that the learned list calls repetitive and whose counts confirm it."""
-    rules = learned_list(documents, doc_id, text, share, sample)
-    rows = repetition_statistics(documents, doc_id, text).withColumn("label", rules.column())
-    return rows.where((F.col("label") == "repetitive") & (F.col("n_words") > 0) & (F.col("repeated_words") >= F.lit(share) * F.col("n_words")))
+    """``doc_id, n_words, repeated_words`` of the documents that the learned list calls repetitive and whose
+    exact count confirms it. Null and wordless texts are not repetitive; repeated ids give a row each."""
+    suspected = suspected_documents(documents, doc_id, text, learned_list(documents, doc_id, text, share, sample))
+
+    def of(t: str) -> tuple[int, int]:
+        ws = words_but_numbers(t)
+        return len(ws), repeated_words(ws)
+
+    rows = _counted(suspected.select("doc_id", "text"), of, {"n_words": "long", "repeated_words": "long"})
+    return rows.where(F.col("repeated_words") >= F.lit(share) * F.col("n_words"))
