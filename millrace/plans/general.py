@@ -50,7 +50,7 @@ def entry_changes(spark: SparkSession, folder: str) -> DataFrame:
     others = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TRACKED_OTHERS]
     content = F.concat_ws("\u001f", *texts, *others)
     latest = snapshots.latest_versions(rows, nine_digits(F.col("organisation_number")), F.col("snapshot_date"), F.col("loaded_at"), content)
-    return _named(snapshots.changes(latest))
+    return _named(snapshots.changes(latest, rows.select("snapshot_date")))
 
 
 def envelope_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +58,7 @@ def envelope_changes(spark: SparkSession, folder: str) -> DataFrame:
     rows = spread(read_table(spark, folder, "companies").select("organisation_number", "snapshot_date", "updated_at", "latest_envelope"))
     content = json_digest(VOLATILE)(F.col("latest_envelope"))
     latest = snapshots.latest_versions(rows, nine_digits(F.col("organisation_number")), F.col("snapshot_date"), F.col("updated_at"), content)
-    return _named(snapshots.changes(latest))
+    return _named(snapshots.changes(latest, read_table(spark, folder, "companies").select("snapshot_date")))
 
 
 def _named(rows: DataFrame) -> DataFrame:

@@ -98,3 +98,25 @@ def test_text_and_number_forms(spark):
     df = spark.createDataFrame(rows, "t string, n string")
     got = df.select(folded_text(F.col("t")), nine_digits(F.col("n")), has_valid_check_digit(F.col("n"))).collect()
     assert [tuple(r) for r in got] == [("ás x", "974760673", True), ("", None, False), ("", None, False), ("ås x", "974760673", True), ("ås x", "974760674", False)]
+
+
+def test_residues_are_except_all_both_ways(spark):
+    import random
+
+    rng = random.Random(2)
+    row = lambda: (rng.choice("abcd"), rng.randint(1, 3), rng.choice("xy"))
+    later, earlier = [row() for _ in range(40)], [row() for _ in range(40)]
+    schema = "key string, snapshot int, digest string"
+    a, b = spark.createDataFrame(later, schema), spark.createDataFrame(earlier, schema)
+    new, old = snapshots.residues(a.withColumn("sign", F.lit(1)).unionByName(b.withColumn("sign", F.lit(-1))))
+    keys = lambda df: sorted(map(tuple, df.select("key", "snapshot").distinct().collect()))
+    assert keys(new) == keys(a.exceptAll(b)) and keys(old) == keys(b.exceptAll(a)) and keys(new)
+
+
+def test_both_residues_and_their_join_use_one_exchange(spark, sf):
+    from millrace.plans.general import entry_changes
+
+    df = entry_changes(spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"\bExchange hashpartitioning", plan)) <= 2 + plan.count("ReusedExchange") and "ReusedExchange" in plan
