@@ -1,14 +1,17 @@
 """Nested records as related flat tables.
 
 A record becomes an *adjacency table*: one row per node with its parent, label, ordinal and scalar.
-Object nodes are then joined with their scalar children and pivoted into entity tables. A record's
-nodes are made by one task, so that join never leaves the record: it is a step over sorted ids within
-an array for JSON text, and a projection for typed structs; nothing is shuffled.
-
-For typed columns the shredding is derived from the schema and stays in the JVM. JSON text is walked
-once per document. JSON arrays may come in several shapes (a list, one object, an object keyed by
-positions, a list's JSON text in a string); where the corpus shows a list under a pair of labels, all
-of these under the same pair count as that list.
+Object nodes are then joined with their scalar children and pivoted into entity tables. Typed structs
+go through their JSON text, so both kinds of record become the same nodes.
+
+A record's nodes are made by one task, one after another, and a node's number is its place among them.
+``object_nodes`` therefore joins each batch of the adjacency table to itself by row numbers where it is
+made, and shuffles nothing; ``objects_of`` is the same join over an adjacency table that was stored.
+
+JSON arrays may come in several shapes (a list, one object, an object keyed by positions, a list's JSON
+text in a string); where the corpus shows a list under a pair of labels, all of these under the same pair
+count as that list. Text that is no JSON, or is nested too deep to be read, gives a node of kind
+``error`` that says so. Null text gives no nodes.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.session import spread
 
@@ -29,11 +33,18 @@ Pair = tuple[str, str]
 
 
 # ---------------------------------------------------------------- JSON text
-def _parsed(text: str | None) -> object:
+def _read(text: str) -> tuple[object, str | None]:
+    """The value of JSON text, or what is wrong with it."""
     try:
-        return json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):
-        return None
+        return json.loads(text), None
+    except RecursionError:
+        return None, "nested too deep"
+    except ValueError:
+        return None, "no JSON"
+
+
+def _parsed(text: str | None) -> object:
+    return None if text is None else _read(text)[0]
 
 
 def list_pairs_of(value: object, enclosing: str = "", label: str = "") -> Iterator[Pair]:
@@ -108,7 +119,10 @@ def walk(record: object, pairs: frozenset[Pair]) -> Iterator[tuple[int, int | No
             yield node, parent, label, ordinal, "scalar", value, path, element
 
 
-_ADJACENCY = "node int, parent int, label string, ordinal int, kind string, scalar string, path string, element_path string"
+_NODE = (("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("path", pa.string()), ("element_path", pa.string()))
+_ADJACENCY = "record_key string, node int, parent int, label string, ordinal int, kind string, scalar string, path string, element_path string"
+#: Nodes after which a batch of the adjacency table is closed, at the end of a record.
+_BATCH_NODES = 100_000
 
 
 def _scalar_text(value: object) -> str | None:
@@ -117,57 +131,107 @@ def _scalar_text(value: object) -> str | None:
     return json.dumps(value)
 
 
+def adjacency_batches(batches: Iterable[pa.RecordBatch], pairs: frozenset[Pair]) -> Iterator[pa.RecordBatch]:
+    """The adjacency table of ``(record_key, text)`` batches, in batches of whole records."""
+    keys: list[str | None] = []
+    nodes: list[tuple] = []
+
+    def closed() -> pa.RecordBatch:
+        columns = list(zip(*nodes, strict=True)) or [()] * len(_NODE)
+        columns[5] = [_scalar_text(x) for x in columns[5]]
+        arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, _NODE, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *arrays], names=["record_key", *(name for name, _ in _NODE)])
+
+    for b in batches:
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if text is None:
+                continue
+            record, error = _read(text)
+            before = len(nodes)
+            if error is None:
+                nodes.extend(walk(record, pairs))
+            else:
+                nodes.append((0, None, "", None, "error", error, "", "$"))
+            keys.extend([key] * (len(nodes) - before))
+            if len(nodes) >= _BATCH_NODES:
+                yield closed()
+                keys, nodes = [], []
+    yield closed()
+
+
+def joined_batch(b: pa.RecordBatch, scalars: bool) -> pa.RecordBatch:
+    """The object nodes of an adjacency batch of whole records, joined with their scalar children."""
+    column = lambda name: b.column(b.schema.get_field_index(name))
+    node = column("node").to_numpy(zero_copy_only=False)
+    row = np.arange(len(node))
+    first = row - node  # the row of the record's first node
+    parent = column("parent").fill_null(-1).to_numpy(zero_copy_only=False)
+    kind = column("kind")
+    is_object = pc.equal(kind, "object").to_numpy(zero_copy_only=False)
+    owner = np.where(parent >= 0, first + parent, -1)
+    child = (owner >= 0) & is_object[owner]
+    is_scalar = pc.equal(kind, "scalar").to_numpy(zero_copy_only=False)
+    blank = pc.equal(column("scalar").fill_null(""), "").to_numpy(zero_copy_only=False)
+    filled = np.bincount(owner[child & ~(is_scalar & blank)], minlength=len(node))
+    at = np.flatnonzero(is_object)
+    take = lambda name: column(name).take(pa.array(at))
+    path = take("path")
+    paths = pc.if_else(pc.equal(path, ""), "$", path)
+    if scalars:
+        mine = np.flatnonzero(child & is_scalar)
+        mine = mine[np.argsort(owner[mine], kind="stable")]
+        offsets = np.searchsorted(owner[mine], np.append(at, len(node))).astype(np.int32)
+        maps = pa.MapArray.from_arrays(pa.array(offsets), column("label").take(pa.array(mine)), column("scalar").take(pa.array(mine)))
+    else:
+        maps = pa.nulls(len(at), pa.map_(pa.string(), pa.string()))
+    return pa.RecordBatch.from_arrays(
+        [take("record_key"), take("node"), take("label"), take("ordinal"), paths, take("element_path"), pa.array(filled[at], pa.int32()), maps],
+        names=["record_key", "node", "label", "ordinal", "child_path", "parent_path", "filled", "scalars"],
+    )
+
+
+def _keyed(df: DataFrame, key: Column, text: Column) -> DataFrame:
+    return spread(df.select(key.cast("string").alias("record_key"), text.alias("text")))
+
+
 def adjacency(df: DataFrame, key: Column, text: Column, pairs: Iterable[Pair] | None = None) -> DataFrame:
     """The adjacency table of the JSON documents in ``text``: ``record_key`` and one row per node.
-    Null text and text that is no JSON give no rows. ``pairs`` as from ``list_pairs``."""
+    ``pairs`` as from ``list_pairs``; none for typed records, whose lists are lists."""
     known = frozenset(pairs) if pairs is not None else list_pairs(df, text)
-    types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
-    names = ["node", "parent", "label", "ordinal", "kind", "scalar", "path", "element_path"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                record = _parsed(t)
-                if record is None:
-                    continue
-                columns = list(zip(*walk(record, known), strict=True))
-                columns[5] = [_scalar_text(x) for x in columns[5]]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(columns[0]), pa.string())] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["record_key", *names])
-
-    return spread(df.select(key.cast("string").alias("record_key"), text.alias("text"))).mapInArrow(run, "record_key string, " + _ADJACENCY)
+    return _keyed(df, key, text).mapInArrow(lambda batches: adjacency_batches(batches, known), _ADJACENCY)
 
 
 def object_nodes(df: DataFrame, key: Column, text: Column, pairs: Iterable[Pair] | None = None, scalars: bool = True) -> DataFrame:
     """Object nodes joined with their scalar children: ``record_key, node, label, ordinal, child_path,
     parent_path, filled, scalars``. ``parent_path`` is the nearest enclosing element of a list, ``$`` if
     none; ``filled`` counts values that are neither null nor an empty string; ``scalars`` is a map
-    (null if not asked for). The join is over one record's nodes and runs where they are made."""
+    (null if not asked for). Made and joined in the same task."""
     known = frozenset(pairs) if pairs is not None else list_pairs(df, text)
-    kinds = pa.map_(pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[list] = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                record = _parsed(t)
-                if record is None:
-                    continue
-                at: dict[int, list] = {}
-                for node, parent, label, ordinal, kind, scalar, path, element in walk(record, known):
-                    owner = at.get(parent) if parent is not None and ordinal is None else None
-                    if owner is not None and (kind != "scalar" or (scalar is not None and scalar != "")):
-                        owner[6] += 1
-                    if kind == "object":
-                        at[node] = [k, node, label, ordinal, path or "$", element, 0, [] if scalars else None]
-                    elif owner is not None and kind == "scalar" and scalars:
-                        owner[7].append((label, _scalar_text(scalar)))
-                rows += at.values()
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["record_key", "node", "label", "ordinal", "child_path", "parent_path", "filled", "scalars"])
+        return (joined_batch(b, scalars) for b in adjacency_batches(batches, known))
 
     schema = "record_key string, node int, label string, ordinal int, child_path string, parent_path string, filled int, scalars map<string,string>"
-    return spread(df.select(key.cast("string").alias("record_key"), text.alias("text"))).mapInArrow(run, schema)
+    return _keyed(df, key, text).mapInArrow(run, schema)
+
+
+def struct_text(columns: Iterable[str]) -> Column:
+    """The JSON text of struct columns, for ``adjacency`` and ``object_nodes``; null fields are left out."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
+
+
+def objects_of(nodes: DataFrame, label: str, columns: dict[str, str]) -> DataFrame:
+    """Entity table from a stored adjacency table: the elements of the lists under ``label`` joined with
+    their scalar children and pivoted, ``record_key, child_path, parent_path`` and a typed column for each
+    of ``columns``. Keys may repeat if the records under one key are the same; a record with a null key has
+    no rows here, as it can't be told from others."""
+    keyed = nodes.where("record_key IS NOT NULL")
+    objects = keyed.where((F.col("kind") == "object") & (F.col("label") == label) & F.col("ordinal").isNotNull())
+    children = keyed.where((F.col("kind") == "scalar") & F.col("ordinal").isNull() & F.col("label").isin(list(columns)))
+    picked = children.groupBy("record_key", F.col("parent").alias("node")).pivot("label", list(columns)).agg(F.max("scalar"))
+    links = objects.select("record_key", "node", F.col("path").alias("child_path"), F.col("element_path").alias("parent_path")).distinct()
+    joined = links.join(picked, ["record_key", "node"], "left")
+    return joined.select("record_key", "child_path", "parent_path", *[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in columns.items()])
 
 
 def entity_table(objects: DataFrame, label: str, columns: dict[str, str]) -> DataFrame:
@@ -177,49 +241,6 @@ def entity_table(objects: DataFrame, label: str, columns: dict[str, str]) -> Dat
     return of.select("record_key", "child_path", "parent_path", *[F.try_element_at("scalars", F.lit(c)).try_cast(t).alias(f"{c}") for c, t in columns.items()])
 
 
-# ---------------------------------------------------------------- typed columns
-def _filled(value: Column, kind: T.DataType) -> Column:
-    return (value.isNotNull() & (value != "")) if isinstance(kind, T.StringType) else value.isNotNull()
-
-
-def struct_elements(root: Column, schema: T.StructType) -> Column:
-    """Array of ``struct<child_path, parent_path, filled>``: the elements of all arrays of structs below
-    ``root``, whose type is ``schema``, at any depth. Null structs, arrays and elements give nothing;
-    positions count null elements."""
-
-    def of_struct(value: Column, kind: T.StructType, path: Column | None, parent: Column) -> list[Column]:
-        out = []
-        for f in kind.fields:
-            below = F.lit(f.name) if path is None else F.concat(path, F.lit("." + f.name))
-            if isinstance(f.dataType, T.StructType):
-                out += of_struct(value[f.name], f.dataType, below, parent)
-            elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-                out.append(of_array(value[f.name], f.dataType.elementType, below, parent))
-        return out
-
-    def of_array(value: Column, kind: T.StructType, path: Column, parent: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            here = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-            filled = sum((_filled(x[f.name], f.dataType).cast("int") for f in kind.fields), F.lit(0))
-            row = F.struct(here.alias("child_path"), parent.alias("parent_path"), F.coalesce(filled, F.lit(0)).alias("filled"))
-            return F.flatten(F.array(F.array(row), *of_struct(x, kind, here, here)))
-
-        return F.flatten(F.coalesce(F.transform(value, one), F.array()))
-
-    parts = of_struct(root, schema, None, F.lit("$"))
-    return F.flatten(F.array(*parts)) if parts else F.array()
-
-
-def struct_table(df: DataFrame, key: Column, columns: Iterable[str]) -> DataFrame:
-    """``record_key, child_path, parent_path, filled`` of every element below the struct columns named,
-    paths starting at the record. Wholly native."""
-    names = list(columns)
-    schema = T.StructType([df.schema[c] for c in names])
-    picked = df.select(key.cast("string").alias("record_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"))
-    rows = picked.select("record_key", F.explode(struct_elements(F.col("record"), schema)).alias("e"))
-    return rows.select("record_key", "e.child_path", "e.parent_path", "e.filled")
-
-
 def field_of(objects: DataFrame, label: str) -> Callable[[str], Column]:
     """A column function that reads one scalar of the objects under ``label``."""
     return lambda name: F.when(objects["label"] == label, F.try_element_at(objects["scalars"], F.lit(name)))

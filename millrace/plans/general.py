@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.canon import folded_text, json_digest
 from millrace.functions.orgid import nine_digits
 from millrace.operators import instants, shred, snapshots
-from millrace.session import spread
+from millrace.session import cut_lineage, spread
 from millrace.sources.tables import read_table
 
 #: Volatile keys of an envelope, left out when contents are compared.
@@ -16,17 +16,34 @@ VOLATILE = ("run_id", "started_at", "completed_at", "final_timestamp", "retry_co
 #: Compared fields of a registry row.
 TRACKED_TEXTS = ("name", "legal_form", "municipality_number", "industry_code", "website", "latest_submitted_accounts")
 TRACKED_OTHERS = ("employees", "bankrupt", "liquidating")
+#: Nested columns of a record, and the scalars of a brief's part.
+NESTED = ("activity", "brief", "hiring")
+PARTS = ("text", "source_class", "source_url", "claim_span", "kind")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Elements of lists in the nested records and in the envelopes' JSON, with their parents."""
     recovery = read_table(spark, folder, "recovery")
     companies = read_table(spark, folder, "companies")
-    typed = shred.struct_table(recovery, F.col("recovery_id"), ("activity", "brief", "hiring"))
-    typed = typed.where("filled > 0").select(F.lit("recovery").alias("source_table"), "record_key", "child_path", "parent_path")
-    objects = shred.object_nodes(companies, F.col("row_id"), F.col("latest_envelope"), scalars=False)
-    found = objects.where("filled > 0 AND ordinal IS NOT NULL").select(F.lit("companies").alias("source_table"), "record_key", "child_path", "parent_path")
-    return typed.unionByName(found).distinct()
+    elements = lambda objects, table: objects.where("filled > 0 AND ordinal IS NOT NULL").select(F.lit(table).alias("source_table"), "record_key", "child_path", "parent_path")
+    typed = shred.object_nodes(recovery, F.col("recovery_id"), shred.struct_text(NESTED), pairs=(), scalars=False)
+    found = shred.object_nodes(companies, F.col("row_id"), F.col("latest_envelope"), scalars=False)
+    return elements(typed, "recovery").unionByName(elements(found, "companies")).distinct()
+
+
+def p1_adjacency(spark: SparkSession, folder: str) -> DataFrame:
+    """The adjacency table of the nested records: every node with its parent, label, ordinal and scalar."""
+    recovery = read_table(spark, folder, "recovery")
+    nodes = shred.adjacency(recovery, F.col("recovery_id"), shred.struct_text(NESTED), pairs=())
+    return nodes.select("record_key", "path", "element_path", "label", "ordinal", "kind", "scalar").distinct()
+
+
+def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Entity table of the brief's parts: object nodes of the stored adjacency table, joined with their
+    scalar children and pivoted."""
+    recovery = read_table(spark, folder, "recovery")
+    nodes = shred.adjacency(recovery, F.col("recovery_id"), shred.struct_text(NESTED), pairs=())
+    return shred.objects_of(cut_lineage(nodes.where("element_path LIKE 'brief.parts[%' OR path LIKE 'brief.parts[%'")), "parts", dict.fromkeys(PARTS, "string"))
 
 
 def p1_roles(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,6 +103,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_roles": p1_roles,
+    "p1_adjacency": p1_adjacency,
+    "p1_entities": p1_entities,
     "p1_activity_items": p1_activity_items,
     "p2_found": p2_found,
     "p2_entry_changes": entry_changes,
@@ -96,7 +115,31 @@ QUERIES = {
 _KEY = "CASE WHEN length(regexp_replace(organisation_number, '[^0-9]', '', 'g')) = 9 THEN regexp_replace(organisation_number, '[^0-9]', '', 'g') END"
 _FOLD = "lower(nfc_normalize(trim(regexp_replace(coalesce({}, ''), '[\\s\\p{{Z}}]+', ' ', 'g'))))"
 _CONTENT = " || chr(31) || ".join([_FOLD.format(c) for c in TRACKED_TEXTS] + [f"coalesce(CAST({c} AS VARCHAR), '')" for c in TRACKED_OTHERS])
+
+
+def _adjacency_sql() -> str:
+    """Nodes of the nested columns, kind by kind: records, structs, their scalars, lists, elements, and the elements' scalars."""
+    structs = {"activity": ("status",), "brief": ("status", "summary"), "hiring": ("status", "careers_page_found", "checked")}
+    lists = {("activity", "items"): ("title", "date", "url", "claim_span", "source_class"), ("brief", "parts"): PARTS, **{("hiring", x): ("title", "url") for x in ("postings", "company_site_postings", "nav_ads")}}
+    row = "SELECT CAST(recovery_id AS VARCHAR) AS record_key, {} AS path, {} AS element_path, {} AS label, {} AS ordinal, {} AS kind, CAST({} AS VARCHAR) AS scalar FROM {} WHERE {}"
+    none = "CAST(NULL AS INTEGER)"
+    parts = [row.format("''", "'$'", "''", none, "'object'", "NULL", "recovery", "true")]
+    for s, leaves in structs.items():
+        parts.append(row.format(f"'{s}'", "'$'", f"'{s}'", none, "'object'", "NULL", "recovery", f"{s} IS NOT NULL"))
+        parts += [row.format(f"'{s}.{x}'", "'$'", f"'{x}'", none, "'scalar'", f"{s}.{x}", "recovery", f"{s}.{x} IS NOT NULL") for x in leaves]
+    for (s, a), leaves in lists.items():
+        parts.append(row.format(f"'{s}.{a}'", "'$'", f"'{a}'", none, "'list'", "NULL", "recovery", f"{s}.{a} IS NOT NULL"))
+        items = f"(SELECT recovery_id, i - 1 AS i, {s}.{a}[i] AS e FROM (SELECT *, unnest(range(1, len({s}.{a}) + 1)) AS i FROM recovery))"
+        here = f"'{s}.{a}[' || i || ']'"
+        parts.append(row.format(here, "'$'", f"'{a}'", "CAST(i AS INTEGER)", "CASE WHEN e IS NULL THEN 'scalar' ELSE 'object' END", "NULL", items, "true"))
+        parts += [row.format(f"{here} || '.{x}'", here, f"'{x}'", none, "'scalar'", f"e.{x}", items, f"e.{x} IS NOT NULL") for x in leaves]
+    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + ")"
+
+
 ORACLE = {
+    "p1_adjacency": _adjacency_sql(),
+    "p1_entities": f"""SELECT DISTINCT CAST(recovery_id AS VARCHAR) AS record_key, 'brief.parts[' || (i - 1) || ']' AS child_path, '$' AS parent_path, {", ".join(f"e.{c} AS {c}" for c in PARTS)}
+        FROM (SELECT recovery_id, i, brief.parts[i] AS e FROM (SELECT *, unnest(range(1, len(brief.parts) + 1)) AS i FROM recovery)) WHERE e IS NOT NULL""",
     "p1_activity_items": """SELECT DISTINCT recovery_id, CAST(i - 1 AS INTEGER) AS item_ord, items[i].title AS title, items[i].date AS date, items[i].url AS url, items[i].claim_span AS claim_span, items[i].source_class AS source_class
         FROM (SELECT recovery_id, activity.items AS items, unnest(range(1, len(activity.items) + 1)) AS i FROM recovery) WHERE items[i] IS NOT NULL""",
     "p2_entry_changes": f"""WITH v AS (SELECT o, snapshot_date AS d, arg_max(content, loaded_at) AS content FROM (SELECT {_KEY} AS o, snapshot_date, loaded_at, {_CONTENT} AS content FROM entry_companies) WHERE o IS NOT NULL AND snapshot_date IS NOT NULL GROUP BY 1, 2),

@@ -93,12 +93,12 @@ def test_typed_structs_with_nulls_and_extra_columns(spark):
     inner = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("sub", T.ArrayType(T.StructType([T.StructField("u", T.IntegerType())])))]))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("record_key", T.StringType()), T.StructField("a", T.StructType([T.StructField("xs", inner)]))])
     rows = [(1, "clash", ([("x", [(None,), (5,)]), None, ("", None)],)), (2, None, None), (3, None, (None,)), (4, None, ([],)), (None, None, ([("y", [])],))]
-    got = shred.struct_table(spark.createDataFrame(rows, schema), F.col("id"), ["a"]).where("filled > 0")
+    objects = lambda rs: shred.object_nodes(spark.createDataFrame(rs, schema), F.col("id"), shred.struct_text(["a"]), pairs=())
+    got = objects(rows).where("filled > 0 AND ordinal IS NOT NULL")
     assert {tuple(r) for r in got.select("record_key", "child_path", "parent_path").collect()} == {
         ("1", "a.xs[0]", "$"), ("1", "a.xs[0].sub[1]", "a.xs[0]"), (None, "a.xs[0]", "$"),
     }
-    empty = shred.struct_table(spark.createDataFrame([], schema), F.col("id"), ["a"])
-    assert empty.count() == 0
+    assert objects([]).count() == 0
 
 
 def test_plan_of_typed_items_reads_only_what_it_needs(spark, sf):
@@ -114,3 +114,34 @@ def test_positions_as_keys_may_be_sparse():
     assert paths('{"1500": {"a": 1}}') == [("xs[1500]", 1500)]
     assert paths([None, {"a": 1}]) == [("xs[1]", 1)] and paths({"a": 1}) == [("xs[0]", 0)]
     assert paths({"9" * 5000: {"a": 1}})[0] == ("xs[0]", 0) and paths({"4000000000": {"a": 1}})[0] == ("xs[0]", 0)
+
+
+def test_unreadable_text_gives_an_error_node(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    df = spark.createDataFrame([("a", deep), ("b", "{"), ("c", None), ("d", "{}"), (None, "[1]")], "record_key string, text string")
+    rows = shred.adjacency(df, F.col("record_key"), F.col("text"), pairs=()).collect()
+    assert sorted((str(r.record_key), r.node, r.kind, r.scalar) for r in rows) == [
+        ("None", 0, "list", None), ("None", 1, "scalar", "1"), ("a", 0, "error", "nested too deep"), ("b", 0, "error", "no JSON"), ("d", 0, "object", None),
+    ]
+    assert shred.object_nodes(df, F.col("record_key"), F.col("text")).where("filled > 0").count() == 0
+
+
+def test_stored_table_joins_as_the_batch_does(spark, sf):
+    """The Spark join over the stored table and the join within batches, whatever the size of a batch."""
+    companies = read_table(spark, sf, "companies")
+    nodes = shred.adjacency(companies, F.col("row_id"), F.col("latest_envelope"))
+    columns = {"name": "string", "role_code": "string", "role": "string", "last_changed": "date", "inactive": "boolean", "organisation_number": "string"}
+    assert {tuple(r) for r in shred.objects_of(nodes, "roles", columns).collect()} == {tuple(r) for r in p1_roles(spark, sf).collect()}
+
+
+def test_batches_hold_whole_records(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(shred, "_BATCH_NODES", 5)
+    texts = ['{"a": [{"x": 1, "y": ""}, {"x": null}], "b": {"z": true}}'] * 7 + [None, "3", "nope"]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(10)]), pa.array(texts)], names=["record_key", "text"])
+    parts = list(shred.adjacency_batches([batch, batch], frozenset()))
+    assert len(parts) > 10 and all(p.num_rows == 0 or p.column(1)[0].as_py() == 0 for p in parts)
+    rows = [r for p in parts for r in shred.joined_batch(p, True).to_pylist()]
+    assert len(rows) == 2 * 7 * 4
+    assert [(r["child_path"], r["filled"], r["scalars"]) for r in rows[:4]] == [("$", 2, []), ("a[0]", 1, [("x", "1"), ("y", "")]), ("a[1]", 0, [("x", None)]), ("b", 1, [("z", "true")])]
