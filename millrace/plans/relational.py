@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.orgid import nine_digits
@@ -41,8 +41,9 @@ def _screen(spark: SparkSession, folder: str, question: str) -> DataFrame:
     columns = {
         "municipality": F.col("n_name"), "legal_form": F.col("c_mktsegment"), "revenue": F.col("revenue"), "employees": F.col("employees"),
         "active_jobs": F.col("active_jobs"), "annual_result": F.col("c_acctbal"), "website": F.col("revenue").isNotNull(), "industry": F.col("c_name"),
+        "job_location": F.col("n_name"), "financials": F.col("revenue").isNotNull(),
     }
-    modules = {"revenue": "financials", "annual_result": "financials", "active_jobs": "external", "website": "website"}
+    modules = {"revenue": "financials", "annual_result": "financials", "financials": "financials", "active_jobs": "external", "job_location": "external", "website": "website"}
     return screens.screen(company_facts(spark, folder), question, columns, "c_custkey", modules)
 
 
@@ -59,11 +60,17 @@ def screen_top_revenue(spark, folder):
 
 @query(_FACTS + """SELECT c_custkey, c_mktsegment AS legal_form, employees, active_jobs, c_acctbal AS annual_result, revenue IS NOT NULL AS website, c_name AS industry,
     'external,financials,registry,website' AS citations FROM facts WHERE lower(c_mktsegment) = 'building' AND employees <= 20 AND active_jobs >= 2 AND c_acctbal > 0
-    AND revenue IS NOT NULL AND contains(lower(c_name), 'customer') ORDER BY c_custkey LIMIT 100""")
+    AND revenue IS NOT NULL AND contains(lower(c_name), 'customer')""")
 def screen_filters_all_ops(spark, folder):
     return _screen(spark, folder, "Profitable companies with legal form is BUILDING and employees <= 20 and at least 2 active jobs that have a website where industry contains 'Customer'")
 
 
+@query(_FACTS + """SELECT c_custkey, active_jobs, n_name AS job_location, revenue IS NOT NULL AS financials, 'external,financials' AS citations FROM facts WHERE active_jobs > 0 AND contains(lower(n_name), 'united') AND revenue IS NOT NULL""")
+def screen_jobs_in_place(spark, folder):
+    """A place in a question about jobs is where the jobs are; accounts are asked for as available."""
+    return _screen(spark, folder, "hiring companies in United with annual accounts")
+
+
 @query("SELECT CAST(NULL AS BIGINT) AS c_custkey, CAST(NULL AS BIGINT) AS employees, '' AS citations WHERE false")
 def screen_abstain(spark, folder):
     return _screen(spark, folder, "companies with good sentiment and over 5 employees")
@@ -82,7 +89,7 @@ def list_companies_page(spark, folder):
     hit = newest.where(F.col("name").ilike("%energi%") | F.col("municipality").ilike("%energi%") | F.col("industry_label").ilike("%energi%"))
     page = hit.select("organisation_number", "name", "coverage_score").orderBy(F.lower("name"), "organisation_number").limit(27)
     placed = page.withColumn("place", F.row_number().over(Window.orderBy(F.lower("name"), "organisation_number")))
-    return placed.where("place > 2").withColumn("place", F.col("place") - 2).withColumn("n_matching", F.lit(hit.count()).cast("bigint"))
+    return placed.where("place > 2").withColumn("place", F.col("place") - 2).withColumn("n_matching", hit.select(F.count("*")).scalar())
 
 
 @query("""SELECT municipality, count(*) AS n, count(*) FILTER (coverage_score = 5) AS complete, count(*) FILTER (coverage_score < 3) AS thin, round(avg(coverage_score), 3) AS mean_score
@@ -305,14 +312,17 @@ def union_first_wins(spark, folder):
     return sets.union_first_wins(parts, "organisation_number", F.col("id")).drop("id")
 
 
-@query("""WITH a AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'ok' ELSE 'weak' END AS v FROM customer WHERE c_custkey % 11 <> 0), b AS (SELECT c_custkey, CASE WHEN c_acctbal > 500 THEN 'ok' ELSE 'weak' END AS v FROM customer WHERE c_custkey % 13 <> 0)
-    SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, a.v AS before, b.v AS after, CASE WHEN a.c_custkey IS NULL THEN 'gained' WHEN b.c_custkey IS NULL THEN 'lost' ELSE 'changed' END AS kind
-    FROM a FULL JOIN b ON a.c_custkey = b.c_custkey WHERE a.v IS DISTINCT FROM b.v""")
+_AUDITS = """WITH a AS (SELECT organisation_number, CASE WHEN bool_or(coalesce(page_title, '') <> '') THEN 'ok' ELSE 'weak' END AS v FROM g4_registry_floor_audit WHERE organisation_number IS NOT NULL GROUP BY 1),
+    b AS (SELECT organisation_number, CASE WHEN bool_or(len(pages) > 1) THEN 'ok' ELSE 'weak' END AS v FROM briefs WHERE organisation_number IS NOT NULL GROUP BY 1) """
+
+
+@query(_AUDITS + """SELECT coalesce(a.organisation_number, b.organisation_number) AS organisation_number, a.v AS before, b.v AS after, CASE WHEN a.organisation_number IS NULL THEN 'gained' WHEN b.organisation_number IS NULL THEN 'lost' ELSE 'changed' END AS kind
+    FROM a FULL JOIN b ON a.organisation_number = b.organisation_number WHERE a.v IS DISTINCT FROM b.v""")
 def verdict_changes(spark, folder):
-    """Two gate runs compared: each run passes over some customers, and they judge by different bounds."""
-    rows = read_table(spark, folder, "customer")
-    verdict = lambda bound: F.when(F.col("c_acctbal") > bound, "ok").otherwise("weak").alias("v")
-    return sets.verdict_changes(rows.where("c_custkey % 11 <> 0").select("c_custkey", verdict(0)), rows.where("c_custkey % 13 <> 0").select("c_custkey", verdict(500)), "c_custkey", "v")
+    """Verdicts of two audits over all their organisations: some were looked at by one of them only."""
+    verdict = lambda table, test: read_table(spark, folder, table).where("organisation_number IS NOT NULL").groupBy("organisation_number").agg(F.when(F.bool_or(test), "ok").otherwise("weak").alias("v"))
+    titled = verdict("g4_registry_floor_audit", F.coalesce("page_title", F.lit("")) != "")
+    return sets.verdict_changes(titled, verdict("briefs", F.coalesce(F.size("pages") > 1, F.lit(False))), "organisation_number", "v")
 
 
 @query("""SELECT o_custkey, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'not_found' ELSE 'available' END AS status FROM (SELECT c_custkey AS o_custkey FROM customer) LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) USING (o_custkey)""")
@@ -343,7 +353,7 @@ _SNAP = "(SELECT DISTINCT regexp_replace(organisation_number, '[^0-9]', '', 'g')
 @query(f"SELECT count(a.o) FILTER (b.o IS NOT NULL) AS \"both\", count(*) FILTER (b.o IS NULL) AS previous_only, count(*) FILTER (a.o IS NULL) AS current_only FROM {_SNAP.format('min')} a FULL JOIN {_SNAP.format('max')} b ON a.o = b.o")
 def membership_intersection(spark, folder):
     rows = read_table(spark, folder, "entry_companies").select(nine_digits(F.col("organisation_number")).alias("o"), "snapshot_date")
-    first, last = rows.agg(F.min("snapshot_date"), F.max("snapshot_date")).first()
+    first, last = _first_and_last_date(spark, folder)
     return relate.membership(rows.where(F.col("snapshot_date") == first), rows.where(F.col("snapshot_date") == last), "o")
 
 
@@ -360,15 +370,16 @@ def dangling_refs_anti(spark, folder):
     return relate.dangling(read_table(spark, folder, "documents").select("organisation_number", "doc_id"), read_table(spark, folder, "briefs"), "organisation_number").select("doc_id", "organisation_number")
 
 
-@query("""SELECT entity, how, count(*) AS n, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total FROM (SELECT s_acctbal, coalesce(CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END, CASE WHEN s_nationkey < 5 THEN s_nationkey END) AS entity,
-    CASE WHEN n_nationkey % 3 <> 0 THEN 'mapped' WHEN s_nationkey < 5 THEN 'already_parent' ELSE 'unmapped' END AS how FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey) GROUP BY 1, 2""")
+@query("""WITH p AS (SELECT DISTINCT organisation_number AS k, o AS parent FROM (SELECT organisation_number, regexp_replace(organisation_number, '[^0-9]', '', 'g') AS o FROM entry_companies) WHERE length(o) = 9), known AS (SELECT DISTINCT parent FROM p)
+    SELECT how, count(*) AS n, count(DISTINCT entity) AS entities FROM (SELECT coalesce(p.parent, known.parent) AS entity, CASE WHEN p.parent IS NOT NULL THEN 'mapped' WHEN known.parent IS NOT NULL THEN 'already_parent' ELSE 'unmapped' END AS how
+    FROM sentiment_inference_smoke s LEFT JOIN p ON p.k = s.organisation_number LEFT JOIN known ON known.parent = s.organisation_number) GROUP BY 1""")
 def rekey_to_parent(spark, folder):
-    """Suppliers re-keyed from nation to region where the map has the nation; its gaps are part of the case."""
-    rows = read_table(spark, folder, "supplier").select(F.col("s_nationkey").alias("k"), "s_acctbal")
-    parents = read_table(spark, folder, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("parent"))
-    known = read_table(spark, folder, "region").select(F.col("r_regionkey").alias("parent"))
-    out = relate.rekey(rows, "k", parents, "parent", known)
-    return out.groupBy("entity", "how").agg(F.count("*").alias("n"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("total"))
+    """Observations re-keyed from the number as written to the registry's nine digits; not all are in the registry."""
+    rows = read_table(spark, folder, "sentiment_inference_smoke").select(F.col("organisation_number").alias("k"))
+    written = read_table(spark, folder, "entry_companies").select(F.col("organisation_number").alias("k"), nine_digits(F.col("organisation_number")).alias("parent"))
+    parents = written.where("parent IS NOT NULL").distinct()
+    out = relate.rekey(rows, "k", parents, "parent", parents.select("parent").distinct())
+    return out.groupBy("how").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities"))
 
 
 @query(r"""SELECT host, count(DISTINCT organisation_number) AS owners FROM (SELECT organisation_number, regexp_replace(regexp_extract(lower(source_url), '^[a-z]+://([^/?#:]+)', 1), '^www\.', '') AS host FROM sentiment_inference_smoke)
@@ -406,45 +417,57 @@ def bulk_enrichment(spark, folder):
 
 
 # ---------------------------------------------------------------- differences and state
-_DIFF = """WITH n AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN 'failed' ELSE 'available' END AS status FROM customer),
-    d AS (SELECT o.c_custkey, 'c_mktsegment' AS field, o.c_mktsegment AS old_value, n.c_mktsegment AS new_value FROM customer o JOIN n USING (c_custkey) WHERE o.c_mktsegment IS DISTINCT FROM n.c_mktsegment {}) """
+_FIELDS = ("name", "municipality_number", "industry_code", "website")
+_SNAPSHOTS = f"""WITH r AS (SELECT organisation_number, snapshot_date, {", ".join(_FIELDS)}, website IS NULL AS lost, row_number() OVER (PARTITION BY o, snapshot_date ORDER BY loaded_at DESC NULLS LAST, organisation_number DESC NULLS LAST, name DESC NULLS LAST, website DESC NULLS LAST) AS place, o
+    FROM (SELECT *, regexp_replace(organisation_number, '[^0-9]', '', 'g') AS o FROM entry_companies) WHERE length(o) = 9), old AS (SELECT * FROM r WHERE place = 1 AND snapshot_date = (SELECT min(snapshot_date) FROM entry_companies)),
+    new AS (SELECT *, CASE WHEN lost THEN 'failed' ELSE 'available' END AS status FROM r WHERE place = 1 AND snapshot_date = (SELECT max(snapshot_date) FROM entry_companies)),
+    d AS ({" UNION ALL ".join(f"SELECT old.o AS organisation_number, '{f}' AS field, old.{f} AS old_value, new.{f} AS new_value, status FROM old JOIN new USING (o) WHERE old.{f} IS DISTINCT FROM new.{f}" for f in _FIELDS)}) """
 
 
-def _perturbed(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Customers, and a later state in which every seventh moved and every fifth could not be looked at."""
-    old = read_table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    new = old.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "MOVED").otherwise(F.col("c_mktsegment"))).withColumn("status", F.when(F.col("c_custkey") % 5 == 0, "failed").otherwise("available"))
-    return old, new
+def _first_and_last_date(spark, folder) -> tuple[Column, Column]:
+    """The first and the last snapshot date, as scalar subqueries over the one column."""
+    dates = read_table(spark, folder, "entry_companies").select("snapshot_date")
+    return dates.select(F.min("snapshot_date")).scalar(), dates.select(F.max("snapshot_date")).scalar()
 
 
-_FIELDS = ("c_name", "c_nationkey", "c_mktsegment")
+def _first_and_last(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Organisations in the first and in the last snapshot; one whose website is gone could not be looked at."""
+    rows = read_table(spark, folder, "entry_companies").withColumn("o", nine_digits(F.col("organisation_number"))).where("o IS NOT NULL")
+    first, last = _first_and_last_date(spark, folder)
+    rows = rows.withColumn("is_first", F.col("snapshot_date") == first).where(F.col("is_first") | (F.col("snapshot_date") == last))
+    newest = rank.latest_per_key(rows, ["o", "snapshot_date"], [F.desc_nulls_last(c) for c in ("loaded_at", "organisation_number", "name", "website")])
+    picked = newest.select(F.col("o").alias("organisation_number"), *_FIELDS, F.when(F.col("website").isNull(), "failed").otherwise("available").alias("status"), "is_first")
+    return picked.where("is_first").drop("is_first", "status"), picked.where("NOT is_first").drop("is_first")
 
 
-@query(_DIFF.format("") + "SELECT * FROM d")
+@query(_SNAPSHOTS + "SELECT organisation_number, field, old_value, new_value FROM d")
 def field_diff(spark, folder):
-    return fielddiff.field_changes(*_perturbed(spark, folder), "c_custkey", _FIELDS)
+    """Differences between the first and the last snapshot, field by field."""
+    return fielddiff.field_changes(*_first_and_last(spark, folder), "organisation_number", _FIELDS)
 
 
-@query(_DIFF.format("AND status <> 'failed'") + "SELECT * FROM d")
+@query(_SNAPSHOTS + "SELECT organisation_number, field, old_value, new_value FROM d WHERE status <> 'failed'")
 def transient_suppression(spark, folder):
-    return fielddiff.field_changes(*_perturbed(spark, folder), "c_custkey", _FIELDS, "status", ("failed", "source_error", "blocked", "not_checked"))
+    return fielddiff.field_changes(*_first_and_last(spark, folder), "organisation_number", _FIELDS, "status", ("failed", "source_error", "blocked", "not_checked"))
 
 
-@query(_DIFF.format("AND status <> 'failed'") + """, e AS (SELECT c_custkey, 'c_mktsegment' AS field FROM customer WHERE c_custkey % 7 = 0) SELECT count(e.c_custkey) AS expected, count(d.c_custkey) AS observed,
-    count(*) FILTER (e.c_custkey IS NOT NULL AND d.c_custkey IS NOT NULL) AS common, round(count(*) FILTER (e.c_custkey IS NOT NULL AND d.c_custkey IS NOT NULL) / CAST(count(d.c_custkey) AS DOUBLE), 4) AS precision,
-    round(count(*) FILTER (e.c_custkey IS NOT NULL AND d.c_custkey IS NOT NULL) / CAST(count(e.c_custkey) AS DOUBLE), 4) AS recall FROM e FULL JOIN d ON e.c_custkey = d.c_custkey AND e.field = d.field""")
+@query(_SNAPSHOTS + """SELECT count(*) AS expected, count(*) FILTER (status <> 'failed') AS observed, count(*) FILTER (status <> 'failed') AS common, 1.0 AS precision,
+    round(count(*) FILTER (status <> 'failed') / CAST(count(*) AS DOUBLE), 4) AS recall FROM d""")
 def replay_precision_recall(spark, folder):
-    observed = transient_suppression(spark, folder)
-    expected = read_table(spark, folder, "customer").where("c_custkey % 7 = 0").select("c_custkey", F.lit("c_mktsegment").alias("field"))
-    return fielddiff.replay_scores(expected, observed, ["c_custkey", "field"])
+    """What suppression of transient states keeps of all differences."""
+    return fielddiff.replay_scores(field_diff(spark, folder), transient_suppression(spark, folder), ["organisation_number", "field"])
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS c_custkey, '' AS field, '' AS old_value, '' AS new_value WHERE false")
+@query(_SNAPSHOTS + "SELECT count(*) AS compared, 0 AS changed FROM new")
 def change_roundtrip_idempotent(spark, folder):
-    _, new = _perturbed(spark, folder)
-    return fielddiff.field_changes(new.drop("status"), new, "c_custkey", _FIELDS)
+    """The last snapshot against itself: everything is compared and nothing changed."""
+    _, new = _first_and_last(spark, folder)
+    changed = fielddiff.field_changes(new.drop("status"), new, "organisation_number", _FIELDS)
+    both = new.select(F.lit(1).alias("compared"), F.lit(0).alias("changed")).unionByName(changed.select(F.lit(0).alias("compared"), F.lit(1).alias("changed")))
+    return both.agg(F.sum("compared").alias("compared"), F.sum("changed").alias("changed"))
 
 
+# ---------------------------------------------------------------- state
 @query("""SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, ts) AS decision, count(*) AS n_events FROM events GROUP BY 1""")
 def ledger_state(spark, folder):
     """The ledger of all events, merged from those of two halves of the time line."""
@@ -472,14 +495,14 @@ def retention_sweep(spark, folder):
     return read_table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(gone).alias("expired"))
 
 
-@query("""SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN a.c_name ELSE coalesce(b.c_name, a.c_name) END AS c_name, CASE WHEN b.c_custkey IS NULL THEN a.c_acctbal ELSE b.c_acctbal END AS c_acctbal
-    FROM (SELECT * FROM customer WHERE c_custkey % 4 <> 0) a FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'New ' || c_name END AS c_name, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal + 0.5 END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey""")
+@query("""WITH a AS (SELECT organisation_number, min(name) AS name, min(website_url) AS url FROM recovery WHERE organisation_number IS NOT NULL GROUP BY 1), b AS (SELECT organisation_number, min(CASE WHEN page_title <> '' THEN page_title END) AS name, min(final_url) AS url FROM g4_registry_floor_audit WHERE organisation_number IS NOT NULL GROUP BY 1)
+    SELECT coalesce(a.organisation_number, b.organisation_number) AS organisation_number, CASE WHEN b.organisation_number IS NULL THEN a.name ELSE coalesce(b.name, a.name) END AS name, CASE WHEN b.organisation_number IS NULL THEN a.url ELSE b.url END AS url
+    FROM a FULL JOIN b ON a.organisation_number = b.organisation_number""")
 def upsert_coalesce(spark, folder):
-    """Two states of the customers, each lacking some, merged; null names don't overwrite, null balances do."""
-    rows = read_table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
-    name = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("New "), "c_name")).alias("c_name")
-    balance = F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal") + 0.5).alias("c_acctbal")
-    return state.upsert(rows.where("c_custkey % 4 <> 0"), rows.where("c_custkey % 2 = 0").select("c_custkey", name, balance), "c_custkey", keep_old=["c_name"])
+    """Two states of the organisations, each lacking some, merged; null names don't overwrite, null addresses do."""
+    state_of = lambda table, name, url: read_table(spark, folder, table).where("organisation_number IS NOT NULL").groupBy("organisation_number").agg(F.min(name).alias("name"), F.min(url).alias("url"))
+    newer = state_of("g4_registry_floor_audit", F.nullif("page_title", F.lit("")), F.col("final_url"))
+    return state.upsert(state_of("recovery", F.col("name"), F.col("website_url")), newer, "organisation_number", keep_old=["name"])
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")

@@ -229,3 +229,19 @@ def test_absent_values_compare_false(spark):
     df = spark.createDataFrame([(1, 10), (2, None)], "k int, e int")
     got = screen.screen(df, "over 5 employees", {"employees": F.col("e")}, "k")
     assert values(got, "k") == [(1,)]
+
+
+def test_every_match_unless_the_top_is_asked_for(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(1000)], "k int, e int")
+    columns = {"employees": F.col("e")}
+    assert screen.screen(df, "over 5 employees", columns, "k").count() == 142
+    assert [r.k for r in screen.screen(df, "over 1 employees top 3 by employees", columns, "k").collect()] == [6, 13, 20]
+
+
+def test_criteria():
+    tests = lambda q: [(t.field, t.operator, t.value) for t in screen.parse(q).tests]
+    assert tests("hiring companies in Bergen with annual accounts") == [("active_jobs", ">", 0.0), ("job_location", "contains", "bergen"), ("financials", "available", True)]
+    assert tests("unprofitable firms municipality = Stor-Elvdal") == [("annual_result", "<", 0.0), ("municipality", "eq", "stor-elvdal")]
+    assert tests("rating above 4.5 and at least 10 reviews") == [("rating", ">", 4.5), ("review_count", ">=", 10.0)]
+    assert tests("industry contains 'Fisk' and industry is \"Tre\"") == [("industry", "contains", "fisk")]
+    assert tests("revenue over, employees <= many") == [] and not screen.parse("top ten by revenue").executable
