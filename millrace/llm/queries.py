@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import leakage, main_body, packing, repetition, residue
+from millrace.session import cut_lineage
 from millrace.sources.tables import read_table
 
 
@@ -17,33 +18,32 @@ def _brief_pages(spark: SparkSession, folder: str) -> DataFrame:
 _COLUMNS = ("source_table", "record_key", "page_ord")
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages and titles that hold residue instead of content."""
-    pages = _brief_pages(spark, folder)
+def _residue_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of all pages of briefs and of all audit titles, written once: they are mined, and then
+    read again for the verdicts."""
     keys = {"source_table": F.lit("briefs"), "record_key": F.col("brief_id").cast("string"), "page_ord": F.col("page_ord")}
-    of_pages = residue.page_verdicts(pages, keys, F.col("html"))
+    pages = residue.page_records(_brief_pages(spark, folder), keys, F.col("html"))
     audit = read_table(spark, folder, "g4_registry_floor_audit")
     keys = {"source_table": F.lit("g4_registry_floor_audit"), "record_key": F.col("audit_id").cast("string"), "page_ord": F.lit(0)}
-    of_titles = residue.title_verdicts(audit, keys, F.col("page_title"))
-    return of_pages.unionByName(of_titles).where("verdict != 'ordinary'").select(*_COLUMNS).distinct()
+    return cut_lineage(pages.unionByName(residue.title_records(audit, keys, F.col("page_title"))))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages and titles that hold residue instead of content."""
+    rows = residue.record_verdicts(_residue_records(spark, folder), _COLUMNS)
+    return rows.where("verdict != 'ordinary'").select(*_COLUMNS).distinct()
 
 
 def p4_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """How many pages and audit titles each verdict holds for, by table."""
-    pages = _brief_pages(spark, folder).distinct()
-    of_pages = residue.page_verdicts(pages, {"source_table": F.lit("briefs")}, F.col("html"))
-    audit = read_table(spark, folder, "g4_registry_floor_audit").select("audit_id", "page_title").distinct()
-    of_titles = residue.title_verdicts(audit, {"source_table": F.lit("g4_registry_floor_audit")}, F.col("page_title"))
-    return of_pages.unionByName(of_titles).groupBy("source_table", "verdict").agg(F.count("*").alias("n_messages"))
+    rows = residue.record_verdicts(_residue_records(spark, folder), _COLUMNS)
+    return rows.groupBy("source_table", "verdict").agg(F.count("*").alias("n_messages"))
 
 
 def p4_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """Templates mined from the titles and own blocks of pages and from the audit titles, each classified
-    once, with how many of these messages it has."""
-    pages = _brief_pages(spark, folder).distinct()
-    audit = read_table(spark, folder, "g4_registry_floor_audit").select("audit_id", "page_title").distinct()
-    messages = residue.page_messages(pages, F.col("html")).unionByName(audit.select(F.col("page_title").alias("message")))
-    return residue.mined_templates(messages, F.col("message"))
+    """Templates mined from the messages of pages and audit titles, each classified once, with how many
+    messages it has."""
+    return residue.mined_templates(_residue_records(spark, folder))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

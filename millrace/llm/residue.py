@@ -1,13 +1,16 @@
 """Template residue and error-page text in place of content.
 
-Messages (titles, blocks of a page's own body) are mined for templates with a fixed-depth prefix tree:
-digits become ``<n>``, words without a part in any notice ``<*>``, words of filler Latin ``<lorem>``; the
-first tokens choose a path, a leaf holds the templates that share it. Each template is classified once,
-by known phrases or by features (what a notice speaks of, what befell it, and no word besides that a
-notice has no use for), and every message of it takes the verdict. The masks depend on the fixed
-vocabulary alone, so that a message's template, and its verdict, are the same in every task and for any
-data. ``mined_templates`` adds up the partial trees and merges alike templates of one verdict; how often
-a template occurs decides no verdict, since sentences of content recur as well.
+The messages of all records (titles and their parts, blocks of a page's own body, notices for browsers
+without scripts) are mined for templates with a fixed-depth prefix tree: digits become ``<n>`` or
+``<status>``, words without a part in any notice ``<*>``, words of filler Latin ``<lorem>``; the number of
+tokens and the first of them are the path, and a leaf holds the templates of one path, in which alike ones
+are merged. The tree lies distributed: a path is a shuffle key, a leaf one group.
+
+Each template is classified once, by known phrases or by features (what a notice speaks of, what befell
+it, and no word besides that a notice has no use for). A template that is ordinary by itself, with a word
+unknown to notices, takes the kind of the leaf's merged template where notices hold most of its messages.
+The verdicts go back to the messages by a join on the template, and a record's verdict follows from those
+of its messages.
 
 Placeholders nobody filled in are looked for separately, inside ordinary messages too, unless the
 sentence speaks about placeholders.
@@ -16,11 +19,12 @@ sentence speaks about placeholders.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.main_body import HEADINGS, _surroundings, own_blocks
 from millrace.llm.page_events import Page, read_page
@@ -34,7 +38,7 @@ DEFAULTS = (
     "example page", "example site", "my website", "my web site", "my site", "my blog", "min nettside", "min hjemmeside", "min side", "just another website", "just another site", "just another wordpress site",
     "just another wordpress blog", "default page", "default web site page", "index of", "uten navn", "uten tittel", "no title", "overskrift", "overskrift her", "skriv tittel her", "skriv inn tittel", "skriv inn tittel her",
     "skriv overskrift her", "tittel kommer", "tittel her", "eksempelside", "testside", "test page", "dummy title", "dummy text", "dummytekst", "dummytittel", "null", "undefined", "nan", "object object",
-    "react app", "vite app", "vue app", "welcome to nginx", "it works", "apache<n> default page", "coming soon page title",
+    "hello world", "hei verden", "my wordpress site", "welcome to your new site", "your new site", "react app", "vite app", "vue app", "welcome to nginx", "it works", "apache<n> default page", "coming soon page title",
 )
 #: Whole messages of errors, refusals and servers.
 ERRORS = (
@@ -98,51 +102,60 @@ FUNCTION = _set(
     "en et ei den det de du vi jeg deg dere oss seg er var ble blir blitt har kan kunne må skal vil bør for til av på i inn ut om og eller som ikke ingen noe noen her der denne dette disse nå lenger ennå dessverre beklager ser at å fra hos ved når hvis "
     "vennligst igjen senere litt snart bare men så din ditt dine dere deres vår vårt våre være vært kanskje enten mer med "
     "a an the this that these there you we i it your our is are was were be been being has have had can could cannot t s don doesn couldn isn wasn re ve ll may might must will would should to of on in at for from by with and or but not no its if please again later "
-    "sorry unfortunately oops whoops hmm uh oh ooops here now longer anymore any some either currently because"
+    "sorry unfortunately oops whoops hmm uh oh ooops here now longer anymore any some either currently because akkurat fordi before after back too many mange så such that does do"
 )
 #: What notices of errors speak of.
 SUBJECTS = _set(
     "side siden sida nettside nettsiden nettsida nettstedet nettsted adresse adressen url urlen lenke lenken lenka link linken fil filen fila dokument dokumentet innhold innholdet artikkel artikkelen ressurs ressursen tjeneste tjenesten server serveren tjener tjeneren "
-    "konto kontoen domene domenet forespørsel forespørselen database databasen forbindelse forbindelsen page pages site website webpage url link file document content article resource service server account domain request database connection address"
+    "konto kontoen domene domenet forespørsel forespørselen database databasen forbindelse forbindelsen page pages site website webpage url link file document content article resource service server account domain request database connection address sesjon sesjonen økt økten session tilkobling tilkoblingen connection origin proxy gateway backend host verten vert forespørsler requests application applikasjon applikasjonen app appen system systemet lenker links bildet image"
 )
 NEGATIONS = _set("ikke ingen not no cannot t couldn doesn isn unable umulig klarte klarer nothing")
 #: What doesn't hold any longer, if negated.
 PRESENT = _set(
     "funnet finnes finne finner fant eksisterer eksistere tilgjengelig hentes hente lastes laste vises vise åpnes åpne svarer svarte fullføres fullføre behandles behandle gyldig found find exist exists existing available located reached reach respond responding retrieve retrieved load loaded "
-    "display displayed open opened complete completed process processed connect valid"
+    "display displayed open opened complete completed process processed connect valid locate locating virker virke fungerer fungere work works working responded loading delivered levert leveres"
 )
 #: What befell a subject.
 GONE = _set(
-    "slettet fjernet flyttet borte utløpt sperret stengt suspendert utilgjengelig nede deaktivert blokkert avpublisert ugyldig ukjent overbelastet deleted removed moved gone expired suspended disabled unavailable down missing broken blocked unpublished invalid offline overloaded unreachable"
+    "slettet fjernet flyttet borte utløpt sperret stengt suspendert utilgjengelig nede deaktivert blokkert avpublisert ugyldig ukjent overbelastet deleted removed moved gone expired suspended disabled unavailable down missing broken blocked unpublished invalid offline overloaded unreachable parkert parked timed lukket closed avbrutt interrupted ended avsluttet failed feilet mislyktes broke exceeded"
 )
 REFUSALS = _set("denied nektet avvist forbidden forbudt unauthorized unauthorised uautorisert refused rejected")
-ACCESS = _set("tilgang adgang tillatelse rettigheter access permission permissions")
-TROUBLE = _set("feil feilen feilmelding error errors exception failure unntak svikt problem")
-HAPPENED = _set("oppsto oppstod oppstått oppstår skjedde skjedd inntraff intern internt uventet teknisk kritisk occurred occured happened encountered internal unexpected unhandled fatal critical technical server serveren database databasen <n>")
+ACCESS = _set("tilgang adgang tillatelse rettigheter access permission permissions authorized authorised authorization autorisert autorisasjon")
+TROUBLE = _set("feil feilen feilmelding error errors exception failure unntak svikt problem trouble troubles issue issues problems problemer vansker difficulties")
+HAPPENED = _set("oppsto oppstod oppstått oppstår skjedde skjedd inntraff intern internt uventet teknisk kritisk occurred occured happened encountered internal unexpected unhandled fatal critical technical server serveren database databasen <n> loading lasting tekniske experiencing opplever having uventede ukjent unknown laster lastet")
 LOGIN = _set("logg logge logget innlogget pålogget login log logged sign signed")
 #: Verbs and helpers of such messages, without weight.
 ASIDES = _set(
     "seem seems ser leter letter lette etter leser søker prøver prøvde forsøker forsøkte forsøk ønsker ønsket looking look trying tried try attempted want wanted request requested requesting etterspurte forespurte oppgitte se see view gikk gått galt wrong went go gå tilbake back return forsiden forside startsiden hjem home homepage "
     "kontakt contact administrator administratoren webmaster support kundestøtte brukerstøtte midlertidig permanent temporarily permanently moment øyeblikk http status kode code feilkode code prøv vent wait stavet skrevet sjekk kontroller check typed spelled correctly riktig changed endret name navn under grunnet due "
-    "logget logged varslet notified we jobber working saken rette fix fikse løse last refresh reload oppdater søk search new ny nytt våre annet another while få bruke use nettleser nettleseren browser"
+    "logget logged varslet notified we jobber working saken rette fix fikse løse last refresh reload oppdater søk search new ny nytt våre annet another while få bruke use nettleser nettleseren browser ba bedt om come kom vent slippes sent sendt mangler missing cookies informasjonskapsler maintenance vedlikehold out something required does do"
 )
 #: What a block that sends the reader on has one of.
 GO_ON = _set("gå tilbake forsiden forside startsiden hjem go back return home homepage prøv try igjen again kontakt contact refresh reload oppdater søk search")
 SCRIPTS = _set("javascript skript skripting script scripts scripting js")
-NEEDS = _set("enable enabled enabling activate activated turn allow requires require required requiring needs need needed disabled off without blocks blocked aktiver aktivere aktivert aktiveres slå slås slått skru skrus skrudd påskrudd avskrudd krever kreves trenger trengs må uten blokkerer blokkert tillat tillate avhengig")
+NEEDS = _set("enable enabled enabling activate activated turn allow requires require required requiring needs need needed disabled off without blocks blocked aktiver aktivere aktivert aktiveres slå slås slått skru skrus skrudd påskrudd avskrudd krever kreves trenger trengs må uten blokkerer blokkert tillat tillate avhengig switch switched kun only off avslått")
 SUPPORTED = _set("support supports supported støtte støtter støttes")
-SCRIPT_ASIDES = _set("nettbutikk nettbutikken butikken shop store app appen application applikasjon applikasjonen program programmet cookies informasjonskapsler innstillinger innstillingene settings funksjoner functionality features experience fungere fungerer virke virker work works run kjøre kjører vis view show shown properly av på slått turned be full fullt using bruker using continue fortsette videre")
+SCRIPT_ASIDES = _set("nettbutikk nettbutikken butikken shop store app appen application applikasjon applikasjonen program programmet cookies informasjonskapsler innstillinger innstillingene settings funksjoner functionality features experience fungere fungerer virke virker work works run kjøre kjører vis view show shown properly av på slått turned be full fullt using bruker using continue fortsette videre continue reload refresh page side siden site website before første bare")
 TEXTS = _set("tekst teksten tekster text paragraph headline heading overskrift overskriften avsnitt avsnittet beskrivelse beskrivelsen description innhold innholdet content bilde bildet image picture logo tittel title copy setning setningen")
 SAMPLES = _set("dummytekst eksempeltekst fylltekst prøvetekst plassholdertekst plassholder placeholder dummy")
 SAMPLE_OF = _set("eksempel eksempler sample example prøve")
-EDITS = _set("rediger redigere redigér redigeres edit editing bytt byttes bytte erstatt erstatte erstattes replace replaced endre endres change skriv skrive sett settes legg legges insert enter write fyll add goes kommer coming")
-FILLER_ASIDES = _set("klikk klikke dobbeltklikk click double knappen button egen eget egne own words ord kort short bedriften firmaet business company publish publiserer siden side page ut inn body main about mellom tom blank")
+EDITS = _set("rediger redigere redigér redigeres edit editing bytt byttes bytte erstatt erstatte erstattes replace replaced endre endres change skriv skrive sett settes legg legges insert enter write fyll add goes kommer coming put type edits sett inn legge")
+FILLER_ASIDES = _set("klikk klikke dobbeltklikk click double knappen button egen eget egne own words ord kort short bedriften firmaet business company publish publiserer siden side page ut inn body main about mellom tom blank selv yourself deg this dette noe something")
+#: Checks that a visitor is no program.
+CHECKS = _set("verify verifying verified verifiser verifiserer bekreft bekrefter sjekker sjekkes kontrollerer kontrolleres kontrollert kontroll checking check confirm confirming validating")
+HUMANS = _set("menneske mennesket human robot roboter bot bots nettleser nettleseren browser")
+#: Words of the standard's names of the statuses 400 to 599.
+REASONS = _set(
+    "bad request unauthorized payment required forbidden not found method allowed acceptable proxy authentication timeout conflict gone length precondition failed content uri too large long "
+    "media type range satisfiable expectation misdirected unprocessable entity locked dependency early upgrade many requests header fields unavailable for legal reasons internal server error "
+    "implemented gateway service time out version supported loop detected network backend fetch http status code feil failure access denied"
+)
 UNNAMED = _set("untitled unnamed navnløs navnløst")
 NEW = _set("ny nytt new copy kopi")
 #: Of these a new one is no news.
 EMPTY = _set("page side dokument document post innlegg")
 NOUNS = _set("page side document dokument post innlegg site nettsted nettside website artikkel article")
-DEFAULT_ASIDES = _set("uten without tittel title navn name of av <n>")
+DEFAULT_ASIDES = _set("uten without tittel title navn name of av <n> without")
 #: After these a notice names a path or an address, in whatever words.
 NAMING = _set("url urlen fil filen fila file adresse adressen address ressurs ressursen resource page document")
 
@@ -152,11 +165,12 @@ _TOKEN = re.compile(r"[^\W_]+")
 _WHOLE = {**dict.fromkeys(DEFAULTS, "default"), **dict.fromkeys(ERRORS, "error"), **dict.fromkeys(SCRIPT_NOTICES, "script"), **dict.fromkeys(FILLERS, "filler")}
 _STARTS = [(s, "error") for s in ERROR_STARTS] + [(s, "script") for s in SCRIPT_STARTS]
 _ERROR_WORDS = FUNCTION | SUBJECTS | NEGATIONS | PRESENT | GONE | REFUSALS | ACCESS | TROUBLE | HAPPENED | LOGIN | ASIDES
-_SCRIPT_WORDS = FUNCTION | SUBJECTS | NEGATIONS | PRESENT | ASIDES | SCRIPTS | NEEDS | SUPPORTED | SCRIPT_ASIDES
+_SCRIPT_WORDS = FUNCTION | SUBJECTS | NEGATIONS | PRESENT | ASIDES | SCRIPTS | NEEDS | SUPPORTED | SCRIPT_ASIDES | CHECKS | HUMANS
+_STATUS_WORDS = REASONS | FUNCTION | {"<status>"}
 _FILLER_WORDS = FUNCTION | TEXTS | SAMPLES | SAMPLE_OF | EDITS | FILLER_ASIDES
 _DEFAULT_WORDS = UNNAMED | NEW | NOUNS | DEFAULT_ASIDES
 _VOCABULARY = (
-    frozenset(w for phrase in [*_WHOLE, *(s for s, _ in _STARTS)] for w in re.findall(r"[^\W\d_]+", phrase)) | _ERROR_WORDS | _SCRIPT_WORDS | _FILLER_WORDS | _DEFAULT_WORDS
+    frozenset(w for phrase in [*_WHOLE, *(s for s, _ in _STARTS)] for w in re.findall(r"[^\W\d_]+", phrase)) | _ERROR_WORDS | _SCRIPT_WORDS | _FILLER_WORDS | _DEFAULT_WORDS | REASONS
 ) - {"<n>"}
 _PART = re.compile(r"\s*\|\s*|\s+[–—·»-]+\s+")
 
@@ -172,13 +186,15 @@ def masked(message: str) -> tuple[str, ...]:
             t = "<lorem>"
         elif w in _VOCABULARY:
             t = w
+        elif len(w) == 3 and w[0] in "45" and w.isdecimal():
+            t = "<status>"
         elif any(c.isdigit() for c in w):
             t = "<n>"
         else:
             t = "<*>"
         if t[0] == "<" and out and out[-1] == t and t != "<n>":
             continue  # a run of unknown words is one variable
-        if t == "<n>" and out and out[-1] == "<n>":
+        if t in ("<n>", "<status>") and out and out[-1] in ("<n>", "<status>"):
             continue
         out.append(t)
     return tuple(out)
@@ -188,13 +204,13 @@ def classify(template: tuple[str, ...]) -> str:
     """The verdict on a template: default, error, script, filler, or ordinary."""
     if not template:
         return "ordinary"
-    line = " ".join(template)
+    line = " ".join(template).replace("<status>", "<n>")
     if (kind := _WHOLE.get(line)) is not None:
         return kind
     for start, kind in _STARTS:
         if line == start or line.startswith(start + " "):
             return kind
-    if template[0] == "<lorem>" and all(t in ("<lorem>", "<n>") or (t[0] != "<" and len(t) < 4) for t in template):
+    if template[0] == "<lorem>" and all(t in ("<lorem>", "<n>", "<status>") or (t[0] != "<" and len(t) < 4) for t in template):
         return "filler"
     return _by_features(template)
 
@@ -205,6 +221,10 @@ def _by_features(template: tuple[str, ...]) -> str:
     words = set(template)
     if "<lorem>" in words:
         return "ordinary"
+    if "<status>" in words and words <= _STATUS_WORDS and words & REASONS:
+        return "error"
+    if "<status>" in words:
+        words = words - {"<status>"} | {"<n>"}
     if "<*>" in words:
         at = template.index("<*>")
         if template.count("<*>") > 1 or not at or template[at - 1] not in NAMING:
@@ -213,8 +233,13 @@ def _by_features(template: tuple[str, ...]) -> str:
         named = True
     else:
         named = False
-    if words <= _SCRIPT_WORDS and words & SCRIPTS and (words & NEEDS or words & SUPPORTED and words & NEGATIONS):
-        return "script"
+    if words <= _SCRIPT_WORDS:
+        if words & SCRIPTS and (words & NEEDS or words & (SUPPORTED | PRESENT) and (words & NEGATIONS or "bare" in words)):
+            return "script"
+        if words & CHECKS and words & HUMANS:
+            return "script"
+        if words & {"cookies", "informasjonskapsler"} and words & {"enable", "enabled", "aktiver", "aktivere", "aktivert", "required", "requires", "krever"}:
+            return "script"
     if words <= _ERROR_WORDS:
         subject, negated = words & SUBJECTS, words & NEGATIONS
         if subject and ((negated and words & PRESENT) or words & GONE):
@@ -225,7 +250,13 @@ def _by_features(template: tuple[str, ...]) -> str:
             return "error"
         if words & TROUBLE and words & HAPPENED and len(words) > 1:
             return "error"
-        if ("galt" in words and words & {"gikk", "gått"}) or {"went", "wrong"} <= words:
+        if subject and len(words) == 2 and words & {"error", "errors", "feil", "feilet", "failure", "failed", "exception"}:
+            return "error"
+        if words & {"requests", "forespørsler", "connections"} and words & {"many", "mange"}:
+            return "error"
+        if ("galt" in words and words & {"gikk", "gått"}) or {"went", "wrong"} <= words or {"something", "broke"} <= words:
+            return "error"
+        if words & ACCESS and words & {"mangler", "missing", "required"}:
             return "error"
         if subject and words & LOGIN and words & {"må", "must", "required", "need", "please", "vennligst"}:
             return "error"
@@ -233,14 +264,18 @@ def _by_features(template: tuple[str, ...]) -> str:
         return "ordinary"
     if words <= _FILLER_WORDS and (words & SAMPLES or words & TEXTS and (words & EDITS or words & SAMPLE_OF)):
         return "filler"
-    if words <= _DEFAULT_WORDS and (words & UNNAMED or words & NEW and words & EMPTY or ("uten" in words and words & {"tittel", "navn"})):
+    if words <= _DEFAULT_WORDS and (words & UNNAMED or words & NEW and words & EMPTY or (words & {"uten", "without"} and words & {"tittel", "navn", "title", "name"})):
         return "default"
     return "ordinary"
 
 
 def sends_on(message: str) -> bool:
     """Whether a block only sends the reader on (to the front page, to try again), as below a notice."""
-    words = set(masked(message))
+    return _sends_on(masked(message))
+
+
+def _sends_on(template: tuple[str, ...]) -> bool:
+    words = set(template)
     return bool(words & GO_ON) and words <= _ERROR_WORDS
 
 
@@ -297,76 +332,92 @@ def holds_slot(message: str) -> bool:
     return False
 
 
-def _filler(message: str, tree: TemplateTree) -> bool:
-    """Filler Latin may begin or end with any word: most of its words must be known."""
+def block_verdict(message: str, tree: TemplateTree) -> str:
+    kind = tree.verdict(message)
+    return "filler" if kind == "ordinary" and _latin(message, BODY) else kind
+
+
+#: Roles of messages: a title or part of one, a block of the own body, a heading of it, the text for browsers
+#: without scripts, a block beside the body of a page without headings.
+TITLE, BODY, HEADING, HIDDEN, BESIDE = range(5)
+#: Kinds that stand in place of content.
+_INSTEAD = ("error", "script", "filler")
+Message = tuple[int, str, bool, bool]
+
+
+def _latin(message: str, role: int) -> bool:
+    """Whether nearly all (of a title all) words are filler Latin, which may begin or end with any word."""
     words = _TOKEN.findall(message.lower())
-    return len(words) > 2 and 5 * sum(w in LOREM for w in words) >= 4 * len(words)
+    known = sum(w in LOREM for w in words)
+    return len(words) > 1 and known == len(words) if role == TITLE else len(words) > 2 and 5 * known >= 4 * len(words)
 
 
-def block_verdict(message: str, tree: TemplateTree) -> str:
-    kind = tree.verdict(message)
-    return "filler" if kind == "ordinary" and _filler(message, tree) else kind
+def _message(role: int, text: str, slots: bool = True) -> Message:
+    """Role, text, whether it holds a slot, whether it is filler Latin."""
+    return role, text, slots and holds_slot(text), _latin(text, role)
 
 
-def title_verdict(title: str | None, tree: TemplateTree) -> str:
-    """The verdict on a title: ``slot``, that of the whole, or that of any of its parts between
-    separators (of ``name: message`` the message); null and blank titles are ordinary."""
+def title_messages(title: str | None) -> list[Message]:
+    """A title, its parts between separators and, of ``name: message``, the message; none for a blank one."""
     if not title or not title.strip():
-        return "ordinary"
-    if holds_slot(title):
-        return "slot"
+        return []
     parts = [title, *_PART.split(title)]
-    for part in dict.fromkeys([*parts, *(rest for p in parts if ": " in p for rest in (p.partition(": ")[2], p.rpartition(": ")[2]))]):
-        kind = tree.verdict(part)
-        if kind == "filler" or (kind == "ordinary" and _lorem_title(part)):
-            return "filler"
-        if kind != "ordinary":
-            return kind
-    return "ordinary"
-
+    parts += [rest for p in parts if ": " in p for rest in (p.partition(": ")[2], p.rpartition(": ")[2])]
+    return [_message(TITLE, p, slots=not k) for k, p in enumerate(dict.fromkeys(parts))]
 
-def _lorem_title(part: str) -> bool:
-    words = _TOKEN.findall(part.lower())
-    return len(words) > 1 and all(w in LOREM for w in words)
 
-
-def page_verdict(page: Page, tree: TemplateTree) -> str:
-    """The verdict on a page: that of its title, ``slot`` if its own body holds one, and otherwise what
-    stands in the body instead of content. A page with content is ordinary, whatever its parts for
-    browsers without scripts, comments, scripts and form attributes say."""
-    if (kind := title_verdict(page.title, tree)) != "ordinary":
-        return kind
+def page_messages(page: Page) -> list[Message]:
+    """The messages of a page: those of its title, the blocks of its own body in order, the hidden notice of
+    a page without a body, and the blocks outside of declared surroundings of a page without a heading."""
+    out = title_messages(page.title)
     own = own_blocks(page)
-    texts = [page.texts[i] for i in own]
-    if any(holds_slot(t) for t in texts):
-        return "slot"
-    levels = [page.tags[page.owners[i]] for i in own]
-    body = [t for t, tag in zip(texts, levels, strict=True) if tag not in HEADINGS]
-    first, aids = None, 0
-    for t in body:
-        kind = block_verdict(t, tree)
-        if kind == "ordinary" and sends_on(t):
-            aids += 1
-            continue
-        first = first or kind
-        if kind == "ordinary":
-            break
-    else:
-        if first:
-            return first
-    if aids == len(body):
-        heads = [v for t in texts if (v := block_verdict(t, tree)) in ("error", "script", "filler")]
-        if heads:
-            return heads[0]
-        if not body and (kind := block_verdict(page.hidden_notices, tree)) == "script":
-            return kind
-    if not any(tag in HEADINGS for tag in levels):
+    roles = [HEADING if page.tags[page.owners[i]] in HEADINGS else BODY for i in own]
+    out += [_message(role, page.texts[i]) for i, role in zip(own, roles, strict=True)]
+    if BODY not in roles and page.hidden_notices:
+        out.append(_message(HIDDEN, page.hidden_notices, slots=False))
+    if HEADING not in roles:
         # Without a heading the body is hard to tell from boxes: a block of its own that is a notice decides.
         aside = _surroundings(page)
-        for text, owner in zip(page.texts, page.owners, strict=True):
-            if not aside[owner] and (kind := tree.verdict(text)) in ("error", "script"):
-                return kind
-    return "ordinary"
+        out += [(BESIDE, text, False, False) for text, owner in zip(page.texts, page.owners, strict=True) if not aside[owner]]
+    return out
+
+
+def decide(messages: list[Message], verdict: Callable[[str], str]) -> str:
+    """The verdict on a record by the verdicts on its messages. A slot in the title or the own body, or a
+    title's kind, decides. Else what stands in the body instead of content does: all of its blocks are
+    notices or only send on, or it has no content and a heading, the hidden notice or a block beside says so."""
+    kinds = []
+    for role, text, slot, latin in messages:
+        kind = verdict(text)
+        kinds.append((role, "filler" if kind == "ordinary" and latin else kind, slot, kind == "ordinary" and role == BODY and sends_on(text)))
+    of = lambda *roles: [k for role, k, _, _ in kinds if role in roles and k != "ordinary"]
+    if any(slot for role, _, slot, _ in kinds if role == TITLE):
+        return "slot"
+    if titled := of(TITLE):
+        return titled[0]
+    if any(slot for _, _, slot, _ in kinds):
+        return "slot"
+    body, aids = sum(role == BODY for role, *_ in kinds), sum(aid for *_, aid in kinds)
+    notices = of(BODY)
+    if notices and len(notices) + aids == body:
+        return notices[0]
+    if aids == body:
+        if heads := [k for k in of(HEADING) if k in _INSTEAD]:
+            return heads[0]
+        if not body and "script" in of(HIDDEN):
+            return "script"
+    return next((k for k in of(BESIDE) if k in ("error", "script")), "ordinary")
+
+
+def title_verdict(title: str | None, tree: TemplateTree) -> str:
+    """The verdict on a title; null and blank titles are ordinary."""
+    return decide(title_messages(title), tree.verdict)
+
+
+def page_verdict(page: Page, tree: TemplateTree) -> str:
+    """The verdict on a page. A page with content is ordinary, whatever its parts for browsers without
+    scripts, comments, scripts and form attributes say."""
+    return decide(page_messages(page), tree.verdict)
 
 
 # ---------------------------------------------------------------- over tables
@@ -385,44 +436,35 @@ def is_residue(page: Page) -> bool:
     return page_verdict(page, worker_tree()) != "ordinary"
 
 
-def _verdicts(df: DataFrame, keys: dict[str, Column], value: Column, of) -> DataFrame:
-    picked = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("__value")).where("__value IS NOT NULL")
-    names = list(keys)
+_MESSAGES = T.ArrayType(T.StructType().add("role", "integer").add("template", "string").add("slot", "boolean").add("latin", "boolean"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kinds = pa.array([of(v) for v in b.column("__value").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [kinds], names=[*names, "verdict"])
 
-    return spread(picked).mapInArrow(run, picked.select(*names).schema.add("verdict", "string"))
+def _records(df: DataFrame, keys: dict[str, Column], value: Column, of: Callable[[str], list[Message]]) -> DataFrame:
+    picked = df.select(*[c.alias(k) for k, c in keys.items()], F.xxhash64(value).alias("__doc"), value.alias("__value")).where("__value IS NOT NULL")
+    kept = [*keys, "__doc"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, rows = [0], []
+            for text in b.column("__value").to_pylist():
+                rows += [(role, " ".join(masked(message)), slot, latin) for role, message, slot, latin in of(text)]
+                ends.append(len(rows))
+            role, template, slot, latin = zip(*rows, strict=True) if rows else ((), (), (), ())
+            fields = [pa.array(role, pa.int32()), pa.array(template, pa.string()), pa.array(slot, pa.bool_()), pa.array(latin, pa.bool_())]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["role", "template", "slot", "latin"]))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + [lists], names=[*kept, "messages"])
 
-def title_verdicts(df: DataFrame, keys: dict[str, Column], title: Column) -> DataFrame:
-    """``keys`` and ``verdict`` of each title: default, error, script, filler, slot or ordinary. Null
-    titles give no row; blank ones are ordinary. Nothing is shuffled."""
-    return _verdicts(df, keys, title, lambda t: title_verdict(t, worker_tree()))
+    return spread(picked).mapInArrow(run, picked.select(*kept).schema.add("messages", _MESSAGES))
 
 
-def page_verdicts(df: DataFrame, keys: dict[str, Column], html: Column) -> DataFrame:
-    """As ``title_verdicts``, for pages of HTML."""
-    return _verdicts(df, keys, html, lambda t: page_verdict(read_page(t), worker_tree()))
+def title_records(df: DataFrame, keys: dict[str, Column], title: Column) -> DataFrame:
+    """``keys`` and the masked messages of each non-null title."""
+    return _records(df, keys, title, title_messages)
 
 
-def page_messages(df: DataFrame, html: Column) -> DataFrame:
-    """``message``: the title and the own blocks of each page of HTML, a row each; null pages and pages
-    without a title give none for it."""
-    picked = df.select(html.alias("__value")).where("__value IS NOT NULL")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[str] = []
-            for text in b.column(0).to_pylist():
-                page = read_page(text)
-                out += [page.title] if page.title else []
-                out += [page.texts[i] for i in own_blocks(page)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["message"])
-
-    return spread(picked).mapInArrow(run, "message string")
+def page_records(df: DataFrame, keys: dict[str, Column], html: Column) -> DataFrame:
+    """``keys`` and the masked messages of each non-null page of HTML."""
+    return _records(df, keys, html, lambda text: page_messages(read_page(text)))
 
 
 def alike(a: list[str], b: list[str]) -> float:
@@ -430,55 +472,120 @@ def alike(a: list[str], b: list[str]) -> float:
     return sum(x == y for x, y in zip(a, b, strict=True)) / len(a) if a else 1.0
 
 
-def merge_templates(counts: list[tuple[str, int]], least: float = 0.6) -> list[tuple[str, int]]:
-    """Templates of one length merged by similarity: the most frequent first, each joins the merged
-    template most like it, if at least ``least``, and places that differ become ``<*>``. The result
-    doesn't depend on the order of ``counts``."""
-    merged: list[list] = []
+def merge_templates(counts: list[tuple[str, int]], least: float = 0.6) -> list[tuple[str, list[tuple[str, int]]]]:
+    """Templates of one length merged by similarity, each merged template with its members: the most
+    frequent first, each joins the merged template most like it, if at least ``least``, and places that
+    differ become ``<*>``. The result doesn't depend on the order of ``counts``."""
+    merged: list[tuple[list[str], list[tuple[str, int]]]] = []
     for template, n in sorted(counts, key=lambda c: (-c[1], c[0])):
         tokens = template.split()
         best = max(merged, key=lambda m: alike(m[0], tokens), default=None)
         if best is not None and alike(best[0], tokens) >= least:
-            best[0] = [x if x == y else "<*>" for x, y in zip(best[0], tokens, strict=True)]
-            best[1] += n
+            best[0][:] = [x if x == y else "<*>" for x, y in zip(best[0], tokens, strict=True)]
+            best[1].append((template, n))
         else:
-            merged.append([tokens, n])
-    return [(" ".join(tokens), n) for tokens, n in merged]
+            merged.append((tokens, [(template, n)]))
+    return [(" ".join(tokens), members) for tokens, members in merged]
 
 
-def mined_templates(df: DataFrame, message: Column, depth: int = 3, slice_size: int = 2000) -> DataFrame:
-    """``template, verdict, n_messages`` of all non-null messages. Every task mines its own tree and sends
-    the templates with their counts. Equal templates of different tasks are added up; those of one
-    verdict, length and beginning (the path of the tree) are merged by similarity. A path with more than
-    ``slice_size`` templates is merged in slices by hash, so that no task holds more than about that many;
-    templates that come out equal are added up again. The result doesn't depend on the partitions."""
-    picked = df.select(message.alias("message")).where("message IS NOT NULL")
+def leaf_verdicts(counts: list[tuple[str, int]], least: float = 0.75, most: float = 0.8) -> list[tuple[str, str, str, int]]:
+    """``template, merged, verdict, n`` of the templates of a leaf. A member that is ordinary by itself takes
+    the kind that at least ``most`` of the messages of its merged template have, if two members or more
+    have it: one word that notices don't know makes no content."""
+    out = []
+    for merged, members in merge_templates(counts, least):
+        own = {t: classify(tuple(t.split())) for t, _ in members}
+        by_kind: dict[str, list[int]] = {}
+        for t, n in members:
+            by_kind.setdefault(own[t], []).append(n)
+        total = sum(n for _, n in members)
+        taken = next((k for k, ns in sorted(by_kind.items()) if k != "ordinary" and len(ns) > 1 and sum(ns) >= most * total), "ordinary")
+        out += [(t, merged, taken if own[t] == "ordinary" else own[t], n) for t, n in members]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = TemplateTree(depth)
 
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*tree.drain(), strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["template", "verdict", "n"])
+_TEMPLATE = "template string, merged string, verdict string, aid boolean, n bigint"
+
+
+def counted_templates(records: DataFrame, depth: int = 3, beside: bool = True) -> DataFrame:
+    """``template, n, length, path`` of all messages of ``records`` (or of all but those ``beside`` bodies);
+    counted before they are shuffled."""
+    messages = records.select(F.explode("messages").alias("m")).where(F.lit(beside) | (F.col("m.role") != BESIDE))
+    tokens = F.split("template", " ")
+    counted = messages.groupBy("m.template").agg(F.count("*").alias("n"))
+    return counted.withColumn("length", F.size(tokens)).withColumn("path", F.concat_ws(" ", F.slice(tokens, 1, depth)))
+
 
+def _classified(templates: DataFrame) -> DataFrame:
+    """``templates`` with ``verdict`` and ``aid`` (only sends on), each template by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for m in b.column(0).to_pylist():
-                if tree.size >= tree.most:
-                    yield batch()
-                tree.verdict(m)
-        yield batch()
+            of = [tuple(t.split()) for t in b.column("template").to_pylist()]
+            made = [pa.array([classify(t) for t in of], pa.string()), pa.array([_sends_on(t) for t in of], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "verdict", "aid"])
 
-    def merge(table: pa.Table) -> pa.Table:
-        out = merge_templates(list(zip(table.column("template").to_pylist(), table.column("n").to_pylist(), strict=True)))
-        verdict = table.column("verdict")[0].as_py()
-        return pa.table({"template": pa.array([t for t, _ in out], pa.string()), "verdict": pa.array([verdict] * len(out), pa.string()), "n": pa.array([n for _, n in out], pa.int64())})
+    return templates.mapInArrow(run, T.StructType(list(templates.schema.fields)).add("verdict", "string").add("aid", "boolean"))
 
-    schema = "template string, verdict string, n bigint"
-    partial = picked.mapInArrow(run, schema).groupBy("template", "verdict").agg(F.sum("n").alias("n"))
-    tokens = F.split("template", " ")
-    paths = cut_lineage(partial.withColumn("length", F.size(tokens)).withColumn("path", F.concat_ws(" ", F.slice(tokens, 1, depth))))
-    path = ["verdict", "length", "path"]
-    sizes = paths.groupBy(*path).agg(F.ceil(F.count("*") / slice_size).alias("slices"))
-    sliced = paths.join(sizes, path).withColumn("slice", F.pmod(F.xxhash64("template"), F.col("slices")))
-    merged = sliced.groupBy(*path, "slice").applyInArrow(merge, schema)
-    return merged.groupBy("template", "verdict").agg(F.sum("n").alias("n_messages"))
+
+def _leaves(templates: DataFrame, slice_size: int = 2000) -> DataFrame:
+    """The leaves of the tree, merged and classified. A path with more than ``slice_size`` templates is taken
+    in slices by hash, so that no task holds more than about that many."""
+    sizes = templates.groupBy("length", "path").agg(F.ceil(F.count("*") / slice_size).alias("slices"))
+    sliced = templates.join(sizes, ["length", "path"]).withColumn("slice", F.pmod(F.xxhash64("template"), F.col("slices")))
+
+    def merge(table: pa.Table) -> pa.Table:
+        out = leaf_verdicts(list(zip(table.column("template").to_pylist(), table.column("n").to_pylist(), strict=True)))
+        t, m, v, n = zip(*out, strict=True)
+        return pa.table({"template": pa.array(t, pa.string()), "merged": pa.array(m, pa.string()), "verdict": pa.array(v, pa.string()), "aid": pa.array([_sends_on(tuple(x.split())) for x in t], pa.bool_()), "n": pa.array(n, pa.int64())})
+
+    return sliced.select("length", "path", "slice", "template", "n").groupBy("length", "path", "slice").applyInArrow(merge, _TEMPLATE)
+
+
+def template_verdicts(records: DataFrame) -> DataFrame:
+    """``template, verdict, aid`` of the templates that are no content. Only leaves with a notice, or with a
+    message that sends on, are merged: in others nothing can be taken over."""
+    templates = cut_lineage(_classified(counted_templates(records)))
+    noticed = templates.where("verdict != 'ordinary' OR aid").select("length", "path").distinct()
+    merged = _leaves(templates.drop("verdict", "aid").join(noticed, ["length", "path"], "left_semi"))
+    return merged.where("verdict != 'ordinary' OR aid").select("template", "verdict", "aid")
+
+
+def record_verdicts(records: DataFrame, keys: Sequence[str], broadcast_bytes: int = 8_000_000) -> DataFrame:
+    """``keys`` and ``verdict`` of ``records`` (of ``title_records`` or ``page_records``): default, error,
+    script, filler, slot or ordinary. A record delivered twice is one; records that share their keys but not
+    their content have a row each.
+
+    ``records`` is read twice: pass a written table. The verdicts on templates are joined by broadcast if they
+    take at most ``broadcast_bytes``, else by shuffle; a message's row goes back to its record map-side."""
+    verdicts = cut_lineage(template_verdicts(records))
+    size = verdicts.agg(F.coalesce(F.sum(F.length("template") + 40), F.lit(0))).first()[0]
+    of = [*keys, "__doc"]
+    rows = records.select(*of, F.posexplode_outer("messages").alias("pos", "m")).select(*of, "pos", "m.*")
+    rows = rows.join(F.broadcast(verdicts) if size <= broadcast_bytes else verdicts, "template", "left")
+    role = F.col("role")
+    known = F.coalesce("verdict", F.lit("ordinary"))
+    kind = F.when((known == "ordinary") & F.col("latin"), "filler").otherwise(known)
+    notice = kind != "ordinary"
+    first = lambda test: F.min(F.when(test & notice, F.struct("pos", kind.alias("kind"))))["kind"]
+    rows = rows.groupBy(*of).agg(
+        F.bool_or((role == TITLE) & F.col("slot")).alias("title_slot"), first(role == TITLE).alias("titled"), F.bool_or("slot").alias("any_slot"),
+        F.count_if(role == BODY).alias("body"), F.count_if((role == BODY) & notice).alias("notices"), F.count_if((role == BODY) & ~notice & F.coalesce("aid", F.lit(False))).alias("aids"),
+        first(role == BODY).alias("instead"), first((role == HEADING) & kind.isin(*_INSTEAD)).alias("headed"), first((role == HIDDEN) & (kind == "script")).alias("hidden"), first((role == BESIDE) & kind.isin("error", "script") & (known == kind)).alias("beside"),
+    )
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    all_aids = F.col("aids") == F.col("body")
+    verdict = (
+        F.when(true("title_slot"), "slot").when(F.col("titled").isNotNull(), F.col("titled")).when(true("any_slot"), "slot")
+        .when((F.col("notices") > 0) & (F.col("notices") + F.col("aids") == F.col("body")), F.col("instead"))
+        .when(all_aids & F.col("headed").isNotNull(), F.col("headed")).when(all_aids & (F.col("body") == 0) & F.col("hidden").isNotNull(), F.col("hidden"))
+        .otherwise(F.coalesce("beside", F.lit("ordinary")))
+    )
+    return rows.select(*keys, verdict.alias("verdict"))
+
+
+def mined_templates(records: DataFrame, slice_size: int = 2000) -> DataFrame:
+    """``template, verdict, n_messages``: all merged templates of ``records`` by verdict, with how many
+    messages they have; blocks beside the body don't count. The result doesn't depend on the partitions."""
+    merged = _leaves(cut_lineage(counted_templates(records, beside=False)), slice_size)
+    return merged.groupBy(F.col("merged").alias("template"), "verdict").agg(F.sum("n").alias("n_messages"))
