@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hosts of social platforms whose links are profiles.
-SOCIAL_HOSTS = ("facebook.com", "instagram.com", "linkedin.com", "x.com", "twitter.com", "youtube.com", "tiktok.com", "social.example")
+SOCIAL_HOSTS = ("facebook.com", "instagram.com", "linkedin.com", "x.com", "twitter.com", "youtube.com", "tiktok.com")
 #: JSON-LD types that describe an organisation.
 ORGANISATION_TYPES = ("Organization", "Corporation", "LocalBusiness", "NGO", "Store", "Restaurant", "EducationalOrganization")
 
@@ -115,8 +115,8 @@ def page_facts(pages: DataFrame, keys: dict[str, Column], html: Column, base: Co
     return picked.mapInArrow(run, schema + ", title string, description string, canonical string, links array<string>, times array<string>, organisations array<struct<name: string, url: string>>")
 
 
-def social_links(links: Column) -> Column:
+def social_links(links: Column, hosts: Sequence[str] = SOCIAL_HOSTS) -> Column:
     """Links of an array that are profiles on social platforms, sorted and distinct."""
     from millrace.functions.urls import host, under_any
 
-    return F.array_sort(F.array_distinct(F.filter(links, lambda u: under_any(host(u), list(SOCIAL_HOSTS)))))
+    return F.array_sort(F.array_distinct(F.filter(links, lambda u: under_any(host(u), list(hosts)))))

@@ -61,9 +61,13 @@ def name_slugs(name: Column) -> Column:
     return F.array_distinct(F.filter(labels, lambda s: s.isNotNull() & (s != "")))
 
 
+#: Norwegian inflection endings, in the order in which they are tried.
+ENDINGS = ("heten", "heter", "ende", "ane", "ene", "er", "en", "et", "a", "e", "s")
+
+
 def stem_tokens(value: Column, least: int = 3) -> Column:
     """Folded tokens without a Norwegian inflection ending, where at least ``least`` letters stay."""
-    ending = rf"^(.{{{least},}}?)(heten|heter|ende|ane|ene|er|en|et|a|e|s)$"
+    ending = rf"^(.{{{least},}}?)({'|'.join(ENDINGS)})$"
     return F.array_sort(F.array_distinct(F.transform(fold_tokens(value), lambda t: F.regexp_replace(t, ending, "$1"))))
 
 

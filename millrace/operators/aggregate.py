@@ -23,17 +23,19 @@ def counters(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def counter_map(df: DataFrame, key: str) -> DataFrame:
-    """One row: the counter as JSON text with sorted keys (nulls under ``null``)."""
-    counted = df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k")).agg(F.count("*").alias("n"))
-    return counted.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n"))))).alias("counts"))
+def counter_map(df: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """One row: the counter as JSON text with sorted keys (nulls under ``null``). For closed sets of keys:
+    more than ``most`` are an error (when it runs), and no more than that come together in one task."""
+    counted = df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k")).agg(F.count("*").alias("n")).limit(most + 1)
+    text = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))))
+    return counted.agg(F.when(F.count("*") > most, F.raise_error(F.lit(f"more than {most} values of {key}: keep the counter in rows"))).otherwise(text).alias("counts"))
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """The value at place ``max(1, ceil(q*n))`` of the sorted non-null values; null for none."""
+def nearest_rank(q: float, n: str = "n") -> Column:
+    """Place (from 0) of the rule ``max(1, ceil(q*n))``, for ``value_at_place``."""
     if not 0 <= q <= 1:
         raise ValueError(f"quantile {q} is not within 0 and 1")
-    return F.expr(f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY `{value}`)")
+    return F.greatest(F.lit(1), F.ceil(F.col(n) * F.lit(q))) - 1
 
 
 def value_at_place(df: DataFrame, keys: Sequence[str], value: str, places: dict[str, Column], n: str = "n", ranges: int = 64) -> DataFrame:
@@ -41,12 +43,13 @@ def value_at_place(df: DataFrame, keys: Sequence[str], value: str, places: dict[
     non-null numeric values.
 
     Equal values are counted together first. The counts are cut into ``ranges`` of values (at approximate
-    quantiles of all values, read by the driver as so many numbers), each range of each group is ranked by
+    quantiles of all values, a scalar subquery of so many numbers), each range of each group is ranked by
     itself and shifted by what lies below: a group with a third of all rows is ranked by many tasks."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__same"))
-    bounds = sorted(set(df.stat.approxQuantile(value, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
-    cut = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    counted = counted.withColumn("__range", F.size(F.filter(cut, lambda b: b < F.col(value))))
+    parts = [F.lit(i / ranges) for i in range(1, ranges)]
+    bounds = df.select(F.percentile_approx(F.col(value).cast("double"), F.array(*parts), 4 * ranges)).scalar()
+    counted = counted.withColumn("__cut", F.coalesce(bounds, F.array().cast("array<double>")))
+    counted = counted.withColumn("__range", F.size(F.filter("__cut", lambda b: b < F.col(value)))).drop("__cut")
     sums = counted.groupBy(*keys, "__range").agg(F.sum("__same").alias("__in"))
     by = Window.partitionBy(*keys)
     below = F.sum("__in").over(by.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__in")

@@ -34,17 +34,25 @@ def gap_reasons(tests: Sequence[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(t, F.lit(False)), n) for n, t in tests]))
 
 
+#: Fixed values, in order: a state some candidate must have, the states all candidates must be among (null:
+#: any), whether the strong source must have failed, and what the entity's state is then.
+STATE_ORDER = (
+    ("failed", None, True, "failed"),
+    ("failed", ("failed", "not_available"), False, "not_available"),
+    ("ambiguous", None, False, "ambiguous"),
+    ("blocked", ("blocked", "not_available"), False, "blocked"),
+    ("failed", None, False, "not_available"),
+)
+
+
 def final_state(states: Column, published: Column, strong_failed: Column) -> Column:
-    """State of an entity from the states of its candidates (an array)."""
-    has = lambda s: F.coalesce(F.array_contains(states, s), F.lit(False))
-    only = lambda *ok: F.forall(states, lambda s: s.isin(*ok))
-    return (
-        F.when(published, "available")
-        .when(states.isNull() | (F.size(states) <= 0) | only("not_available"), "not_available")
-        .when(has("failed") & strong_failed, "failed")
-        .when(has("failed") & only("failed", "not_available"), "not_available")
-        .when(has("ambiguous"), "ambiguous")
-        .when(has("blocked") & only("blocked", "not_available"), "blocked")
-        .when(has("failed"), "not_available")
-        .otherwise("ambiguous")
-    )
+    """State of an entity from the states of its candidates (an array): ``available`` if one is published,
+    ``not_available`` without candidates or if all are so, else the first line of ``STATE_ORDER`` that holds,
+    else ``ambiguous``."""
+    among = lambda kinds: F.forall(states, lambda s: s.isin(*kinds))
+    out = F.when(published, "available").when(states.isNull() | (F.size(states) <= 0) | among(("not_available",)), "not_available")
+    for some, all_of, strong, state in STATE_ORDER:
+        test = F.coalesce(F.array_contains(states, some), F.lit(False))
+        test = test & among(all_of) if all_of else test
+        out = out.when(test & strong_failed if strong else test, state)
+    return out.otherwise("ambiguous")

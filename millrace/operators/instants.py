@@ -102,6 +102,12 @@ def zone_database_version() -> str:
         return "unknown"
 
 
+def same_zones(version: str) -> None:
+    """An error if this process has another version of the zone database than ``version``."""
+    if zone_database_version() != version:
+        raise RuntimeError(f"zone database {zone_database_version()} here, {version} on the driver")
+
+
 @lru_cache(maxsize=1024)
 def zone_table(name: str) -> ZoneTable | None:
     """Table of zone ``name`` over TABLE_YEARS, or null if there is no such zone. Transitions are found
@@ -304,13 +310,17 @@ def normal_forms(df: DataFrame, value: Column, keep: dict[str, Column], zone: st
     """``keep`` columns (named by the caller, so no clash with columns of ``df``) and ``normal_form``
     of each row of ``df`` whose ``value`` is usable; unusable values give no row.
 
-    ``zone`` is the zone of values that name none. Nothing is shuffled or collected."""
+    ``zone`` is the zone of values that name none. Nothing is shuffled or collected. Workers build zone tables
+    from their own zone database; one of another version than the driver's is an error, as equal values
+    would come out as different instants."""
     text = squeezed(value)
     picked = df.select(*[c.alias(k) for k, c in keep.items()], text.alias("__value"))
     picked = picked.where(F.col("__value") != "").withColumn("__mask", shape_mask(F.col("__value")))
     names = list(keep)
+    version = zone_database_version()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same_zones(version)
         for b in batches:
             forms = _convert_batch(b.column("__value").to_pylist(), b.column("__mask").to_pylist(), zone)
             out = pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(forms, pa.string())], names=[*names, "normal_form"])

@@ -121,7 +121,9 @@ def none_above_cap(df: DataFrame, keys: Sequence[str], flag: str, cap: int) -> D
 
 
 def change_from_previous(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """``previous``, ``delta`` and ``percent`` (of the previous absolute value, two places; null for 0)."""
+    """``previous``, ``delta`` and ``percent`` (of the previous absolute value, two places; null for 0). One
+    row for each ``key`` and ``order``, such as a year: aggregated before, a key's rows are few however many
+    events it has."""
     previous = F.lag(value).over(Window.partitionBy(key).orderBy(order))
     out = df.withColumn("previous", previous)
     delta = F.col(value) - F.col("previous")

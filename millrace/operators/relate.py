@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def attach_list(left: DataFrame, right: DataFrame, key: str, name: str, element: Column, order: Column) -> DataFrame:
+def attach_list(left: DataFrame, right: DataFrame, key: str, name: str, element: Column, order: Column, most: int = 100_000) -> DataFrame:
     """``left`` with the sorted list of its matches' ``element`` values; an empty list without matches.
-    Lists hold all of a key's matches: for keys whose matches are bounded, such as the facts of one entity."""
+    Lists hold all of a key's matches: for keys whose matches are bounded, such as the facts of one entity. A
+    key with more than ``most``, counted before any list is made, is an error (when it runs)."""
+    counts = right.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    over = counts.select(F.count("*")).scalar()
+    right = right.where(F.when(over > 0, F.raise_error(F.lit(f"a key of {key} has more than {most} matches"))).otherwise(F.lit(True)))
     lists = right.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), element.alias("e")))), lambda x: x["e"]).alias(name))
     joined = left.join(lists, key, "left")
     return joined.withColumn(name, F.coalesce(F.col(name), F.array().cast(lists.schema[name].dataType)))

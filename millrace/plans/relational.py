@@ -102,11 +102,10 @@ def coverage_by_municipality(spark, folder):
 
 
 # ---------------------------------------------------------------- counters and percentiles
-@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most, count(value) AS n FROM events GROUP BY event_type")
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def latency_nearest_rank(spark, folder):
-    return read_table(spark, folder, "events").groupBy("event_type").agg(
-        aggregate.nearest_rank("value", 0.5).alias("p50"), aggregate.nearest_rank("value", 0.95).alias("p95"), F.max("value").alias("most"), F.count("value").alias("n")
-    )
+    places = {"p50": aggregate.nearest_rank(0.5), "p95": aggregate.nearest_rank(0.95), "most": F.col("n") - 1}
+    return aggregate.value_at_place(read_table(spark, folder, "events"), ["event_type"], "value", places)
 
 
 @query("""SELECT event_type, count(*) AS n, list_sort(list(value))[1 + CAST(floor((count(*) - 1) * 0.5) AS INT)] AS p50, list_sort(list(value))[1 + CAST(floor((count(*) - 1) * 0.9) AS INT)] AS p90
@@ -127,7 +126,9 @@ def latency_clamped_index(spark, folder):
     FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)""")
 def domain_request_summary(spark, folder):
     per = aggregate.counters(read_table(spark, folder, "events"), ["user_id"])
-    return per.agg(F.count("*").alias("n_users"), aggregate.nearest_rank("n", 0.5).cast("bigint").alias("p50"), aggregate.nearest_rank("n", 0.95).cast("bigint").alias("p95"), F.max("n").alias("most"), F.sum("n").alias("n_requests"))
+    places = {"p50": aggregate.nearest_rank(0.5, "n_users"), "p95": aggregate.nearest_rank(0.95, "n_users"), "most": F.col("n_users") - 1}
+    ranked = aggregate.value_at_place(per, [], "n", places, n="n_users")
+    return ranked.withColumn("n_requests", per.select(F.sum("n")).scalar())
 
 
 @query("SELECT source_class, count(*) AS n FROM sentiment_inference_smoke GROUP BY source_class")

@@ -162,7 +162,7 @@ def sorted_set_normalise(spark, folder):
 
 
 # ---------------------------------------------------------------- evidence and cascades
-@query("""WITH e AS (SELECT regexp_replace(organisation_number, '[^0-9]', '', 'g') AS org, source_class AS field, source_url AS url, id, row_number() OVER (PARTITION BY organisation_number, source_class, source_url ORDER BY id) - 1 AS i FROM (SELECT DISTINCT * FROM sentiment_inference_smoke))
+@query("""WITH e AS (SELECT regexp_replace(organisation_number, '[^0-9]', '', 'g') AS org, source_class AS field, source_url AS url, id, row_number() OVER (PARTITION BY organisation_number, source_class, source_url ORDER BY sha256('evidence|' || id), id) - 1 AS i FROM (SELECT DISTINCT * FROM sentiment_inference_smoke))
     SELECT id, 'ev-' || substr(sha256(coalesce(org, '') || '|' || coalesce(field, '') || '|' || coalesce(url, '') || '|' || id || '|' || CAST(i AS VARCHAR)), 1, 16) AS evidence_id FROM e""")
 def evidence_ids(spark, folder):
     rows = read_table(spark, folder, "sentiment_inference_smoke").distinct()

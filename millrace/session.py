@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +28,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. A cluster names it in ``spark.checkpoint.dir``; only where that
-    is unset (tests, one machine) a temporary folder is made."""
+    """The shared checkpoint folder. A cluster names it in ``spark.checkpoint.dir``, and it is an error if it
+    doesn't: a temporary folder would be another one on every node. Only a session on one machine
+    (``local[...]``) makes its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError(f"spark.checkpoint.dir is unset: name a folder that all of {context.master} share")
     folder = named or "file://" + os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
     context.setCheckpointDir(folder)
     return folder

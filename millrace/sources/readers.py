@@ -94,8 +94,12 @@ def read_inputs(lines: DataFrame, line: str, value: str) -> DataFrame:
 
 
 def read_json_shards(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
-    """Sharded (gzip) JSON lines with an explicit schema; rows without a key are skipped, broken lines too."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col(key).isNotNull())
+    """Sharded (gzip) JSON lines with an explicit schema, and ``error`` and ``raw``: a line that is no JSON
+    (``malformed_json``) or has no key (``missing_key``) is a row with its error, so that none vanishes
+    uncounted. Good rows have null in both."""
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField("raw", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw").json(path)
+    fault = F.when(F.col("raw").isNotNull(), "malformed_json").when(F.col(key).isNull(), "missing_key")
+    return read.select(*[F.col(f"`{f.name}`") for f in schema.fields], fault.alias("error"), "raw")
 
 
 # ---------------------------------------------------------------- payloads
@@ -127,11 +131,12 @@ def unambiguous(rows: DataFrame, key: str, item: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.countDistinct(item).alias("n"), F.first(item, ignorenulls=True).alias(item), F.array_sort(F.collect_set(value)).alias("values")).where("n = 1").drop("n")
 
 
-def sitemap_urls(df: DataFrame, key: str, xml: str, host: Column | None = None, limit: int = 500) -> DataFrame:
-    """Locations of sitemap documents, at most ``limit`` each; documents with a DTD, and broken ones, give none."""
+def sitemap_urls(df: DataFrame, key: str, xml: str, limit: int | None = None) -> DataFrame:
+    """Locations of sitemap documents, all of them or at most ``limit`` each; documents with a DTD, and broken
+    ones, give none."""
     safe = F.when(~F.lower(F.col(xml)).contains("<!doctype") & F.lower(F.col(xml)).contains("<loc>"), F.col(xml))
     found = F.regexp_extract_all(safe, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
-    return df.select(key, F.posexplode(F.slice(found, 1, limit)).alias("pos", "url"))
+    return df.select(key, F.posexplode(F.slice(found, 1, limit) if limit else found).alias("pos", "url"))
 
 
 def statuses(rows: DataFrame, code: str) -> Column:

@@ -3,9 +3,9 @@
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-import pytest
 import numpy as np
 import pyspark.sql.functions as F
+import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
@@ -99,3 +99,9 @@ def test_query_gives_distinct_rows(spark, sf):
     assert rows and len(rows) == len(set(rows))
     for _, _, _, form in rows:
         datetime.strptime(form, "%Y-%m-%dT%H:%M:%S.%fZ" if "T" in form else "%Y-%m-%d") + timedelta(0)
+
+
+def test_another_zone_database_is_an_error():
+    instants.same_zones(instants.zone_database_version())
+    with pytest.raises(RuntimeError, match="on the driver"):
+        instants.same_zones("1999a")

@@ -1,5 +1,6 @@
 """Operators by cases: nulls, empty tables, ties, repeated rows, hot keys, clashing names."""
 
+import math
 from datetime import date, datetime
 
 import pyspark.sql.functions as F
@@ -85,10 +86,23 @@ def test_three_percentile_rules(spark):
         lower = aggregate.value_at_place(df, ["k"], "v", {"x": aggregate.lower_index(q)}).collect()
         clamped = aggregate.value_at_place(df, ["k"], "v", {"x": aggregate.clamped_index(q)}).collect()
         assert [r.x for r in lower] == [ordered[int((n - 1) * q)]] and [r.x for r in clamped] == [ordered[min(n - 1, int(n * q))]]
-    nearest = {r.k: r.x for r in df.groupBy("k").agg(aggregate.nearest_rank("v", 0.5).alias("x")).collect()}
-    assert nearest == {"g": ordered[2], "h": None}
+        nearest = aggregate.value_at_place(df, ["k"], "v", {"x": aggregate.nearest_rank(q)}).collect()
+        assert [r.x for r in nearest] == [ordered[max(1, math.ceil(q * n)) - 1]]
+    assert [r.x for r in aggregate.value_at_place(df, [], "v", {"x": F.col("n") - 1}).collect()] == [5.0]
+    assert aggregate.value_at_place(df.where("false"), ["k"], "v", {"x": aggregate.nearest_rank(0.5)}).count() == 0
     with pytest.raises(ValueError):
-        aggregate.nearest_rank("v", 1.5)
+        aggregate.nearest_rank(1.5)
+
+
+def test_bounded_collections_are_checked(spark):
+    df = spark.createDataFrame([(i % 5, i) for i in range(20)], "k int, v int")
+    assert aggregate.counter_map(df, "k", 5).collect()[0][0] == '{"0":4,"1":4,"2":4,"3":4,"4":4}'
+    with pytest.raises(Exception, match="more than 4 values"):
+        aggregate.counter_map(df, "k", 4).collect()
+    left = df.select("k").distinct()
+    assert {len(r.x) for r in relate.attach_list(left, df, "k", "x", F.col("v"), F.col("v"), 4).collect()} == {4}
+    with pytest.raises(Exception, match="more than 3 matches"):
+        relate.attach_list(left, df, "k", "x", F.col("v"), F.col("v"), 3).collect()
 
 
 def test_wilson_and_ratio(spark):

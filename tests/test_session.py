@@ -1,5 +1,7 @@
 """Lineage cuts and spreading."""
 
+import pytest
+
 from millrace.session import cut_lineage, ensure_checkpoint_dir, spread
 
 
@@ -20,3 +22,26 @@ def test_spreading_only_where_it_helps(spark, tmp_path):
     shuffled = one.groupBy("id").count()
     assert spread(shuffled) is shuffled
     assert sorted(r.id for r in spread(one).collect()) == list(range(100))
+
+
+def test_only_one_machine_makes_its_own_folder():
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+            self._jsc = self
+        sc = lambda self: self
+        getCheckpointDir = lambda self: type("None_", (), {"isDefined": lambda _: False})()
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, named=None):
+            self.sparkContext = Context(master)
+            self.conf = type("Conf", (), {"get": lambda _, key, default: named})()
+
+    assert ensure_checkpoint_dir(Session("local[4]")).startswith("file://")
+    assert ensure_checkpoint_dir(Session("spark://host:7077", "hdfs://shared/x")) == "hdfs://shared/x"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(Session(master))

@@ -46,6 +46,8 @@ def test_search_payloads(spark):
 def test_sitemaps_and_unambiguous(spark):
     df = spark.createDataFrame([(1, "<urlset><url><loc> https://a/1 </loc></url><url><loc>https://a/2</loc></url></urlset>"), (2, "<!DOCTYPE x><loc>https://evil</loc>"), (3, None)], "k int, x string")
     assert [(r.k, r.pos, r.url) for r in readers.sitemap_urls(df, "k", "x").orderBy("k", "pos").collect()] == [(1, 0, "https://a/1"), (1, 1, "https://a/2")]
+    many = spark.createDataFrame([(1, "<urlset>" + "".join(f"<url><loc>https://a/{i}</loc></url>" for i in range(2000)) + "</urlset>")], "k int, x string")
+    assert readers.sitemap_urls(many, "k", "x").count() == 2000 and readers.sitemap_urls(many, "k", "x", 500).count() == 500
     rows = spark.createDataFrame([("o", "q1", "b"), ("o", "q1", "a"), ("p", "q1", "a"), ("p", "q2", "b")], "k string, i string, v string")
     assert [tuple(r) for r in readers.unambiguous(rows, "k", "i", "v").collect()] == [("o", "q1", ["a", "b"])]
 
@@ -56,7 +58,10 @@ def test_json_round_trip_and_shards(spark, tmp_path):
     sinks.append_shards(df.coalesce(1), str(tmp_path / "s"), 4)
     assert len(list((tmp_path / "s").glob("*.gz"))) == 6
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType())])
-    assert readers.read_json_shards(spark, str(tmp_path / "s"), schema, "k").count() == 20
+    assert readers.read_json_shards(spark, str(tmp_path / "s"), schema, "k").where("error IS NULL").count() == 20
+    (tmp_path / "s" / "more.json").write_text('{"k": 1, "v": "a"}\n{broken\n{"v": "keyless"}\n')
+    rows = readers.read_json_shards(spark, str(tmp_path / "s"), schema, "k").where("error IS NOT NULL").collect()
+    assert sorted((r.error, r.v, r.raw) for r in rows) == [("malformed_json", None, "{broken"), ("missing_key", "keyless", None)]
     sinks.write_json_lines(df, str(tmp_path / "j"))
     assert "null" in next((tmp_path / "j").glob("part*")).read_text()
 
