@@ -75,10 +75,12 @@ class PhraseIndex:
 
 
 def leaked_passages(
-    documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, prompt: Column, run: int = 6, block_words: int = 2_000_000
+    documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, prompt: Column, run: int = 6, least: float = 0.0, block_words: int = 2_000_000
 ) -> DataFrame:
     """``doc_id, item_id, covered_words, item_words``: documents that hold runs of at least ``run``
-    consecutive words of an item, and how many of the item's words such runs cover together.
+    consecutive words of an item, and how many of the item's words such runs cover together, if they are at
+    least the share ``least`` (told where the document is searched, so that a phrase of many items gives no
+    rows for each).
 
     Null or short prompts and null texts match nothing. A document or item delivered twice gives the
     same row twice; take distinct rows. Columns are renamed inside, so extra ones never clash."""
@@ -92,19 +94,20 @@ def leaked_passages(
     for block in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         index = context.broadcast(PhraseIndex([(r[0], words(r[1])) for r in part.distinct().collect()], run))
-        found = spread(picked.where("text IS NOT NULL")).mapInArrow(_search(index), schema)
+        found = spread(picked.where("text IS NOT NULL")).mapInArrow(_search(index, least), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(index):
+def _search(index, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: PhraseIndex = index.value
         for b in batches:
             rows = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 for item, bits in tables.covered(words(t)).items():
-                    rows.append((i, tables.keys[item], bits.bit_count(), tables.lengths[item]))
+                    if (n := bits.bit_count()) >= least * tables.lengths[item]:
+                        rows.append((i, tables.keys[item], n, tables.lengths[item]))
             if rows:
                 at, keys, covered, lengths = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(

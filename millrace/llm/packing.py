@@ -104,6 +104,23 @@ def _tightest_pair(order: list[int], pool: dict[int, list[int]], room: int, more
     return pair
 
 
+#: Copies of an item that one row stands for while they are numbered.
+_COPIES = 10_000
+
+
+def _numbered_copies(counts: DataFrame) -> DataFrame:
+    """``item_id, n_tokens, copy``: the rows of ``counts``, copies numbered from 0. They come out of blocks of
+    bounded size, which are dealt out where there is more than one."""
+    of = ["item_id", "n_tokens"]
+    alike = counts.groupBy(*of).agg(F.count("*").alias("copies"))
+    last = F.floor((F.col("copies") - 1) / _COPIES)
+    single = alike.where(F.col("copies") <= _COPIES).select(*of, "copies", F.lit(0).cast("bigint").alias("block"))
+    blocks = alike.where(F.col("copies") > _COPIES).select(*of, "copies", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block")).repartition(*of, "block")
+    start = F.col("block") * _COPIES
+    end = F.least(start + _COPIES, F.col("copies")) - 1
+    return single.unionByName(blocks).select(*of, F.explode(F.sequence(start, end)).alias("copy"))
+
+
 _SCHEMA = "spec_id int, container_id bigint, item_id {kind}, piece int, first_token bigint, n_tokens bigint"
 
 
@@ -115,8 +132,9 @@ def pack(
 
     An item has one piece unless it is larger than the capacity; ``first_token`` is where the piece
     starts. Items without tokens go to their group's first container. Items with a repeated id are
-    packed each; null ids are packed too. ``counts`` is read once for its totals and once to be packed:
-    pass a written table."""
+    packed each; null ids are packed too. Copies of one id and length are counted before anything is
+    shuffled and dealt over all groups, so a third of all rows may be copies. ``counts`` is read once for its
+    totals and once to be packed: pass a written table."""
     for spec, capacity in specs:
         if capacity <= 0:
             raise ValueError(f"capacity {capacity} of specification {spec} is not positive")
@@ -124,8 +142,8 @@ def pack(
     groups = max(1, -(-total // group_tokens), -(-items // group_items))
     capacities = dict(specs)
     kind = counts.schema["item_id"].dataType.simpleString()
-    member = F.pmod(F.xxhash64("item_id", "n_tokens"), F.lit(groups))  # lengths spread repeated ids
-    rows = counts.select(F.explode(F.array(*[F.lit(s).cast("int") for s in capacities] or [F.lit(None).cast("int")])).alias("spec_id"), member.alias("grp"), "item_id", "n_tokens")
+    member = F.pmod(F.xxhash64("item_id", "n_tokens", "copy"), F.lit(groups))
+    rows = _numbered_copies(counts).select(F.explode(F.array(*[F.lit(s).cast("int") for s in capacities] or [F.lit(None).cast("int")])).alias("spec_id"), member.alias("grp"), "item_id", "n_tokens")
 
     def run(table: pa.Table) -> pa.Table:
         spec, group = table.column("spec_id")[0].as_py(), table.column("grp")[0].as_py()

@@ -65,8 +65,7 @@ def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     documents, items = read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items")
-    found = leakage.leaked_passages(documents, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("prompt"))
-    return found.where("2 * covered_words >= item_words")
+    return leakage.leaked_passages(documents, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("prompt"), least=0.5)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

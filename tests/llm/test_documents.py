@@ -1,7 +1,7 @@
 """Packing, leakage and repetition, against brute force and by cases."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyspark.sql.functions as F
 import pytest
@@ -130,6 +130,20 @@ def test_groups_are_bounded_and_order_does_not_matter(spark):
     assert sum(n for _, n in rows) / (100 * len({r.container_id for r in one})) > 0.97
 
 
+def test_copies_are_dealt_over_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_COPIES", 40)
+    counts = spark.createDataFrame([(None, 30)] * 1001 + [(i, 30) for i in range(1000)], "item_id long, n_tokens long")
+    rows = packing.pack(counts, [(1, 100)], group_tokens=6000).collect()
+    assert len(rows) == 2001 and sum(r.item_id is None for r in rows) == 1001
+    groups = -(-2001 * 30 // 6000)
+    sizes = Counter(r.container_id % groups for r in rows)
+    assert len(sizes) == groups and max(sizes.values()) < 2 * 2001 / groups
+    held = Counter()
+    for r in rows:
+        held[r.container_id] += r.n_tokens
+    assert max(held.values()) <= 100
+
+
 def test_packed_texts_cover_every_token(spark, sf):
     documents = read_table(spark, sf, "documents")
     counts = {r[0]: r[1] for r in packing.token_counts(documents, F.col("doc_id"), F.col("text")).collect()}
