@@ -1,6 +1,7 @@
 """Page reading, main bodies and residue, by cases and over the smallest tables."""
 
 import hashlib
+import re
 import time
 
 import pyspark.sql.functions as F
@@ -66,6 +67,31 @@ def test_density_finds_the_body_without_a_heading():
     assert own(text) == ["A rather long sentence about the work that we do here every day."] * 4
 
 
+def test_what_smoothing_clustering_and_word_lists_decide(monkeypatch):
+    """Each part turned off changes the body of some page."""
+    line = lambda letter, n: f"<p>{(letter * 9 + ' ') * n}end.</p>"
+    smooth = "<div>" + "".join(line("a", n) for n in (9, 4, 9, 4, 2)) + "</div><div><ul>" + "<li>b</li>" * 4 + "</ul></div><div>" + line("c", 12) + "</div>"
+    dense = "<div><a href='/a'>Home</a></div><div>" + "<p>A rather long sentence about the work that we do here.</p>" * 3 + "</div><div>" + "<p>x.</p>" * 90 + "</div>"
+    wrapped = "<div><div><h1>Title</h1></div><div><p>A rather long sentence about the work that we do here.</p></div><div>" + "<p>Of no end</p>" * 3 + "</div></div>"
+    named = "<main><h1>T</h1><p>First of all.</p><div class='sidebar'><p>Another thing.</p><p>And one more.</p></div></main>"
+    boxed = "<main><h1>T</h1><p>First of all.</p><div class='q7'><p>Meld deg på nyhetsbrevet vårt.</p><p>Det kommer hver uke.</p></div></main>"
+    kept = {"smooth": own(smooth), "dense": own(dense), "wrapped": own(wrapped), "named": own(named), "boxed": own(boxed)}
+    assert {t[0] for t in kept["smooth"]} == {"a"} and len(kept["dense"]) == 3 and len(kept["wrapped"]) == 2
+    assert kept["named"] == kept["boxed"] == ["T", "First of all."]
+
+    def without(name, value, page):
+        with monkeypatch.context() as m:
+            m.setattr(main_body, name, value)
+            return own(page)
+
+    assert without("smoothed", list, smooth) != kept["smooth"]
+    for constant in (True, False):
+        blocks = lambda p, c=constant: [c] * len(p.texts)
+        assert [p for p in (dense, wrapped) if without("dense_lines", blocks, p) != own(p)], constant
+    assert without("ASIDE_WORDS", frozenset(), named) != kept["named"]
+    assert without("ASIDE_PHRASES", re.compile("(?!)"), boxed) != kept["boxed"]
+
+
 def test_smoothing_and_threshold():
     flat = main_body.smoothed([2.0] * 7)
     assert all(abs(v - 2) < 1e-12 for v in flat)
