@@ -83,7 +83,8 @@ def blocked_hosts(spark, folder):
     return read_table(spark, folder, "g4_registry_floor_audit").agg(F.count("*").alias("n"), F.count_if(urls.under_any(name, ["news.example", "havlia-tindvik.example"])).alias("blocked"))
 
 
-@query()
+@query(f"""SELECT name, array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i), ' ') AS slugs FROM (SELECT name, list_filter([array_to_string(t, ''), array_to_string(t, '-'), CASE WHEN len(t) > 0 THEN array_to_string(t, '') || 'as' END, t[1]], lambda x: x IS NOT NULL) AS l
+    FROM (SELECT name, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM (SELECT DISTINCT name, {identity_sql('name')} AS t FROM entry_companies WHERE name IS NOT NULL)))""")
 def name_slugs(spark, folder):
     """Domain labels of every company name."""
     names = read_table(spark, folder, "entry_companies").select("name").where("name IS NOT NULL").distinct()
@@ -266,7 +267,8 @@ def html_metadata(spark, folder):
     return facts.select("brief_id", "page_ord", "title", "description", F.size("links").cast("bigint").alias("n_links"))
 
 
-@query()
+@query(r"""SELECT DISTINCT brief_id, page_ord, url, CASE WHEN url IS NULL THEN h ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || h END AS link, url IS NOT NULL AS internal FROM (SELECT brief_id, CAST(i - 1 AS INTEGER) AS page_ord, p.url AS url,
+    unnest(regexp_extract_all(regexp_replace(p.html, '(?s)<!--.*?-->', '', 'g'), '(?i)<a\s[^>]*?href=["'']([^"'']*)["'']', 1)) AS h FROM (SELECT brief_id, i, pages[i] AS p FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM briefs)))""")
 def html_links(spark, folder):
     """Links of every page, resolved against its URL, with whether they stay on its host."""
     pages = read_table(spark, folder, "briefs").select("brief_id", F.posexplode("pages").alias("page_ord", "p")).where("p.html IS NOT NULL").select("brief_id", "page_ord", "p.url", "p.html").distinct()
@@ -275,7 +277,7 @@ def html_links(spark, folder):
     return links.withColumn("internal", F.coalesce(urls.host(F.col("link")) == urls.host(F.col("url")), F.lit(False)))
 
 
-@query()
+@query(r"""SELECT snippet_id, json_extract_string(j, '$.name') AS name, json_extract_string(j, '$.url') AS url FROM (SELECT DISTINCT snippet_id, unnest(regexp_extract_all(html, '(?s)<script type=[''"]application/ld\+json[''"]>(.*?)</script>', 1)) AS j FROM (SELECT DISTINCT snippet_id, html FROM snippets)) WHERE json_valid(j) AND json_extract_string(j, '$."@type"') = 'Organization'""")
 def jsonld_organisations(spark, folder):
     """Organisations that pages describe in JSON-LD."""
     pages = read_table(spark, folder, "snippets").select("snippet_id", "html").where("html IS NOT NULL").distinct()
