@@ -340,21 +340,17 @@ def block_verdict(message: str, tree: TemplateTree) -> str:
 #: Roles of messages: a title or part of one, a block of the own body, a heading of it, the text for browsers
 #: without scripts, a block beside the body of a page without headings.
 TITLE, BODY, HEADING, HIDDEN, BESIDE = range(5)
-#: Kinds that stand in place of content.
-_INSTEAD = ("error", "script", "filler")
-Message = tuple[int, str, bool, bool]
+#: Kinds of residue that a message can be, and those that stand in place of content.
+KINDS, INSTEAD = ("default", "error", "script", "filler"), ("error", "script", "filler")
+#: Role, text, and whether a slot in it counts.
+Message = tuple[int, str, bool]
 
 
 def _latin(message: str, role: int) -> bool:
     """Whether nearly all (of a title all) words are filler Latin, which may begin or end with any word."""
     words = _TOKEN.findall(message.lower())
     known = sum(w in LOREM for w in words)
-    return len(words) > 1 and known == len(words) if role == TITLE else len(words) > 2 and 5 * known >= 4 * len(words)
-
-
-def _message(role: int, text: str, slots: bool = True) -> Message:
-    """Role, text, whether it holds a slot, whether it is filler Latin."""
-    return role, text, slots and holds_slot(text), _latin(text, role)
+    return len(words) > 1 and known == len(words) if role == TITLE else role != BESIDE and len(words) > 2 and 5 * known >= 4 * len(words)
 
 
 def title_messages(title: str | None) -> list[Message]:
@@ -363,7 +359,7 @@ def title_messages(title: str | None) -> list[Message]:
         return []
     parts = [title, *_PART.split(title)]
     parts += [rest for p in parts if ": " in p for rest in (p.partition(": ")[2], p.rpartition(": ")[2])]
-    return [_message(TITLE, p, slots=not k) for k, p in enumerate(dict.fromkeys(parts))]
+    return [(TITLE, p, not k) for k, p in enumerate(dict.fromkeys(parts))]
 
 
 def page_messages(page: Page) -> list[Message]:
@@ -372,13 +368,13 @@ def page_messages(page: Page) -> list[Message]:
     out = title_messages(page.title)
     own = own_blocks(page)
     roles = [HEADING if page.tags[page.owners[i]] in HEADINGS else BODY for i in own]
-    out += [_message(role, page.texts[i]) for i, role in zip(own, roles, strict=True)]
+    out += [(role, page.texts[i], True) for i, role in zip(own, roles, strict=True)]
     if BODY not in roles and page.hidden_notices:
-        out.append(_message(HIDDEN, page.hidden_notices, slots=False))
+        out.append((HIDDEN, page.hidden_notices, False))
     if HEADING not in roles:
         # Without a heading the body is hard to tell from boxes: a block of its own that is a notice decides.
         aside = _surroundings(page)
-        out += [(BESIDE, text, False, False) for text, owner in zip(page.texts, page.owners, strict=True) if not aside[owner]]
+        out += [(BESIDE, text, False) for text, owner in zip(page.texts, page.owners, strict=True) if not aside[owner]]
     return out
 
 
@@ -386,27 +382,39 @@ def decide(messages: list[Message], verdict: Callable[[str], str]) -> str:
     """The verdict on a record by the verdicts on its messages. A slot in the title or the own body, or a
     title's kind, decides. Else what stands in the body instead of content does: all of its blocks are
     notices or only send on, or it has no content and a heading, the hidden notice or a block beside says so."""
-    kinds = []
-    for role, text, slot, latin in messages:
-        kind = verdict(text)
-        kinds.append((role, "filler" if kind == "ordinary" and latin else kind, slot, kind == "ordinary" and role == BODY and sends_on(text)))
-    of = lambda *roles: [k for role, k, _, _ in kinds if role in roles and k != "ordinary"]
-    if any(slot for role, _, slot, _ in kinds if role == TITLE):
+
+    def kind(role: int, text: str) -> str:
+        found = verdict(text)
+        return "filler" if found == "ordinary" and _latin(text, role) else found
+
+    of = lambda role: [(text, slots) for r, text, slots in messages if r == role]
+    first = lambda role, among: next((k for text, _ in of(role) if (k := kind(role, text)) in among), None)
+    titled = of(TITLE)
+    if any(slots and holds_slot(text) for text, slots in titled):
         return "slot"
-    if titled := of(TITLE):
-        return titled[0]
-    if any(slot for _, _, slot, _ in kinds):
+    if found := first(TITLE, KINDS):
+        return found
+    if any(slots and holds_slot(text) for _, text, slots in messages):
         return "slot"
-    body, aids = sum(role == BODY for role, *_ in kinds), sum(aid for *_, aid in kinds)
-    notices = of(BODY)
-    if notices and len(notices) + aids == body:
-        return notices[0]
-    if aids == body:
-        if heads := [k for k in of(HEADING) if k in _INSTEAD]:
-            return heads[0]
-        if not body and "script" in of(HIDDEN):
+    body = of(BODY)
+    instead, aids = None, 0
+    for text, _ in body:
+        if (k := kind(BODY, text)) != "ordinary":
+            instead = instead or k
+        elif sends_on(text):
+            aids += 1
+        else:
+            instead = None
+            break  # content
+    else:
+        if instead:
+            return instead
+    if aids == len(body):
+        if found := first(HEADING, INSTEAD):
+            return found
+        if not body and first(HIDDEN, ("script",)):
             return "script"
-    return next((k for k in of(BESIDE) if k in ("error", "script")), "ordinary")
+    return first(BESIDE, ("error", "script")) or "ordinary"
 
 
 def title_verdict(title: str | None, tree: TemplateTree) -> str:
@@ -447,7 +455,9 @@ def _records(df: DataFrame, keys: dict[str, Column], value: Column, of: Callable
         for b in batches:
             ends, rows = [0], []
             for text in b.column("__value").to_pylist():
-                rows += [(role, " ".join(masked(message)), slot, latin) for role, message, slot, latin in of(text)]
+                for role, message, slots in of(text):
+                    template = masked(message)
+                    rows.append((role, " ".join(template), slots and holds_slot(message), "<lorem>" in template and _latin(message, role)))
                 ends.append(len(rows))
             role, template, slot, latin = zip(*rows, strict=True) if rows else ((), (), (), ())
             fields = [pa.array(role, pa.int32()), pa.array(template, pa.string()), pa.array(slot, pa.bool_()), pa.array(latin, pa.bool_())]
@@ -571,7 +581,7 @@ def record_verdicts(records: DataFrame, keys: Sequence[str], broadcast_bytes: in
     rows = rows.groupBy(*of).agg(
         F.bool_or((role == TITLE) & F.col("slot")).alias("title_slot"), first(role == TITLE).alias("titled"), F.bool_or("slot").alias("any_slot"),
         F.count_if(role == BODY).alias("body"), F.count_if((role == BODY) & notice).alias("notices"), F.count_if((role == BODY) & ~notice & F.coalesce("aid", F.lit(False))).alias("aids"),
-        first(role == BODY).alias("instead"), first((role == HEADING) & kind.isin(*_INSTEAD)).alias("headed"), first((role == HIDDEN) & (kind == "script")).alias("hidden"), first((role == BESIDE) & kind.isin("error", "script") & (known == kind)).alias("beside"),
+        first(role == BODY).alias("instead"), first((role == HEADING) & kind.isin(*INSTEAD)).alias("headed"), first((role == HIDDEN) & (kind == "script")).alias("hidden"), first((role == BESIDE) & kind.isin("error", "script")).alias("beside"),
     )
     true = lambda c: F.coalesce(F.col(c), F.lit(False))
     all_aids = F.col("aids") == F.col("body")
