@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text, urls
 from millrace.functions.orgid import numbers_in
 from millrace.operators import aggregate, evidence, rank, relate
+from millrace.plans.textual import numbers_sql
 from millrace.sources import readers
 from millrace.sources.tables import read_table
 
@@ -24,14 +25,16 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""SELECT d.url, d.n, CAST(r.code AS INTEGER) AS code, CASE WHEN r.code IS NULL THEN 'unknown_url' END AS error, CASE WHEN r.code = 200 THEN 'available' WHEN r.code IN (404, 410) THEN 'not_found' WHEN r.code IS NULL THEN NULL ELSE 'source_error' END AS status FROM
-    (SELECT url, count(*) AS n FROM documents WHERE url IS NOT NULL GROUP BY 1) d LEFT JOIN (SELECT url, CASE length(url) % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 500 END AS code FROM documents WHERE url IS NOT NULL AND source <> 'news_rss' GROUP BY 1) r ON d.url = r.url""")
+@query("""WITH asked AS (SELECT url, count(*) AS n FROM (SELECT website_url AS url FROM recovery UNION ALL SELECT declared_url FROM g4_registry_floor_audit) WHERE url IS NOT NULL GROUP BY 1), landed AS (SELECT declared_url AS url, max(CASE WHEN page_title IS NULL THEN 500 WHEN regexp_matches(page_title, '(?i)not found|404') THEN 404 ELSE 200 END) AS code FROM g4_registry_floor_audit WHERE declared_url IS NOT NULL GROUP BY 1)
+    SELECT a.url, a.n, CAST(r.code AS INTEGER) AS code, CASE WHEN r.code IS NULL THEN 'unknown_url' END AS error, CASE WHEN r.code = 200 THEN 'available' WHEN r.code = 404 THEN 'not_found' WHEN r.code = 500 THEN 'source_error' END AS status FROM asked a LEFT JOIN landed r ON a.url = r.url""")
 def replay_responses(spark, folder):
-    """Requests answered from frozen responses; the news pages were never landed."""
-    documents = read_table(spark, folder, "documents").select("url", "source").where("url IS NOT NULL")
-    code = F.when(F.length("url") % 3 == 0, 200).when(F.length("url") % 3 == 1, 404).otherwise(500)
-    responses = documents.where("source != 'news_rss'").select("url").distinct().withColumn("code", code)
-    out = relate.replayed(documents.groupBy("url").agg(F.count("*").alias("n")), responses, "url", "code")
+    """Requests answered from what an audit landed under each address; others are unknown. The status of a
+    landed page is that of its worst delivery."""
+    audit = read_table(spark, folder, "g4_registry_floor_audit")
+    asked = read_table(spark, folder, "recovery").select(F.col("website_url").alias("url")).unionByName(audit.select(F.col("declared_url").alias("url"))).where("url IS NOT NULL")
+    code = F.when(F.col("page_title").isNull(), 500).when(F.col("page_title").rlike("(?i)not found|404"), 404).otherwise(200)
+    responses = audit.where("declared_url IS NOT NULL").groupBy(F.col("declared_url").alias("url")).agg(F.max(code).alias("code"))
+    out = relate.replayed(asked.groupBy("url").agg(F.count("*").alias("n")), responses, "url", "code")
     return out.withColumn("status", F.when(F.col("code").isNotNull(), readers.statuses(out, "code")))
 
 
@@ -63,7 +66,8 @@ def redirect_chain_match(spark, folder):
     return rows.join(truth, "organisation_number", "left").groupBy(how.alias("how")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""SELECT DISTINCT brief_id, page_ord, coalesce(list_contains(ns, organisation_number), false) AS has_own, CAST(len(list_filter(ns, lambda x: organisation_number IS NULL OR x <> organisation_number)) AS INTEGER) AS others FROM
+    (SELECT brief_id, organisation_number, CAST(i - 1 AS INTEGER) AS page_ord, {numbers_sql('pages[i].html')} AS ns FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM briefs) WHERE pages[i].html IS NOT NULL)""")
 def page_numbers_vs_own(spark, folder):
     """For each page: whether it has the organisation's own number, and how many others."""
     rows = read_table(spark, folder, "briefs").select("brief_id", "organisation_number", F.posexplode("pages.html").alias("page_ord", "html")).where("html IS NOT NULL").distinct()

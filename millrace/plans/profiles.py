@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.functions.jsonx import json_read
 from millrace.functions.orgid import nine_digits
+from millrace.functions.urls import registered_domain
 from millrace.operators import aggregate, fuzzy, rank, shred
 from millrace.plans import answers
+from millrace.plans.textual import identity_sql, tokens_sql
 from millrace.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -148,16 +150,21 @@ def fuzzy_titles(spark, folder):
     return rank.best_unless_tied(scored, "organisation_number", "score", "audit_id").select("organisation_number", "audit_id", "score", "ambiguous")
 
 
+_DOMAIN_OF = "nullif(array_to_string(list_slice(string_split(regexp_replace(regexp_extract(lower({}), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', ''), '.'), -2, -1), '.'), '')"
 
 
-@query(f"""SELECT a.s_suppkey, CAST(round(4 * CASE WHEN a.s_name = b.s_name THEN 1.0 ELSE 0.0 END + CASE WHEN a.s_nationkey = b.s_nationkey THEN 2.0 ELSE 0 END + CASE WHEN b.s_acctbal > 0 THEN 3.0 ELSE 0 END + least(1.0, log10(greatest(1.0, coalesce(b.s_acctbal, 1.0))) / 5), 4) AS DOUBLE) AS score FROM supplier a JOIN supplier b USING (s_suppkey)""")
+@query(f"""WITH a AS (SELECT DISTINCT organisation_number, name, website_url FROM recovery WHERE organisation_number IS NOT NULL), b AS (SELECT organisation_number, page_title, final_url, count(*) AS seen FROM g4_registry_floor_audit WHERE organisation_number IS NOT NULL AND page_title IS NOT NULL GROUP BY 1, 2, 3),
+    t AS (SELECT organisation_number, name, page_title, final_url, seen, list_distinct({identity_sql('name')}) AS x, {tokens_sql('page_title')} AS y, {_DOMAIN_OF.format('website_url')} AS d, {_DOMAIN_OF.format('final_url')} AS e FROM a JOIN b USING (organisation_number))
+    SELECT organisation_number, name, page_title, final_url, CAST(max(round(4 * coalesce(CAST(len(list_filter(x, lambda w: list_contains(y, w))) AS DOUBLE) / nullif(len(x), 0), 0) + CASE WHEN d = e THEN 3.0 ELSE 0 END + least(1.0, log10(greatest(1.0, seen)) / 5), 4)) AS DOUBLE) AS score FROM t GROUP BY 1, 2, 3, 4""")
 def place_match(spark, folder):
-    """Candidate places scored over name share, agreeing channels and popularity."""
-    a = read_table(spark, folder, "supplier")
-    b = a.select("s_suppkey", F.col("s_name").alias("b_name"), F.col("s_nationkey").alias("b_nation"), F.col("s_acctbal").alias("b_popularity"))
-    share = F.when(F.col("s_name") == F.col("b_name"), 1.0).otherwise(0.0)
-    channels = {"nation": (2.0, F.col("s_nationkey") == F.col("b_nation")), "balance": (3.0, F.col("b_popularity") > 0)}
-    return a.join(b, "s_suppkey").select("s_suppkey", fuzzy.match_score(share, channels, F.col("b_popularity")).alias("score"))
+    """Landed pages as candidates for an organisation's site, scored over name share, domain and how often
+    they were seen; candidates and organisations are made distinct before they meet."""
+    a = read_table(spark, folder, "recovery").where("organisation_number IS NOT NULL").select("organisation_number", "name", "website_url").distinct()
+    b = read_table(spark, folder, "g4_registry_floor_audit").where("organisation_number IS NOT NULL AND page_title IS NOT NULL").groupBy("organisation_number", "page_title", "final_url").agg(F.count("*").alias("seen"))
+    share = text.token_overlap(text.identity_tokens(F.col("name")), text.fold_tokens(F.col("page_title")))
+    channels = {"domain": (3.0, registered_domain(F.col("website_url")) == registered_domain(F.col("final_url")))}
+    scored = a.join(b, "organisation_number").withColumn("score", fuzzy.match_score(share, channels, F.col("seen")))
+    return scored.groupBy("organisation_number", "name", "page_title", "final_url").agg(F.max("score").alias("score"))
 
 
 @query("""SELECT audit_id, slug FROM (SELECT DISTINCT audit_id, array_to_string(regexp_extract_all(regexp_replace(strip_accents(replace(replace(replace(lower(name), 'ø', 'o'), 'å', 'a'), 'æ', 'ae')), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), '-') AS slug FROM g4_registry_floor_audit WHERE name IS NOT NULL)""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, jsonx, markup, orgid, text, urls
-from millrace.operators import cascade, evidence
+from millrace.operators import cascade, evidence, identity
 from millrace.sources import readers
 from millrace.sources.tables import read_table
 
@@ -56,7 +56,15 @@ def orgnr_checksum(spark, folder):
     return numbers.select(value, orgid.digits_only(value).alias("digits"), orgid.has_valid_check_digit(value).alias("valid"))
 
 
-@query()
+def numbers_sql(x: str) -> str:
+    """Numbers with a valid check digit in a text, as ``orgid.numbers_in`` finds them in pages."""
+    found = f"list_transform(regexp_extract_all(' ' || regexp_replace(coalesce({x}, ''), '([0-9])([^0-9])', '\\1\\2\\2', 'g') || ' ', '[^0-9]([0-9]{{3}}[ .\u00a0]?[0-9]{{3}}[ .\u00a0]?[0-9]{{3}})[^0-9]', 1), lambda m: regexp_replace(m, '[^0-9]', '', 'g'))"
+    total = " + ".join(f"CAST(substr(m, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(orgid.WEIGHTS))
+    valid = f"CASE WHEN ({total}) % 11 = 0 THEN 0 ELSE 11 - ({total}) % 11 END = CAST(substr(m, 9, 1) AS INT)"
+    return f"list_distinct(list_filter({found}, lambda m: {valid}))"
+
+
+@query(f"SELECT brief_id, page_ord, unnest(ns) AS organisation_number FROM (SELECT DISTINCT brief_id, CAST(i - 1 AS INTEGER) AS page_ord, {numbers_sql('pages[i].html')} AS ns FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM briefs) WHERE pages[i].html IS NOT NULL)")
 def orgnr_extract(spark, folder):
     """Numbers with a valid check digit in the pages of briefs, by page."""
     pages = read_table(spark, folder, "briefs").select("brief_id", F.posexplode("pages.html").alias("page_ord", "html")).where("html IS NOT NULL").distinct()
@@ -205,17 +213,56 @@ def identity_cascade(spark, folder):
     return rows.select("audit_id", *cascade.first_rule(rules, "weak", 0.3))
 
 
-@query(f"""WITH q AS (SELECT DISTINCT audit_id, name, declared_url, final_url, page_title, rule_evidence FROM g4_registry_floor_audit), s AS (SELECT audit_id, least(1.0, CASE WHEN h IS NOT NULL AND h = g THEN 0.75 ELSE 0 END + CASE WHEN len(a) > 0 AND len(list_filter(a, lambda x: list_contains(t, x))) = len(a) THEN 0.45
-    WHEN len(a) > 0 AND len(list_filter(a, lambda x: list_contains(list_concat(t, e), x))) = len(a) THEN 0.25 ELSE 0 END) AS score FROM (SELECT audit_id, list_distinct({identity_sql('name')}) AS a, {tokens_sql("coalesce(page_title, '')")} AS t, {tokens_sql("coalesce(rule_evidence, '')")} AS e,
-    nullif(regexp_replace(regexp_extract(lower(declared_url), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', ''), '') AS h, nullif(regexp_replace(regexp_extract(lower(final_url), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', ''), '') AS g FROM q)) SELECT audit_id, CAST(score AS DOUBLE) AS score FROM s""")
+_LEGAL = "[" + ", ".join(f"'{w}'" for w in identity.LEGAL_WORDS) + "]"
+
+
+def core_sql(x: str, distinct: str = "list_distinct") -> str:
+    """As ``identity.core_tokens``; without ``distinct`` repeats stay, in order."""
+    return f"{distinct}(list_filter({tokens_sql(f'coalesce({x}, {chr(39) * 2})')}, lambda t: length(t) > 1 AND NOT list_contains({_LEGAL}, t)))"
+
+
+_FOREIGN = " OR ".join(f"(NOT list_contains(core, '{w}') AND contains(folded, '{w}'))" for w in identity.GROUP_WORDS)
+_PARKED = " OR ".join(f"contains(folded, '{w}')" for w in identity.PARKED)
+_HOST_OF = "nullif(regexp_replace(regexp_extract(lower({}), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', ''), '')"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT brief_id, name, organisation_number, pages[1].url AS url, pages[1].html AS html FROM briefs WHERE pages[1].html IS NOT NULL),
+    b AS (SELECT brief_id, name, regexp_replace(coalesce(organisation_number, ''), '[^0-9]', '', 'g') AS own, nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '') AS title, {_HOST_OF.format('url')} AS host, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS content, url IS NOT NULL AS registered FROM p),
+    e AS (SELECT *, concat_ws(' ', title, host) AS home, concat_ws(' ', title, host, content) AS everything FROM b),
+    s AS (SELECT * EXCLUDE (core), list_filter(core, lambda x, i: list_position(core, x) = i) AS core FROM (SELECT *, {core_sql('name', '')} AS core, {core_sql('everything')} AS words, {core_sql('title')} AS titled, {core_sql('title')} AS part1, {core_sql('host')} AS part2, {numbers_sql("home || ' ' || content")} AS at_home, {numbers_sql('everything')} AS numbers, {fold_sql('everything')} AS folded FROM e)),
+    f AS (SELECT *, len(core) AS n, len(list_filter(core, lambda t: list_contains(words, t))) AS shared, own <> '' AND list_contains(at_home, own) AS has_own, list_filter(at_home, lambda x: x <> own) AS others, list_filter(numbers, lambda x: x <> own) AS contradicting,
+    len(core) > 0 AND ((title IS NOT NULL AND len(list_filter(core, lambda t: NOT list_contains(part1, t))) = 0) OR (host IS NOT NULL AND len(list_filter(core, lambda t: NOT list_contains(part2, t))) = 0)) AS whole FROM s),
+    r AS (SELECT brief_id, CASE WHEN n > 0 AND len(list_filter(titled, lambda t: length(t) > 3 AND NOT list_contains(core, t))) > 0 AND len(list_filter(titled, lambda t: list_contains(core, t) OR contains(t, array_to_string(core, '')))) = 0 AND ({_FOREIGN}) THEN 'group_or_brand' WHEN {_PARKED} THEN 'parked'
+    WHEN has_own AND len(others) >= 3 THEN 'directory_with_own_number' WHEN len(contradicting) > 0 THEN 'contradicting_number' WHEN has_own THEN 'own_number' WHEN n >= 2 AND whole THEN 'whole_name' WHEN n = 1 AND whole AND length(content) >= 100 THEN 'single_name_with_content'
+    WHEN n = 1 AND whole AND registered AND len(others) = 0 THEN 'single_name_as_registered' WHEN 4 * shared >= 3 * n AND shared >= 2 THEN 'most_of_name' WHEN 2 * shared >= n AND shared >= 2 THEN 'half_of_name' ELSE 'weak' END AS rule FROM f)
+    SELECT brief_id, rule, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.9 THEN 'exact' WHEN score >= 0.8 THEN 'review' ELSE 'related_or_uncertain' END AS status FROM
+    (SELECT *, CASE rule {" ".join(f"WHEN '{name}' THEN {value}" for name, value in identity.RULES)} ELSE 0.3 END AS score FROM r)""")
+def website_identity(spark, folder):
+    """Whether the first page of each brief is the organisation's own: rule, score and status."""
+    first = F.try_element_at("pages", F.lit(1))
+    rows = read_table(spark, folder, "briefs").select("brief_id", "name", "organisation_number", first["url"].alias("url"), first["html"].alias("html")).where("html IS NOT NULL").distinct()
+    title, name_of_host = F.nullif(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit("")), urls.host(F.col("url"))
+    rows = rows.select("brief_id", "name", "organisation_number", title.alias("title"), name_of_host.alias("host"), text.squeezed(F.regexp_replace("html", "<[^>]*>", " ")).alias("content"), F.col("url").isNotNull().alias("registered"))
+    return identity.assess(rows, ["brief_id"], F.col("name"), F.col("organisation_number"), F.array("title", "host"), F.array("content"), F.col("title"), F.col("content"), F.lit(None).cast("array<string>"), F.col("registered"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT audit_id, organisation_number, name, final_url, page_title, rule_evidence FROM g4_registry_floor_audit), m AS (SELECT organisation_number, min(municipality) AS municipality FROM companies WHERE organisation_number IS NOT NULL GROUP BY 1),
+    t AS (SELECT * EXCLUDE (a), list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM (SELECT audit_id, {identity_sql('name')} AS a, {tokens_sql("coalesce(page_title, '')")} AS t, {tokens_sql("coalesce(rule_evidence, '')")} AS e, {tokens_sql("coalesce(" + _HOST_OF.format('final_url') + ", '')")} AS h, list_distinct({identity_sql("coalesce(municipality, '')")}) AS m,
+    coalesce(list_contains({numbers_sql("concat_ws(' ', page_title, rule_evidence)")}, organisation_number), false) AS own FROM q LEFT JOIN m USING (organisation_number)))
+    SELECT audit_id, CAST(round(least(1.0, CASE WHEN own THEN 0.75 ELSE 0 END + CASE WHEN len(a) > 0 AND len(list_filter(a, lambda x: list_contains(t, x))) = len(a) THEN 0.45 WHEN len(a) > 0 AND len(list_filter(a, lambda x: list_contains(list_concat(t, list_concat(e, h)), x))) = len(a) THEN 0.25 ELSE 0 END
+    + CASE WHEN len(a) > 0 AND contains(array_to_string(h, ''), array_to_string(a, '')) THEN 0.3 ELSE 0 END + CASE WHEN len(m) > 0 AND len(list_filter(m, lambda x: list_contains(e, x))) = len(m) THEN 0.1 ELSE 0 END), 4) AS DOUBLE) AS score FROM t""")
 def candidate_score(spark, folder):
-    """Additive score of a candidate page, capped at one."""
-    rows = read_table(spark, folder, "g4_registry_floor_audit").select("audit_id", "name", "declared_url", "final_url", "page_title", "rule_evidence").distinct()
-    names, title, proof = text.identity_tokens(F.col("name")), text.fold_tokens(F.col("page_title")), text.fold_tokens(F.col("rule_evidence"))
-    whole = lambda have: (F.size(names) > 0) & (F.size(F.array_intersect(names, have)) == F.size(names))
-    same = F.coalesce(urls.host(F.col("declared_url")) == urls.host(F.col("final_url")), F.lit(False))
-    parts = [F.when(same, 0.75).otherwise(0.0), F.when(whole(title), 0.45).when(whole(F.concat(title, proof)), 0.25).otherwise(0.0)]
-    return rows.select("audit_id", cascade.additive_score(parts).alias("score"))
+    """Additive score of a candidate page by number, name, host and municipality, capped at one."""
+    rows = read_table(spark, folder, "g4_registry_floor_audit").select("audit_id", "organisation_number", "name", "final_url", "page_title", "rule_evidence").distinct()
+    places = read_table(spark, folder, "companies").where("organisation_number IS NOT NULL").groupBy("organisation_number").agg(F.min("municipality").alias("municipality"))
+    rows = rows.join(places, "organisation_number", "left")
+    names, title, proof, host = text.identity_tokens(F.col("name")), text.fold_tokens(F.col("page_title")), text.fold_tokens(F.col("rule_evidence")), text.fold_tokens(urls.host(F.col("final_url")))
+    place = text.identity_tokens(F.col("municipality"))
+    whole = lambda tokens, have: (F.size(tokens) > 0) & (F.size(F.array_except(tokens, have)) == 0)
+    own = F.coalesce(F.array_contains(orgid.numbers_in(F.concat_ws(" ", "page_title", "rule_evidence")), F.col("organisation_number")), F.lit(False))
+    in_host = (F.size(names) > 0) & F.contains(F.array_join(host, ""), F.array_join(names, ""))
+    parts = [F.when(own, 0.75), F.when(whole(names, title), 0.45).when(whole(names, F.concat(title, proof, host)), 0.25), F.when(in_host, 0.3), F.when(whole(place, proof), 0.1)]
+    return rows.select("audit_id", F.round(cascade.additive_score(parts), 4).alias("score"))
 
 
 @query("""SELECT audit_id, rule FROM (SELECT audit_id, unnest(list_filter([CASE WHEN NOT coalesce(page_title <> '', false) THEN 'title' END, CASE WHEN NOT coalesce(declared_url <> '', false) THEN 'declared_url' END, CASE WHEN NOT coalesce(contains(rule_evidence, name), false) THEN 'name_in_evidence' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT DISTINCT * FROM g4_registry_floor_audit))""")
