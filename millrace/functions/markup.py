@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import spread
+
 #: Hosts of social platforms whose links are profiles.
 SOCIAL_HOSTS = ("facebook.com", "instagram.com", "linkedin.com", "x.com", "twitter.com", "youtube.com", "tiktok.com")
 #: JSON-LD types that describe an organisation.
@@ -112,7 +114,7 @@ def page_facts(pages: DataFrame, keys: dict[str, Column], html: Column, base: Co
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*names, "title", "description", "canonical", "links", "times", "organisations"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.select(*names).schema)
-    return picked.mapInArrow(run, schema + ", title string, description string, canonical string, links array<string>, times array<string>, organisations array<struct<name: string, url: string>>")
+    return spread(picked).mapInArrow(run, schema + ", title string, description string, canonical string, links array<string>, times array<string>, organisations array<struct<name: string, url: string>>")
 
 
 def social_links(links: Column, hosts: Sequence[str] = SOCIAL_HOSTS) -> Column:

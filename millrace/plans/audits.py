@@ -8,6 +8,7 @@ from millrace.functions import text, urls
 from millrace.functions.orgid import numbers_in
 from millrace.operators import aggregate, evidence, rank, relate
 from millrace.plans.textual import numbers_sql
+from millrace.session import spread
 from millrace.sources import readers
 from millrace.sources.tables import read_table
 
@@ -70,9 +71,9 @@ def redirect_chain_match(spark, folder):
     (SELECT brief_id, organisation_number, CAST(i - 1 AS INTEGER) AS page_ord, {numbers_sql('pages[i].html')} AS ns FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM briefs) WHERE pages[i].html IS NOT NULL)""")
 def page_numbers_vs_own(spark, folder):
     """For each page: whether it has the organisation's own number, and how many others."""
-    rows = read_table(spark, folder, "briefs").select("brief_id", "organisation_number", F.posexplode("pages.html").alias("page_ord", "html")).where("html IS NOT NULL").distinct()
+    rows = read_table(spark, folder, "briefs").select("brief_id", "organisation_number", F.posexplode("pages.html").alias("page_ord", "html")).where("html IS NOT NULL")
     found, own = numbers_in(F.col("html")), F.array(F.col("organisation_number"))
-    return rows.select("brief_id", "page_ord", F.coalesce(F.arrays_overlap(found, own), F.lit(False)).alias("has_own"), F.size(F.array_except(found, own)).alias("others"))
+    return spread(rows).select("brief_id", "page_ord", F.coalesce(F.arrays_overlap(found, own), F.lit(False)).alias("has_own"), F.size(F.array_except(found, own)).alias("others")).distinct()
 
 
 @query("""SELECT recovery_id, CAST(i - 1 AS INTEGER) AS item_ord, list_has_any(list_filter(string_split(regexp_extract(lower(u), '^[a-z][a-z0-9+.\\-]*://[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> ''), ['jobb', 'stilling', 'karriere']) OR regexp_matches(t, '^(les mer|hjem|meny)') AS noise FROM

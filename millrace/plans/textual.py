@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates, jsonx, markup, orgid, text, urls
 from millrace.operators import cascade, evidence, identity
+from millrace.session import spread
 from millrace.sources import readers
 from millrace.sources.tables import read_table
 
@@ -67,8 +68,8 @@ def numbers_sql(x: str) -> str:
 @query(f"SELECT brief_id, page_ord, unnest(ns) AS organisation_number FROM (SELECT DISTINCT brief_id, CAST(i - 1 AS INTEGER) AS page_ord, {numbers_sql('pages[i].html')} AS ns FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM briefs) WHERE pages[i].html IS NOT NULL)")
 def orgnr_extract(spark, folder):
     """Numbers with a valid check digit in the pages of briefs, by page."""
-    pages = read_table(spark, folder, "briefs").select("brief_id", F.posexplode("pages.html").alias("page_ord", "html")).where("html IS NOT NULL").distinct()
-    return pages.select("brief_id", "page_ord", F.explode(orgid.numbers_in(F.col("html"))).alias("organisation_number"))
+    pages = read_table(spark, folder, "briefs").select("brief_id", F.posexplode("pages.html").alias("page_ord", "html")).where("html IS NOT NULL")
+    return spread(pages).select("brief_id", "page_ord", F.explode(orgid.numbers_in(F.col("html"))).alias("organisation_number")).distinct()
 
 
 _HOMEPAGE = r"""CASE WHEN contains(trim(u), '.') AND NOT regexp_matches(trim(u), '\s') THEN CASE WHEN regexp_matches(trim(u), '(?i)^[a-z][a-z0-9+.\-]*://') THEN trim(u) ELSE 'https://' || regexp_replace(trim(u), '^/+', '') END END"""
@@ -240,10 +241,10 @@ _HOST_OF = "nullif(regexp_replace(regexp_extract(lower({}), '^[a-z]+://([^/?#:]+
 def website_identity(spark, folder):
     """Whether the first page of each brief is the organisation's own: rule, score and status."""
     first = F.try_element_at("pages", F.lit(1))
-    rows = read_table(spark, folder, "briefs").select("brief_id", "name", "organisation_number", first["url"].alias("url"), first["html"].alias("html")).where("html IS NOT NULL").distinct()
+    rows = read_table(spark, folder, "briefs").select("brief_id", "name", "organisation_number", first["url"].alias("url"), first["html"].alias("html")).where("html IS NOT NULL")
     title, name_of_host = F.nullif(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit("")), urls.host(F.col("url"))
-    rows = rows.select("brief_id", "name", "organisation_number", title.alias("title"), name_of_host.alias("host"), text.squeezed(F.regexp_replace("html", "<[^>]*>", " ")).alias("content"), F.col("url").isNotNull().alias("registered"))
-    return identity.assess(rows, ["brief_id"], F.col("name"), F.col("organisation_number"), F.array("title", "host"), F.array("content"), F.col("title"), F.col("content"), F.lit(None).cast("array<string>"), F.col("registered"))
+    rows = spread(rows).select("brief_id", "name", "organisation_number", title.alias("title"), name_of_host.alias("host"), text.squeezed(F.regexp_replace("html", "<[^>]*>", " ")).alias("content"), F.col("url").isNotNull().alias("registered"))
+    return identity.assess(rows, ["brief_id"], F.col("name"), F.col("organisation_number"), F.array("title", "host"), F.array("content"), F.col("title"), F.col("content"), F.lit(None).cast("array<string>"), F.col("registered")).distinct()
 
 
 @query(f"""WITH q AS (SELECT DISTINCT audit_id, organisation_number, name, final_url, page_title, rule_evidence FROM g4_registry_floor_audit), m AS (SELECT organisation_number, min(municipality) AS municipality FROM companies WHERE organisation_number IS NOT NULL GROUP BY 1),
@@ -309,16 +310,16 @@ _TITLE = "replace(replace(replace(regexp_extract(h, '(?is)<title>(.*?)</title>',
     (SELECT DISTINCT brief_id, i, pages[i].html AS h FROM (SELECT brief_id, pages, unnest(range(1, len(pages) + 1)) AS i FROM briefs)) WHERE h IS NOT NULL""")
 def html_metadata(spark, folder):
     """Title, description and number of links of each page, from one pass of a streaming parser."""
-    pages = read_table(spark, folder, "briefs").select("brief_id", F.posexplode("pages.html").alias("page_ord", "html")).where("html IS NOT NULL").distinct()
+    pages = read_table(spark, folder, "briefs").select("brief_id", F.posexplode("pages.html").alias("page_ord", "html")).where("html IS NOT NULL")
     facts = markup.page_facts(pages, {"brief_id": F.col("brief_id"), "page_ord": F.col("page_ord")}, F.col("html"))
-    return facts.select("brief_id", "page_ord", "title", "description", F.size("links").cast("bigint").alias("n_links"))
+    return facts.select("brief_id", "page_ord", "title", "description", F.size("links").cast("bigint").alias("n_links")).distinct()
 
 
 @query(r"""SELECT DISTINCT brief_id, page_ord, url, CASE WHEN url IS NULL THEN h ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || h END AS link, url IS NOT NULL AS internal FROM (SELECT brief_id, CAST(i - 1 AS INTEGER) AS page_ord, p.url AS url,
     unnest(regexp_extract_all(regexp_replace(p.html, '(?s)<!--.*?-->', '', 'g'), '(?i)<a\s[^>]*?href=["'']([^"'']*)["'']', 1)) AS h FROM (SELECT brief_id, i, pages[i] AS p FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM briefs)))""")
 def html_links(spark, folder):
     """Links of every page, resolved against its URL, with whether they stay on its host."""
-    pages = read_table(spark, folder, "briefs").select("brief_id", F.posexplode("pages").alias("page_ord", "p")).where("p.html IS NOT NULL").select("brief_id", "page_ord", "p.url", "p.html").distinct()
+    pages = read_table(spark, folder, "briefs").select("brief_id", F.posexplode("pages").alias("page_ord", "p")).where("p.html IS NOT NULL").select("brief_id", "page_ord", "p.url", "p.html")
     facts = markup.page_facts(pages, {"brief_id": F.col("brief_id"), "page_ord": F.col("page_ord"), "url": F.col("url")}, F.col("html"), F.col("url"))
     links = facts.select("brief_id", "page_ord", "url", F.explode("links").alias("link")).distinct()
     return links.withColumn("internal", F.coalesce(urls.host(F.col("link")) == urls.host(F.col("url")), F.lit(False)))
@@ -327,6 +328,6 @@ def html_links(spark, folder):
 @query(r"""SELECT snippet_id, json_extract_string(j, '$.name') AS name, json_extract_string(j, '$.url') AS url FROM (SELECT DISTINCT snippet_id, unnest(regexp_extract_all(html, '(?s)<script type=[''"]application/ld\+json[''"]>(.*?)</script>', 1)) AS j FROM (SELECT DISTINCT snippet_id, html FROM snippets)) WHERE json_valid(j) AND json_extract_string(j, '$."@type"') = 'Organization'""")
 def jsonld_organisations(spark, folder):
     """Organisations that pages describe in JSON-LD."""
-    pages = read_table(spark, folder, "snippets").select("snippet_id", "html").where("html IS NOT NULL").distinct()
+    pages = read_table(spark, folder, "snippets").select("snippet_id", "html").where("html IS NOT NULL")
     facts = markup.page_facts(pages, {"snippet_id": F.col("snippet_id")}, F.col("html"))
-    return facts.select("snippet_id", F.explode("organisations").alias("o")).select("snippet_id", "o.name", "o.url")
+    return facts.select("snippet_id", F.explode("organisations").alias("o")).select("snippet_id", "o.name", "o.url").distinct()
