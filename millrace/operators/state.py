@@ -61,3 +61,27 @@ def freshness(written_at: Column, as_of: Column, warn_days: int = 7, stale_days:
     """``fresh``, ``warn``, ``stale``, or ``unusable`` for a null or future time."""
     days = F.datediff(as_of, written_at)
     return F.when(written_at.isNull() | (days < 0), "unusable").when(days > stale_days, "stale").when(days > warn_days, "warn").otherwise("fresh")
+
+
+def merged_fields(profiles: DataFrame, events: DataFrame, key: str, at: str, fields: Sequence[str]) -> DataFrame:
+    """``profiles`` (one row a key) with each of ``fields`` from the latest event that has it: a null in a later
+    event takes nothing away, and a field without events stays. Of events at one time the larger value counts.
+    Keys that only events have become rows. Events fold map-side, whatever their number."""
+    order = lambda f: F.struct(F.col(at), F.col(f))
+    latest = events.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(F.when(F.col(f).isNotNull(), order(f)))[f].alias(f"__{f}") for f in fields], F.count("*").alias("n_events"))
+    joined = profiles.where(F.col(key).isNotNull()).join(latest, key, "full_outer")
+    others = [c for c in profiles.columns if c != key and c not in fields]
+    return joined.select(key, *[F.coalesce(F.col(f"__{f}"), F.col(f)).alias(f) for f in fields], *others, F.coalesce("n_events", F.lit(0)).alias("n_events"))
+
+
+def after_cursor(events: DataFrame, cursor: DataFrame, key: str, at: str) -> DataFrame:
+    """Events newer than their key's ``cursor`` (a table ``key, at``, one row a key); of a key without a cursor,
+    or with a null one, all. Events without a time are never new."""
+    marks = cursor.select(key, F.col(at).alias("__mark"))
+    joined = events.where(F.col(at).isNotNull()).join(marks, key, "left")
+    return joined.where(F.col("__mark").isNull() | (F.col(at) > F.col("__mark"))).drop("__mark")
+
+
+def advanced(cursor: DataFrame, events: DataFrame, key: str, at: str) -> DataFrame:
+    """The cursor after ``events`` were taken: the latest time of each key in either."""
+    return cursor.select(key, at).unionByName(events.select(key, at)).where(F.col(key).isNotNull()).groupBy(key).agg(F.max(at).alias(at))

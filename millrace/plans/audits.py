@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text, urls
 from millrace.functions.orgid import numbers_in
-from millrace.operators import aggregate, evidence, rank, relate
+from millrace.operators import aggregate, evidence, rank, relate, state
 from millrace.plans.textual import numbers_sql
 from millrace.session import spread
 from millrace.sources import readers
@@ -141,3 +141,22 @@ def sole_value_or_abstain(spark, folder):
     lists = rows.groupBy("organisation_number").agg(F.collect_list("source_class").alias("v"))  # at most one of each class
     priorities = F.transform("v", lambda c: F.when(c == "company_owned", 1).otherwise(2))
     return lists.withColumn("p", priorities).select("organisation_number", evidence.sole_value(F.col("v"), F.col("p")).alias("value"))
+
+
+@query("""WITH p AS (SELECT organisation_number AS o, min(name) AS name, min(website_url) AS url FROM recovery WHERE organisation_number IS NOT NULL GROUP BY 1), e AS (SELECT organisation_number AS o, arg_max(page_title, (audit_id, page_title)) FILTER (page_title IS NOT NULL) AS name, arg_max(final_url, (audit_id, final_url)) FILTER (final_url IS NOT NULL) AS url, count(*) AS n
+    FROM (SELECT DISTINCT * FROM g4_registry_floor_audit) WHERE organisation_number IS NOT NULL GROUP BY 1) SELECT coalesce(p.o, e.o) AS organisation_number, coalesce(e.name, p.name) AS name, coalesce(e.url, p.url) AS url, coalesce(e.n, 0) AS n_events FROM p FULL JOIN e ON p.o = e.o""")
+def crawl_event_merge(spark, folder):
+    """Profiles with the latest title and address that crawl events brought; nulls take nothing away."""
+    profiles = read_table(spark, folder, "recovery").where("organisation_number IS NOT NULL").groupBy("organisation_number").agg(F.min("name").alias("name"), F.min("website_url").alias("url"))
+    events = read_table(spark, folder, "g4_registry_floor_audit").distinct().select("organisation_number", "audit_id", F.col("page_title").alias("name"), F.col("final_url").alias("url"))
+    return state.merged_fields(profiles, events, "organisation_number", "audit_id", ["name", "url"])
+
+
+@query("""WITH c AS (SELECT user_id, max(ts) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1) SELECT e.user_id, count(*) AS n_new, max(e.ts) AS cursor FROM events e LEFT JOIN c USING (user_id) WHERE e.ts IS NOT NULL AND (mark IS NULL OR e.ts > mark) GROUP BY 1""")
+def cursor_resume(spark, folder):
+    """A feed resumed from each user's cursor: what is new, and where the cursor stands then."""
+    rows = read_table(spark, folder, "events").select("user_id", "ts")
+    cursor = rows.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")).groupBy("user_id").agg(F.max("ts").alias("ts"))
+    new = state.after_cursor(rows, cursor, "user_id", "ts")
+    counts = new.groupBy("user_id").agg(F.count("*").alias("n_new"))
+    return counts.join(state.advanced(cursor, new, "user_id", "ts"), "user_id").withColumnRenamed("ts", "cursor")

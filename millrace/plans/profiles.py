@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.functions.jsonx import json_read
 from millrace.functions.orgid import nine_digits
-from millrace.functions.urls import registered_domain
-from millrace.operators import aggregate, fuzzy, rank, shred
+from millrace.functions.urls import host, registered_domain
+from millrace.operators import aggregate, classify, discovery, fuzzy, rank, shred
 from millrace.plans import answers
 from millrace.plans.textual import identity_sql, tokens_sql
 from millrace.sources.tables import read_table
@@ -170,3 +170,47 @@ def place_match(spark, folder):
 @query("""SELECT audit_id, slug FROM (SELECT DISTINCT audit_id, array_to_string(regexp_extract_all(regexp_replace(strip_accents(replace(replace(replace(lower(name), 'ø', 'o'), 'å', 'a'), 'æ', 'ae')), '[^\\x00-\\x7F]', '', 'g'), '[a-z0-9]+'), '-') AS slug FROM g4_registry_floor_audit WHERE name IS NOT NULL)""")
 def directory_slugs(spark, folder):
     return read_table(spark, folder, "g4_registry_floor_audit").where("name IS NOT NULL").select("audit_id", text.slug(F.col("name")).alias("slug")).distinct()
+
+
+_HOST_SQL = "nullif(regexp_replace(regexp_extract(lower({}), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', ''), '')"
+_SLUG = "array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '-')"
+
+
+@query(f"""WITH e AS (SELECT organisation_number AS o, min(name) AS name, min(website_url) AS url FROM recovery WHERE organisation_number IS NOT NULL GROUP BY 1), d AS (SELECT organisation_number AS o, min(declared_url) AS declared FROM g4_registry_floor_audit WHERE organisation_number IS NOT NULL GROUP BY 1),
+    s AS (SELECT o, name, url, declared, CASE WHEN len(t) > 0 THEN 'https://' || {_SLUG} || '.example/' END AS derived FROM (SELECT *, {identity_sql('name')} AS t FROM e LEFT JOIN d USING (o))),
+    c AS (SELECT o, name, u.source, u.place, u.url, {_HOST_SQL.format('u.url')} AS host FROM (SELECT o, name, unnest([{{'source': 'registry', 'place': 0, 'url': url}}, {{'source': 'audit', 'place': 1, 'url': declared}}, {{'source': 'name', 'place': 2, 'url': derived}}]) AS u FROM s)),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') ORDER BY place, url) AS r FROM c WHERE host IS NOT NULL) WHERE r = 1),
+    p AS (SELECT host, max(title) AS title FROM (SELECT {_HOST_SQL.format('p.url')} AS host, nullif(regexp_extract(p.html, '(?is)<title>(.*?)</title>', 1), '') AS title FROM (SELECT unnest(pages) AS p FROM briefs) WHERE p.html IS NOT NULL) WHERE host IS NOT NULL GROUP BY 1),
+    j AS (SELECT o, source, place, url, CASE WHEN k.host = 'news.example' OR ends_with(k.host, '.news.example') THEN 'blocked' WHEN p.host IS NULL THEN 'failed' WHEN coalesce(len(a) > 0 AND len(list_filter(a, lambda x: list_contains({tokens_sql("coalesce(title, '')")}, x))) = len(a), false) THEN 'available' ELSE 'ambiguous' END AS state
+    FROM (SELECT *, list_distinct({identity_sql('name')}) AS a FROM k) k LEFT JOIN p ON p.host = k.host),
+    f AS (SELECT o, count(*) AS n, list(state) AS s, arg_min(source, place) FILTER (state = 'available') AS source, arg_min(url, place) FILTER (state = 'available') AS url, bool_or(source = 'registry' AND state = 'failed') AS strong FROM j GROUP BY 1)
+    SELECT e.o AS organisation_number, CASE WHEN f.source IS NOT NULL THEN 'available' WHEN n IS NULL THEN 'not_available' WHEN list_contains(s, 'failed') AND strong THEN 'failed' WHEN list_contains(s, 'failed') AND len(list_filter(s, lambda x: x <> 'failed')) = 0 THEN 'not_available' WHEN list_contains(s, 'ambiguous') THEN 'ambiguous'
+    WHEN list_contains(s, 'blocked') AND len(list_filter(s, lambda x: x <> 'blocked')) = 0 THEN 'blocked' WHEN list_contains(s, 'failed') THEN 'not_available' ELSE 'ambiguous' END AS state, f.source, f.url, coalesce(n, 0) AS n_candidates FROM e LEFT JOIN f ON f.o = e.o""")
+def discovery_states(spark, folder):
+    """Candidate addresses of each organisation against the pages that landed, and the state that follows."""
+    present = lambda table: read_table(spark, folder, table).where("organisation_number IS NOT NULL")
+    entities = present("recovery").groupBy("organisation_number").agg(F.min("name").alias("name"), F.min("website_url").alias("listed"))
+    entities = entities.join(present("g4_registry_floor_audit").groupBy("organisation_number").agg(F.min("declared_url").alias("declared")), "organisation_number", "left")
+    tokens = text.identity_tokens(F.col("name"))
+    derived = F.when(F.size(tokens) > 0, F.concat(F.lit("https://"), F.array_join(tokens, "-"), F.lit(".example/")))
+    found = discovery.candidates(entities, "organisation_number", [("registry", F.col("listed")), ("audit", F.col("declared")), ("name", derived)])
+    title = F.nullif(F.regexp_extract("p.html", "(?is)<title>(.*?)</title>", 1), F.lit(""))
+    landed = read_table(spark, folder, "briefs").select(F.explode("pages").alias("p")).where("p.html IS NOT NULL").select(host(F.col("p.url")).alias("host"), title.alias("title"))
+    pages = landed.where("host IS NOT NULL").groupBy("host").agg(F.max("title").alias("title"))
+    named = found.join(entities.select("organisation_number", "name"), "organisation_number")
+    own = text.identity_tokens(F.col("name"))
+    gate = (F.size(own) > 0) & (F.size(F.array_except(own, text.fold_tokens(F.col("title")))) == 0)
+    return discovery.entity_results(entities, "organisation_number", discovery.judged(named, pages, gate, ["news.example"]), "registry")
+
+
+_LABEL_WORDS = {"other": frozenset(), "trade": frozenset({"bygg", "rør", "maskin", "elektro", "verksted", "mek"}), "food": frozenset({"mat", "fisk", "brød", "kaffe"}), "office": frozenset({"data", "design", "invest", "eiendom"})}
+
+
+@query("""SELECT label, count(*) AS n, CAST(round(sum(CAST(round(s / (s + other), 6) AS DECIMAL(18,6))), 4) AS DOUBLE) AS confidence FROM (SELECT name, CASE WHEN 0.5 >= greatest(a, b, c) THEN 'other' WHEN a >= greatest(b, c) THEN 'trade' WHEN b >= c THEN 'food' ELSE 'office' END AS label, greatest(0.5, a, b, c) AS s, 0.5 + a + b + c - greatest(0.5, a, b, c) AS other FROM
+    (SELECT name, len(list_filter(w, lambda x: x IN ('bygg', 'rør', 'maskin', 'elektro', 'verksted', 'mek'))) AS a, len(list_filter(w, lambda x: x IN ('mat', 'fisk', 'brød', 'kaffe'))) AS b, len(list_filter(w, lambda x: x IN ('data', 'design', 'invest', 'eiendom'))) AS c FROM
+    (SELECT name, regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+') AS w FROM (SELECT DISTINCT name FROM g4_registry_floor_audit WHERE name IS NOT NULL)))) GROUP BY 1""")
+def classified_names(spark, folder):
+    """Trades of company names from an injected classifier, counted."""
+    names = read_table(spark, folder, "g4_registry_floor_audit").select("name").where("name IS NOT NULL").distinct()
+    rows = classify.classified(names, {"name": F.col("name")}, F.col("name"), classify.WordClassifier(_LABEL_WORDS))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("confidence").cast("decimal(18,6)")), 4).cast("double").alias("confidence"))
