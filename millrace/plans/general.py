@@ -117,6 +117,39 @@ _FOLD = "lower(nfc_normalize(trim(regexp_replace(coalesce({}, ''), '[\\s\\p{{Z}}
 _CONTENT = " || chr(31) || ".join([_FOLD.format(c) for c in TRACKED_TEXTS] + [f"coalesce(CAST({c} AS VARCHAR), '')" for c in TRACKED_OTHERS])
 
 
+def _instants_sql() -> str:
+    """The usable timestamps of both tables: five written forms and digits only, each read by one pattern."""
+    months = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in instants.MONTHS.items()) + "}"
+    abbreviations = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in instants.ABBREVIATIONS.items()) + "}"
+    rest = r"( ?[a-z]+)?(?: ?([-+]\d{2}:?(?:\d{2})?))?((?: \[?|\[)[a-z]+/[a-z_]+\]?)?$"
+    names = ["h", "mi", "s", "f", "x", "o", "z"]
+    forms = {  # the pattern, and for each of its groups the part of a timestamp it holds
+        "iso": (r"^\d{4}-\d{2}-\d{2}(?:[t ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?" + rest[:-1] + r")?$", names),
+        "packed": (r"^(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(\d{2})(z)$", ["y", "mo", "d", "h", "mi", "s", "x"]),
+        "day_first": (r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})(?:(?:,| kl\.?)? (\d{1,2})[.:](\d{2})( ?[a-z]+)?)?$", ["d", "mo", "y", "h", "mi", "x"]),
+        "worded": (r"^(?:\p{L}+[.:,]? )?(\d{1,2})\.? (\p{L}+)\.? (\d{4})(?: (?:kl\.? )?(\d{2}):(\d{2})(?::(\d{2}))?( ?[a-z]+)?(?: ?([-+]\d{4}))?)?$", ["d", "w", "y", "h", "mi", "s", "x", "o"]),
+        "month_first": (r"^(\p{L}+) (\d{1,2}), (\d{4})(?: (\d{1,2}):(\d{2}) ([ap]m)( ?[a-z]+)?)?$", ["w", "d", "y", "h", "mi", "half", "x"]),
+    }
+    every = ["y", "mo", "d", *names, "w", "half"]
+    placed = {"y": "substr(v, 1, 4)", "mo": "substr(v, 6, 2)", "d": "substr(v, 9, 2)"}  # of the first form
+    cases = []
+    for name, (pattern, groups) in forms.items():
+        fields = ", ".join(f"'{g}': " + (f"nullif(trim(regexp_extract(v, '{pattern}', {groups.index(g) + 1})), '')" if g in groups else placed[g] if name == "iso" and g in placed else "NULL::VARCHAR") for g in every)
+        cases.append(f"WHEN regexp_matches(v, '{pattern}') THEN {{{fields}}}")
+    number = lambda c: f"CAST(p.{c} AS BIGINT)"
+    return f"""WITH r AS (SELECT 'recovery' AS source_table, CAST(recovery_id AS VARCHAR) AS record_key, CAST(i - 1 AS INTEGER) AS item_ord, activity.items[i].date AS raw, 'Europe/Oslo' AS zone FROM (SELECT *, unnest(range(1, len(activity.items) + 1)) AS i FROM recovery)
+        UNION SELECT 'sentiment_inference_smoke', id, 0, retrieved_at, 'UTC' FROM sentiment_inference_smoke),
+        v AS (SELECT source_table, record_key, item_ord, zone, lower(trim(regexp_replace(raw, '[\\s\\p{{Z}}]+', ' ', 'g'))) AS v FROM r WHERE raw IS NOT NULL),
+        p AS (SELECT *, CASE {" ".join(cases)} END AS p FROM v WHERE NOT regexp_full_match(v, '[0-9]*')),
+        q AS (SELECT *, TRY_CAST(p.y || '-' || lpad(coalesce(p.mo, CAST({months}[p.w] AS VARCHAR)), 2, '0') || '-' || lpad(p.d, 2, '0') AS DATE) AS day, p.h IS NOT NULL AS timed, CASE p.half WHEN 'am' THEN {number('h')} % 12 WHEN 'pm' THEN {number('h')} % 12 + 12 ELSE {number('h')} END AS hour, {number('mi')} AS minute, coalesce({number('s')}, 0) AS second,
+        CASE WHEN p.o IS NOT NULL THEN (CASE WHEN p.o[1] = '-' THEN -1 ELSE 1 END) * (CAST(p.o[2:3] AS BIGINT) * 60 + coalesce(TRY_CAST(nullif(regexp_replace(p.o[4:], ':', ''), '') AS BIGINT), 0)) ELSE {abbreviations}[p.x] END AS shift, coalesce(regexp_extract(p.z, '[a-z]+/[a-z_]+'), zone) AS tz FROM p WHERE p IS NOT NULL),
+        t AS (SELECT *, day + to_hours(hour) + to_minutes(minute) + to_seconds(second) AS local FROM q WHERE day IS NOT NULL AND timed AND hour < 24 AND minute < 60 AND second < 60 AND (p.half IS NULL OR {number('h')} BETWEEN 1 AND 12) AND (p.x IS NULL OR {abbreviations}[p.x] IS NOT NULL)),
+        u AS (SELECT *, CASE WHEN shift IS NOT NULL THEN local - to_minutes(shift) ELSE timezone('UTC', CASE WHEN timezone(tz, timezone(tz, local) - INTERVAL 1 HOUR) = local THEN timezone(tz, local) - INTERVAL 1 HOUR ELSE timezone(tz, local) END) END AS utc FROM t)
+        SELECT source_table, record_key, item_ord, strftime(day, '%Y-%m-%d') AS normal_form FROM q WHERE day IS NOT NULL AND NOT timed
+        UNION SELECT source_table, record_key, item_ord, strftime(utc, '%Y-%m-%dT%H:%M:%S.') || rpad(coalesce(p.f, '')[1:6], 6, '0') || 'Z' FROM u
+        UNION SELECT source_table, record_key, item_ord, strftime(make_timestamp(CAST(v AS BIGINT) * CASE WHEN length(v) <= 11 THEN 1000000 WHEN length(v) <= 14 THEN 1000 ELSE 1 END), '%Y-%m-%dT%H:%M:%S.%fZ') FROM v WHERE regexp_full_match(v, '[0-9]{{1,17}}')"""
+
+
 def _adjacency_sql() -> str:
     """Nodes of the nested columns, kind by kind: records, structs, their scalars, lists, elements, and the elements' scalars."""
     structs = {"activity": ("status",), "brief": ("status", "summary"), "hiring": ("status", "careers_page_found", "checked")}
@@ -137,6 +170,7 @@ def _adjacency_sql() -> str:
 
 
 ORACLE = {
+    "p3_found": _instants_sql(),
     "p1_adjacency": _adjacency_sql(),
     "p1_entities": f"""SELECT DISTINCT CAST(recovery_id AS VARCHAR) AS record_key, 'brief.parts[' || (i - 1) || ']' AS child_path, '$' AS parent_path, {", ".join(f"e.{c} AS {c}" for c in PARTS)}
         FROM (SELECT recovery_id, i, brief.parts[i] AS e FROM (SELECT *, unnest(range(1, len(brief.parts) + 1)) AS i FROM recovery)) WHERE e IS NOT NULL""",
