@@ -150,6 +150,30 @@ def _instants_sql() -> str:
         UNION SELECT source_table, record_key, item_ord, strftime(make_timestamp(CAST(v AS BIGINT) * CASE WHEN length(v) <= 11 THEN 1000000 WHEN length(v) <= 14 THEN 1000 ELSE 1 END), '%Y-%m-%dT%H:%M:%S.%fZ') FROM v WHERE regexp_full_match(v, '[0-9]{{1,17}}')"""
 
 
+def _changes_sql(versions: str) -> str:
+    """Changes between consecutive snapshots of ``versions(o, d, content)``."""
+    return f"""WITH {versions}, s AS (SELECT d, lag(d) OVER (ORDER BY d) AS before FROM (SELECT DISTINCT d FROM v)), a AS (SELECT o, v.d, content FROM v JOIN s ON v.d = s.d WHERE before IS NOT NULL), b AS (SELECT o, s.d, content FROM v JOIN s ON v.d = s.before)
+        SELECT coalesce(a.o, b.o) AS organisation_number, strftime(coalesce(a.d, b.d), '%Y-%m-%d') AS snapshot_date, CASE WHEN b.o IS NULL THEN 'added' WHEN a.o IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+        FROM a FULL JOIN b ON a.o = b.o AND a.d = b.d WHERE a.content IS DISTINCT FROM b.content"""
+
+
+def _envelopes_sql() -> str:
+    """Envelopes by the sorted paths and values of their leaves: positions are dropped, numbers read, arrays in
+    texts opened, volatile keys left out at any depth."""
+    leaf = "(t.type NOT IN ('OBJECT', 'ARRAY') OR CAST(t.value AS VARCHAR) IN ('{}', '[]'))"
+    path = "regexp_replace(t.fullkey, '\\[\\d+\\]', '[]', 'g')"
+    value = "CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(t.value AS DOUBLE) AS VARCHAR) WHEN t.type = 'VARCHAR' THEN 's' || json_extract_string(t.value, '$') ELSE CAST(t.value AS VARCHAR) END"
+    opened = "t.type = 'VARCHAR' AND json_extract_string(t.value, '$') LIKE '[%]' AND json_valid(json_extract_string(t.value, '$'))"
+    volatile = "|".join(VOLATILE)
+    return f"""e AS (SELECT DISTINCT row_id, organisation_number, snapshot_date, updated_at, latest_envelope FROM companies), l AS (SELECT row_id, {path} AS k, {value} AS x, {opened} AS opened, t.value AS raw FROM e, json_tree(e.latest_envelope) t WHERE {leaf}),
+        m AS (SELECT row_id, k, x FROM l WHERE NOT opened UNION ALL SELECT row_id, l.k || substr({path}, 2), {value} FROM l, json_tree(json_extract_string(l.raw, '$')) t WHERE l.opened AND {leaf}),
+        c AS (SELECT row_id, md5(string_agg(k || '=' || x, chr(10) ORDER BY k, x)) AS content FROM m WHERE NOT regexp_matches(k, '\\."?({volatile})"?([.\\[]|$)') GROUP BY 1),
+        v AS (SELECT o, snapshot_date AS d, arg_max(content, updated_at) AS content FROM (SELECT {_KEY} AS o, snapshot_date, updated_at, content FROM e LEFT JOIN c USING (row_id)) WHERE o IS NOT NULL AND snapshot_date IS NOT NULL GROUP BY 1, 2)"""
+
+
+_ENTRIES_SQL = f"v AS (SELECT o, snapshot_date AS d, arg_max(content, loaded_at) AS content FROM (SELECT {_KEY} AS o, snapshot_date, loaded_at, {_CONTENT} AS content FROM entry_companies) WHERE o IS NOT NULL AND snapshot_date IS NOT NULL GROUP BY 1, 2)"
+
+
 def _adjacency_sql() -> str:
     """Nodes of the nested columns, kind by kind: records, structs, their scalars, lists, elements, and the elements' scalars."""
     structs = {"activity": ("status",), "brief": ("status", "summary"), "hiring": ("status", "careers_page_found", "checked")}
@@ -176,8 +200,7 @@ ORACLE = {
         FROM (SELECT recovery_id, i, brief.parts[i] AS e FROM (SELECT *, unnest(range(1, len(brief.parts) + 1)) AS i FROM recovery)) WHERE e IS NOT NULL""",
     "p1_activity_items": """SELECT DISTINCT recovery_id, CAST(i - 1 AS INTEGER) AS item_ord, items[i].title AS title, items[i].date AS date, items[i].url AS url, items[i].claim_span AS claim_span, items[i].source_class AS source_class
         FROM (SELECT recovery_id, activity.items AS items, unnest(range(1, len(activity.items) + 1)) AS i FROM recovery) WHERE items[i] IS NOT NULL""",
-    "p2_entry_changes": f"""WITH v AS (SELECT o, snapshot_date AS d, arg_max(content, loaded_at) AS content FROM (SELECT {_KEY} AS o, snapshot_date, loaded_at, {_CONTENT} AS content FROM entry_companies) WHERE o IS NOT NULL AND snapshot_date IS NOT NULL GROUP BY 1, 2),
-        s AS (SELECT d, lag(d) OVER (ORDER BY d) AS before FROM (SELECT DISTINCT d FROM v)), a AS (SELECT o, v.d, content FROM v JOIN s ON v.d = s.d WHERE before IS NOT NULL), b AS (SELECT o, s.d, content FROM v JOIN s ON v.d = s.before)
-        SELECT coalesce(a.o, b.o) AS organisation_number, strftime(coalesce(a.d, b.d), '%Y-%m-%d') AS snapshot_date, CASE WHEN b.o IS NULL THEN 'added' WHEN a.o IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
-        FROM a FULL JOIN b ON a.o = b.o AND a.d = b.d WHERE a.content IS DISTINCT FROM b.content""",
+    "p2_entry_changes": _changes_sql(_ENTRIES_SQL),
+    "p2_envelope_changes": _changes_sql(_envelopes_sql()),
+    "p2_found": f"SELECT 'entry_companies' AS source_table, * FROM ({_changes_sql(_ENTRIES_SQL)}) UNION ALL SELECT 'companies', * FROM ({_changes_sql(_envelopes_sql())})",
 }
