@@ -56,6 +56,18 @@ def claim_coverage(spark, folder):
     return rows.select("row_id", F.size("c").alias("n_claims"), F.size(F.filter("c", lambda x: x["availability"] == "available")).alias("n_available"))
 
 
+@query(f"""WITH c AS (SELECT row_id, unnest(json_transform(json_extract(latest_envelope, '$.claims'), '[{{"field": "VARCHAR", "evidence_ids": ["VARCHAR"]}}]'), recursive := true) FROM {_ROWS}),
+    e AS (SELECT row_id, unnest(json_transform(json_extract(latest_envelope, '$.evidence'), '[{{"id": "VARCHAR"}}]'), recursive := true) FROM {_ROWS}), r AS (SELECT DISTINCT row_id, field, unnest(evidence_ids) AS id FROM c)
+    SELECT field, count(*) AS n_references, count(*) FILTER (EXISTS (SELECT 1 FROM e WHERE e.row_id = r.row_id AND e.id = r.id)) AS n_found FROM r GROUP BY 1""")
+def evidence_references(spark, folder):
+    """References of claims to evidence by field, and how many of them the envelope holds."""
+    claims = F.from_json(F.get_json_object("latest_envelope", "$.claims"), "array<struct<field: string, evidence_ids: array<string>>>")
+    have = F.from_json(F.get_json_object("latest_envelope", "$.evidence"), "array<struct<id: string>>")
+    rows = _envelopes(spark, folder).select("row_id", F.explode(claims).alias("c"), F.coalesce(have["id"], F.array().cast("array<string>")).alias("ids"))
+    references = rows.select("row_id", "c.field", "ids", F.explode("c.evidence_ids").alias("id")).distinct()
+    return references.groupBy("field").agg(F.count("*").alias("n_references"), F.count_if(F.array_contains("ids", F.col("id"))).alias("n_found"))
+
+
 @query(f"""WITH c AS (SELECT row_id, unnest(json_transform(json_extract(latest_envelope, '$.claims'), '[{{"field": "VARCHAR", "evidence_ids": ["VARCHAR"]}}]'), recursive := true) FROM {_ROWS}),
     e AS (SELECT row_id, unnest(json_transform(json_extract(latest_envelope, '$.evidence'), '[{{"id": "VARCHAR"}}]'), recursive := true) FROM {_ROWS}), r AS (SELECT DISTINCT row_id, field, unnest(evidence_ids) AS id FROM c)
     SELECT row_id, field, id FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.row_id = r.row_id AND e.id = r.id)""")

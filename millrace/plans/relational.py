@@ -65,10 +65,10 @@ def screen_filters_all_ops(spark, folder):
     return _screen(spark, folder, "Profitable companies with legal form is BUILDING and employees <= 20 and at least 2 active jobs that have a website where industry contains 'Customer'")
 
 
-@query(_FACTS + """SELECT c_custkey, active_jobs, n_name AS job_location, revenue IS NOT NULL AS financials, 'external,financials' AS citations FROM facts WHERE active_jobs > 0 AND contains(lower(n_name), 'united') AND revenue IS NOT NULL""")
+@query(_FACTS + """SELECT c_custkey, active_jobs, n_name AS job_location, revenue IS NOT NULL AS financials, 'external,financials' AS citations FROM facts WHERE active_jobs > 0 AND contains(lower(n_name), 'nation_1') AND revenue IS NOT NULL""")
 def screen_jobs_in_place(spark, folder):
     """A place in a question about jobs is where the jobs are; accounts are asked for as available."""
-    return _screen(spark, folder, "hiring companies in United with annual accounts")
+    return _screen(spark, folder, "hiring companies in NATION_1 with annual accounts")
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS c_custkey, CAST(NULL AS BIGINT) AS employees, '' AS citations WHERE false")

@@ -228,7 +228,7 @@ _HOST_OF = "nullif(regexp_replace(regexp_extract(lower({}), '^[a-z]+://([^/?#:]+
 
 
 @query(f"""WITH p AS (SELECT DISTINCT brief_id, name, organisation_number, pages[1].url AS url, pages[1].html AS html FROM briefs WHERE pages[1].html IS NOT NULL),
-    b AS (SELECT brief_id, name, regexp_replace(coalesce(organisation_number, ''), '[^0-9]', '', 'g') AS own, nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '') AS title, {_HOST_OF.format('url')} AS host, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS content, url IS NOT NULL AS registered FROM p),
+    b AS (SELECT brief_id, name, regexp_replace(coalesce(organisation_number, ''), '[^0-9]', '', 'g') AS own, nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '') AS title, {_HOST_OF.format('url')} AS host, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS content, url IS NOT NULL AS registered FROM p),
     e AS (SELECT *, concat_ws(' ', title, host) AS home, concat_ws(' ', title, host, content) AS everything FROM b),
     s AS (SELECT * EXCLUDE (core), list_filter(core, lambda x, i: list_position(core, x) = i) AS core FROM (SELECT *, {core_sql('name', '')} AS core, {core_sql('everything')} AS words, {core_sql('title')} AS titled, {core_sql('title')} AS part1, {core_sql('host')} AS part2, {numbers_sql("home || ' ' || content")} AS at_home, {numbers_sql('everything')} AS numbers, {fold_sql('everything')} AS folded FROM e)),
     f AS (SELECT *, len(core) AS n, len(list_filter(core, lambda t: list_contains(words, t))) AS shared, own <> '' AND list_contains(at_home, own) AS has_own, list_filter(at_home, lambda x: x <> own) AS others, list_filter(numbers, lambda x: x <> own) AS contradicting,
