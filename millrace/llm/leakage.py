@@ -2,16 +2,19 @@
 
 Wu-Manber multi-pattern search over words. The patterns are all runs of ``run`` words of the items. A
 table over blocks of two words says how far a window may move on (a word of no pattern lets it jump
-past that word), a bucket by the window's last block holds the patterns that end so, and words are
+past that word), a hash of the window selects the patterns that may stand there, and words are
 compared directly before an occurrence counts. Whole documents are searched, where they lie: nothing
 of the corpus is shuffled or collected.
 
-The items are a stated query set held by each worker, in blocks of at most ``block_words`` words; with
-more items the corpus is searched once for each block.
+The items are a stated query set held by each worker, in blocks of at most about ``block_words`` words,
+as arrays. A document's words are made once for ``blocks_at_once`` blocks; with more, the corpus is read
+once for each so many.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,16 +38,31 @@ class PhraseIndex:
                 self.ids.setdefault(w, len(self.ids))
         self.base = len(self.ids) + 1
         self.shift: dict[int, int] = {}
-        self.buckets: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
+        self.flat = array("l")
+        self.starts: list[int] = []
+        found: list[tuple[int, int, int]] = []
         for item, (_, ws) in enumerate(items):
             coded = [self.ids[w] for w in ws]
+            self.starts.append(len(self.flat))
+            self.flat.extend(coded)
             for start in range(len(coded) - run + 1):
                 window = tuple(coded[start : start + run])
                 for end in range(1, run):
                     block = window[end - 1] * self.base + window[end]
                     self.shift[block] = min(self.shift.get(block, run), run - 1 - end)
-                last = window[-2] * self.base + window[-1]
-                self.buckets.setdefault(last, {}).setdefault(window, []).append((item, start))
+                found.append((hash(window), item, start))
+        found.sort()
+        self.hashes = array("q", [h for h, _, _ in found])
+        self.items, self.places = array("l", [i for _, i, _ in found]), array("l", [p for _, _, p in found])
+
+    def _standing(self, window: list[int]) -> Iterator[tuple[int, int]]:
+        """Item and start of the patterns that are the window, word for word. The hash of a tuple of integers
+        is the same in every process."""
+        h = hash(tuple(window))
+        for k in range(bisect_left(self.hashes, h), bisect_right(self.hashes, h)):
+            first = self.starts[self.items[k]] + self.places[k]
+            if self.flat[first : first + self.run].tolist() == window:
+                yield self.items[k], self.places[k]
 
     def covered(self, document: list[str]) -> dict[int, int]:
         """For each item with a run in ``document``: the bits of its covered word positions."""
@@ -68,14 +86,14 @@ class PhraseIndex:
             if step:
                 at += step
                 continue
-            for item, start in self.buckets[block].get(tuple(coded[at - run + 1 : at + 1]), ()):
+            for item, start in self._standing(coded[at - run + 1 : at + 1]):
                 found[item] = found.get(item, 0) | (ones << start)
             at += 1
         return found
 
 
 def leaked_passages(
-    documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, prompt: Column, run: int = 6, least: float = 0.0, block_words: int = 2_000_000
+    documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, prompt: Column, run: int = 6, least: float = 0.0, block_words: int = 500_000, blocks_at_once: int = 4
 ) -> DataFrame:
     """``doc_id, item_id, covered_words, item_words``: documents that hold runs of at least ``run``
     consecutive words of an item, and how many of the item's words such runs cover together, if they are at
@@ -90,24 +108,29 @@ def leaked_passages(
     blocks = 1 + size // (6 * block_words)
     schema = picked.select("doc_id").schema.add(queries.schema["item_id"]).add("covered_words", "integer").add("item_words", "integer")
     context = documents.sparkSession.sparkContext
+    text_rows = picked.where("text IS NOT NULL")
     out = None
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        index = context.broadcast(PhraseIndex([(r[0], words(r[1])) for r in part.distinct().collect()], run))
-        found = spread(picked.where("text IS NOT NULL")).mapInArrow(_search(index, least), schema)
+    for first in range(0, blocks, blocks_at_once):
+        indexes = []
+        for block in range(first, min(first + blocks_at_once, blocks)):
+            part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+            indexes.append(context.broadcast(PhraseIndex([(r[0], words(r[1])) for r in part.distinct().collect()], run)))
+        found = spread(text_rows).mapInArrow(_search(indexes, least), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(index, least: float):
+def _search(indexes: list, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: PhraseIndex = index.value
+        tables: list[PhraseIndex] = [x.value for x in indexes]
         for b in batches:
             rows = []
             for i, t in enumerate(b.column(1).to_pylist()):
-                for item, bits in tables.covered(words(t)).items():
-                    if (n := bits.bit_count()) >= least * tables.lengths[item]:
-                        rows.append((i, tables.keys[item], n, tables.lengths[item]))
+                ws = words(t)
+                for table in tables:
+                    for item, bits in table.covered(ws).items():
+                        if (n := bits.bit_count()) >= least * table.lengths[item]:
+                            rows.append((i, table.keys[item], n, table.lengths[item]))
             if rows:
                 at, keys, covered, lengths = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
