@@ -17,7 +17,7 @@ count as that list. Text that is no JSON, or is nested too deep to be read, give
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -239,8 +239,3 @@ def entity_table(objects: DataFrame, label: str, columns: dict[str, str]) -> Dat
     per scalar in ``columns`` (name to type). Scalars that don't fit their type, or are missing, are null."""
     of = objects.where((F.col("label") == label) & F.col("ordinal").isNotNull())
     return of.select("record_key", "child_path", "parent_path", *[F.try_element_at("scalars", F.lit(c)).try_cast(t).alias(f"{c}") for c, t in columns.items()])
-
-
-def field_of(objects: DataFrame, label: str) -> Callable[[str], Column]:
-    """A column function that reads one scalar of the objects under ``label``."""
-    return lambda name: F.when(objects["label"] == label, F.try_element_at(objects["scalars"], F.lit(name)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import dates, jsonx, orgid, text
+from millrace.functions import dates, jsonx, markup, orgid, text
 from millrace.operators import cascade, evidence, feeds, sets
 from millrace.session import ensure_checkpoint_dir
 from millrace.sources import readers, sinks
@@ -292,3 +292,10 @@ def append_absent(spark, folder):
 def workspace_history(spark, folder):
     """The newest three entries of each owner's history."""
     return sinks.capped_history(read_table(spark, folder, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 3).select("user_id", "event_id")
+
+
+@query(r"""SELECT DISTINCT recovery_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(brief.parts, lambda p: p.source_url), lambda u: coalesce(regexp_matches(lower(u), '^[a-z]+://(?:[^/?#:]+\.)?example(?:[/?#:]|$)'), false)))), ' ') AS links FROM recovery WHERE brief.parts IS NOT NULL""")
+def profile_links(spark, folder):
+    """Addresses of a brief's parts that lie under given hosts, sorted and distinct."""
+    rows = read_table(spark, folder, "recovery").select("recovery_id", F.col("brief.parts.source_url").alias("urls")).where("urls IS NOT NULL")
+    return rows.select("recovery_id", F.array_join(markup.social_links(F.col("urls"), ["example"]), " ").alias("links")).distinct()

@@ -145,9 +145,6 @@ def statuses(rows: DataFrame, code: str) -> Column:
     return F.when(c == 200, "available").when(c.isin(404, 410), "not_found").otherwise("source_error")
 
 
-def first_non_empty(*values: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values])
-
 
 def union_of(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]

@@ -259,3 +259,9 @@ def test_criteria():
     assert tests("rating above 4.5 and at least 10 reviews") == [("rating", ">", 4.5), ("review_count", ">=", 10.0)]
     assert tests("industry contains 'Fisk' and industry is \"Tre\"") == [("industry", "contains", "fisk")]
     assert tests("revenue over, employees <= many") == [] and not screen.parse("top ten by revenue").executable
+
+
+def test_social_links(spark):
+    df = spark.createDataFrame([(1, ["https://www.facebook.com/x", None, "https://a.example/facebook.com", "https://m.facebook.com/y", "https://www.facebook.com/x", ""]), (2, []), (3, None)], "k int, u array<string>")
+    got = {r.k: r.x for r in df.select("k", markup.social_links(F.col("u")).alias("x")).collect()}
+    assert got == {1: ["https://m.facebook.com/y", "https://www.facebook.com/x"], 2: [], 3: None}
